@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import langid, mixing, packing, sharding
 from .common import documents
 
 
@@ -18,7 +18,17 @@ def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
+def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_sequences(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op4_byte_shards": op4_byte_shards,
     "op7_systematic_mix": op7_systematic_mix,
+    "op8_byte_convolution": op8_byte_convolution,
+    "op9_certified_packing": op9_certified_packing,
 }
