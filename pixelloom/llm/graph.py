@@ -12,76 +12,87 @@ from pyspark.sql import functions as F
 from .common import pinned, shuffle_width
 
 
-def collisions(keyed: DataFrame, items: list[str], keep_key: bool = False) -> DataFrame:
-    """Link the items that share a key to the key's smallest item.
-
-    ``keyed`` has ``key`` and the long columns ``items``. Rows are range-partitioned by key
-    *and* item, so one key's rows may fill many parts, and each part is read once as a sorted
-    stream: no group is ever gathered. A part links the rows of each run to the run's first
-    row; the first rows of runs that touch a part's ends (two a part) are then linked to the
-    key's smallest. Returns lead_<item>, <item> (and key); items alone under a key give none.
+#: Keyed rows that a worker combines at once.
+CHUNK = 400_000
+
+
+def _combined(batches: Iterator[pa.RecordBatch], n_items: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Sorted rows (key, *items, *lead) of chunks: the lead of each row is the chunk's smallest item of its key."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def flush():
+        columns = [np.concatenate(c) for c in zip(*held)]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        new = np.ones(len(order), bool)
+        new[1:] = columns[0][1:] != columns[0][:-1]
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        return (*columns, *[c[begin] for c in columns[1:]])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+        if size >= CHUNK:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def collisions(source: DataFrame, keys, items: list[str]) -> DataFrame:
+    """Link items that share a key: key, lead_<item>, <item>.
+
+    ``keys`` maps Arrow batches of ``source`` to batches of a key and the long columns
+    ``items``. A worker first combines chunks of its rows: in each, the rows of a key are
+    linked to the smallest item, and that one alone goes on to meet other chunks' under its
+    key, where again all are linked to the smallest. So a key that a third of all rows hold
+    reaches its task once a chunk, and that task reads a sorted stream and gathers nothing.
+    The links of a key connect all its items; its smallest item is the smallest lead.
+    Items alone under a key give no rows.
     """
-    names = ["key", *items]
-    out_names = ["key", *[f"lead_{i}" for i in items], *items, "_end"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lead = None, None  # of the run that is open
-        first = True
-
-        def rows(k, leads, own, end):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (k, *leads, *own, np.full(len(k), end))], out_names
-            )
-
-        def ending():
-            one = [np.array([x]) for x in lead]
-            return rows(np.array([key]), one, one, True)
-
+    k = len(items)
+    leads = [f"lead_{i}" for i in items]
+    names = ["key", *items, *leads]
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _combined(keys(batches), k):
+            own, lead = columns[1 : 1 + k], columns[1 + k :]
+            is_lead = np.all([a == b for a, b in zip(own, lead)], axis=0)
+            first = np.ones(len(is_lead), bool)
+            first[1:] = columns[0][1:] != columns[0][:-1]
+            # A repeated item is its own lead again and says nothing new.
+            keep = first | ~is_lead
+            table = pa.table([pa.array(c[keep]) for c in (*columns, first)], [*names, "_meets"])
+            yield from table.to_batches(max_chunksize=20_000)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lead = None, ()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, *own = (c.to_numpy() for c in batch.columns)
-            at = np.arange(len(keys))
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            new[0] = key is None or keys[0] != key
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            ks, own, theirs, meets = columns[0], columns[1 : 1 + k], columns[1 + k : 1 + 2 * k], columns[-1].astype(bool)
+            at = np.arange(len(ks))
+            new = np.ones(len(ks), bool)
+            new[1:] = (ks[1:] != ks[:-1]) | ~meets[1:] | ~meets[:-1]
+            new[0] = key is None or ks[0] != key or not meets[0]
             begin = np.maximum.accumulate(np.where(new, at, -1))
-            leads = [np.where(begin >= 0, c[begin], lead[i] if lead else 0) for i, c in enumerate(own)]
-            differs = np.zeros(len(keys), bool)
-            for a, b in zip(leads, own):
-                differs |= a != b
-            if first:
-                key, lead, first = keys[0], [c[0] for c in own], False
-                yield ending()
+            found = [np.where(begin >= 0, c[begin], lead[i] if lead else 0) for i, c in enumerate(own)]
+            found = [np.where(meets, f, t) for f, t in zip(found, theirs)]
+            differs = np.any([a != b for a, b in zip(found, own)], axis=0)
+            if meets[-1]:
+                key, lead = ks[-1], tuple(c[-1] for c in found)
             if differs.any():
-                yield rows(keys[differs], [c[differs] for c in leads], [c[differs] for c in own], False)
-            key, lead = keys[-1], [c[-1] for c in leads]
-        if lead:
-            yield ending()
-
-    schema = ", ".join([*(f"{n} long" for n in out_names[:-1]), "_end boolean"])
-    ordered = [F.col(n) for n in names]
-    sorted_rows = (
-        keyed.select(*names).repartitionByRange(shuffle_width(keyed.sparkSession), *ordered).sortWithinPartitions(*ordered)
-    )
-    found = sorted_rows.mapInArrow(run, schema)
-    leads = [f"lead_{i}" for i in items]
-    wanted = [*(["key"] if keep_key else []), *leads, *items]
-    found = pinned(found.select("key", *leads, *items, "_end").distinct() if keep_key else _without_key(found, leads, items))
-    ends = found.where("_end").select("key", *leads)
-    smallest = ends.groupBy("key").agg(F.min(F.struct(*leads)).alias("_least"))
-    across = (
-        ends.join(smallest, "key")
-        .where(F.struct(*leads) != F.col("_least"))
-        .select("key", *[F.col(f"_least.lead_{i}").alias(f"lead_{i}") for i in items], *[F.col(f"lead_{i}").alias(i) for i in items])
-    )
-    return found.where(~F.col("_end")).select(*wanted).unionByName(across.select(*wanted))
+                yield pa.RecordBatch.from_arrays([pa.array(c[differs]) for c in (ks, *found, *own)], ["key", *leads, *items])
 
-
-def _without_key(found: DataFrame, leads: list[str], items: list[str]) -> DataFrame:
-    """Each link once, whatever number of keys shows it; ends keep their key."""
-    key = F.when(F.col("_end"), F.col("key")).otherwise(F.lit(0)).alias("key")
-    return found.select(key, *leads, *items, "_end").distinct()
+    schema = ", ".join(f"{n} long" for n in names)
+    dealt = source.mapInArrow(combine, f"{schema}, _meets boolean").repartition(
+        shuffle_width(source.sparkSession), F.when(F.col("_meets"), F.col("key")).otherwise(F.xxhash64(*items))
+    )
+    out = ", ".join(f"{n} long" for n in ("key", *leads, *items))
+    return pinned(dealt.sortWithinPartitions("_meets", "key", *items).mapInArrow(meet, out))
 
 
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:

@@ -319,7 +319,7 @@ def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> Da
     """
     sketched = pinned(sketches(docs, words_each, percent))
     keyed = sketched.select(F.explode("keys").alias("key"), "node")
-    near = collisions(keyed, ["node"]).select(F.col("lead_node").alias("a"), F.col("node").alias("b"))
+    near = collisions(keyed, iter, ["node"]).select(F.col("lead_node").alias("a"), F.col("node").alias("b"))
     families = pinned(components(near).withColumnRenamed("component", "family"))
     narrow = sketched.select("row", "doc_id", "n", "node")
     classes = narrow.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("_first"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -73,15 +72,21 @@ class Passages:
         h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         return h, np.array([*starts, len(words)]), [*lines, len(words)]
 
+    def word_hashes(self, text: str) -> np.ndarray:
+        words = text.encode("utf-8", "replace").lower().split()
+        if len(self.hashes) > MEMORY:
+            self.hashes.clear()
+        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+
     def shingles(self, h: np.ndarray) -> np.ndarray:
-        if len(h) < SHINGLE:
-            return np.empty(0, np.uint64)
         n = len(h) - SHINGLE + 1
+        if n < 1:
+            return np.empty(0, np.uint64)
         with np.errstate(over="ignore"):
-            total = _mixed(h[:n], SHINGLE)
+            total = h[:n] * self.powers[0]
             for ahead in range(1, SHINGLE):
-                total = _mixed(total + h[ahead : ahead + n], ahead)
-        return total
+                total += h[ahead : ahead + n] * self.powers[ahead]
+        return _mixed(total, SHINGLE)
 
     def keys(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Keys (even: a band of a paragraph; odd: a window's content) and places."""
@@ -97,10 +102,11 @@ class Passages:
             with np.errstate(over="ignore"):
                 ordered = np.concatenate([s[None, :] * self.factors[:, None], np.full((len(self.factors), 1), ~np.uint64(0))], 1)
                 minima = np.minimum.reduceat(ordered, cuts, axis=1)[:, ::2].reshape(self.bands, self.rows, -1)
-                for band in range(self.bands):
-                    key = reduce(lambda k, m: _mixed(k + m, band + 1), minima[band], np.uint64(band))
-                    keys.append(key & ~np.uint64(1))
-                    places.append((first << _PLACE) | (last - first))
+                key = np.arange(self.bands, dtype=np.uint64)[:, None]
+                for row in range(self.rows):
+                    key = _mixed(key + minima[:, row], row + 1)
+                keys.append((key & ~np.uint64(1)).ravel())
+                places.append(np.tile((first << _PLACE) | (last - first), self.bands))
         if len(starts) > 1:
             if len(h) > len(self.powers):
                 self._grow(2 * len(h))
@@ -111,7 +117,7 @@ class Passages:
             fits = end - begin >= WINDOW
             begin, end = begin[fits], end[fits]
             with np.errstate(over="ignore"):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(h, 0x99) * self.powers[: len(h)], dtype=np.uint64)])
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(h * self.powers[: len(h)], dtype=np.uint64)])
                 key = _mixed((sums[end] - sums[begin]) * self.inverses[begin] + (end - begin).astype(np.uint64), 0x66)
             keys.append(key | np.uint64(1))
             places.append((begin << _PLACE) | (end - begin))
@@ -124,12 +130,8 @@ def _row(df: DataFrame):
     return F.xxhash64("doc_id", "text")
 
 
-def passage_keys(docs: DataFrame, similarity: float) -> DataFrame:
-    """key, row, place of every paragraph band and window of every text.
-
-    A text that a worker has seen is not keyed again for bands, only for windows: exact
-    copies are found by the latter.
-    """
+def passage_collisions(docs: DataFrame, similarity: float) -> DataFrame:
+    """key, lead_row, lead_place, row, place of paragraphs and windows that meet under a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(similarity)
@@ -143,7 +145,7 @@ def passage_keys(docs: DataFrame, similarity: float) -> DataFrame:
                     ["key", "row", "place"],
                 )
 
-    return docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit(""))).mapInArrow(run, "key long, row long, place long")
+    return collisions(docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit(""))), run, ["row", "place"])
 
 
 def paragraph_sets(docs: DataFrame, wanted: DataFrame, n_docs: int) -> DataFrame:
@@ -154,7 +156,7 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame, n_docs: int) -> DataFrame
         for batch in batches:
             rows, places, sets = [], [], []
             for row, text, own in zip(*(c.to_pylist() for c in batch.columns)):
-                h, _, _ = passages.words(text)
+                h = passages.word_hashes(text)
                 for place in own:
                     start, n = place >> _PLACE, place & ((1 << _PLACE) - 1)
                     rows.append(row)
@@ -186,9 +188,9 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     and rows equal in id and text are one document. Extra columns are not read; an empty
     table gives no rows.
     """
-    met = pinned(collisions(passage_keys(docs, similarity), ["row", "place"], keep_key=True).where("lead_row <> row"))
+    met = passage_collisions(docs, similarity)
     windows = met.where("key % 2 <> 0")
-    pairs = met.where("key % 2 = 0").select("lead_row", "lead_place", "row", "place").distinct()
+    pairs = met.where("key % 2 = 0 and lead_row <> row").select("lead_row", "lead_place", "row", "place").distinct()
     pairs = pinned(pairs)
     sides = pairs.select("row", "place").unionByName(pairs.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place")))
     wanted = pinned(sides.groupBy("row").agg(F.collect_set("place").alias("places")))
@@ -205,9 +207,12 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     units = sides.distinct().withColumn("node", F.xxhash64("row", "place")).join(clustered, "node")
     first = units.groupBy("component").agg(F.min(F.struct("row", "place")).alias("_first"))
     paragraphs = units.join(first, "component").select("row", "place", F.col("component").alias("class"), (F.col("row") != F.col("_first.row")).alias("removed"))
+    # Of a window's content the smallest place is kept; places in its document are no repeats.
+    kept = windows.groupBy("key").agg(F.min(F.struct("lead_row", "lead_place")).alias("_kept"))
+    copies = windows.select("key", "row", "place").distinct().join(kept, "key").where("_kept.lead_row <> row")
     found = (
-        windows.select("row", "place", F.col("key").alias("class"), F.lit(True).alias("removed"))
-        .unionByName(windows.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place"), F.col("key").alias("class"), F.lit(False).alias("removed")).distinct())
+        copies.select("row", "place", F.col("key").alias("class"), F.lit(True).alias("removed"))
+        .unionByName(copies.select(F.col("_kept.lead_row").alias("row"), F.col("_kept.lead_place").alias("place"), F.col("key").alias("class"), F.lit(False).alias("removed")).distinct())
         .unionByName(paragraphs)
         .select("row", "class", "removed", F.shiftright("place", _PLACE).alias("_from"), (F.shiftright("place", _PLACE) + F.col("place").bitwiseAND((1 << _PLACE) - 1)).alias("_to"))
     )
