@@ -14,12 +14,11 @@ RELABEL = {"blur_tiled": "blur", "blur_naive": "blur"}
 def read_bench(spark, path: str, gpu: bool = False, required: bool = True) -> DataFrame:
     """Bench CSV with a fixed schema. A missing optional file gives an empty frame."""
     schema = GPU_BENCH if gpu else BENCH
-    read = spark.read.csv(path, schema=schema, header=True)
-    if required:
-        return read
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    return read if exists else spark.createDataFrame([], schema)
+    if not required:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return spark.createDataFrame([], schema)
+    return spark.read.csv(path, schema=schema, header=True)
 
 
 def stats(runs: DataFrame) -> DataFrame:
