@@ -29,6 +29,8 @@ def kind_of(data: bytes) -> str:
         return "gif"
     if data[:4] == b"8BPS":
         return "psd"
+    if data[:4] == b"\x53\x80\xf6\x34":
+        return "pic"
     if data[:3] == b"\xff\xd8\xff":
         return "jpeg"
     if data[:2] in (b"P5", b"P6"):
@@ -241,7 +243,48 @@ def _unpacked(line: bytes) -> bytes:
     return bytes(out)
 
 
-DECODERS = {"png": decode_png, "pnm": decode_pnm, "bmp": decode_bmp, "tga": decode_tga, "psd": decode_psd}
+def decode_pic(data: bytes) -> np.ndarray:
+    """Softimage PIC: packets of channels, each line of a packet raw or run-length packed."""
+    if data[88:92] != b"PICT":
+        raise ImageError("PIC without its header")
+    width, height = struct.unpack(">HH", data[92:96])
+    _sides(width, height)
+    at, packets, more = 104, [], 1
+    while more:
+        more, bits, packing, mask = struct.unpack("4B", data[at : at + 4])
+        at += 4
+        if bits != 8 or packing > 2:
+            raise ImageError("unsupported PIC packet")
+        packets.append((packing, [i for i in range(4) if mask & (128 >> i)]))
+    out = np.zeros((height, width, 4), np.uint8)
+    for y in range(height):
+        for packing, channels in packets:
+            n, x = len(channels), 0
+            while x < width:
+                if packing == 0:
+                    run, same = width, False
+                elif packing == 1:
+                    run, same = data[at], True
+                    at += 1
+                else:
+                    head = data[at]
+                    at += 1
+                    same = head >= 128
+                    run = head - 127 if head > 128 else head + 1
+                    if head == 128:
+                        (run,) = struct.unpack(">H", data[at : at + 2])
+                        at += 2
+                run = min(run, width - x)
+                if run < 1 or at + n * (1 if same else run) > len(data):
+                    raise ImageError("PIC data is cut short")
+                part = np.frombuffer(data, np.uint8, n * (1 if same else run), at).reshape(-1, n)
+                out[y, x : x + run, channels] = part.T if not same else part.T.repeat(run, 1)
+                at += part.size
+                x += run
+    return out[..., :3]
+
+
+DECODERS = {"png": decode_png, "pnm": decode_pnm, "bmp": decode_bmp, "tga": decode_tga, "psd": decode_psd, "pic": decode_pic}
 
 
 def grey(data: bytes) -> np.ndarray:

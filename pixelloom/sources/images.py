@@ -21,7 +21,7 @@ IMAGE_FIELDS = [f.split()[0] for f in IMAGES.split(", ")]
 def read_grey(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
     """Image files of ``path`` as one row each, one 8-bit channel.
 
-    PNG, PNM, BMP, TGA and PSD are decoded here; JPEG and GIF by Spark's image source. A file
+    PNG, PNM, BMP, TGA, PSD and PIC are decoded here; JPEG and GIF by Spark's image source. A file
     that can't be read has height and width -1 and no data, or is left out on request.
     image_id is a hash of the path.
     """

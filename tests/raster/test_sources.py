@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pixelloom.operators import benchmarks
+from pixelloom.operators import benchmarks, harness
 from pixelloom.sources import codecs, images
 from pixelloom.streaming import images as stream
 
@@ -75,6 +75,20 @@ def test_other_formats():
     assert (codecs.grey(psd + np.moveaxis(px, -1, 0).tobytes()) == luma(px)).all()
 
 
+def test_pic():
+    px = np.random.default_rng(4).integers(0, 256, (3, 5, 3)).astype(np.uint8)
+    px[1] = px[1, 0]
+    head = b"\x53\x80\xf6\x34" + struct.pack(">f80s4sHHfHH", 1.0, b"", b"PICT", 5, 3, 1.0, 3, 0)
+    raw = head + bytes([0, 8, 0, 0xE0]) + px.tobytes()
+    assert (codecs.grey(raw) == luma(px)).all()
+    lines = bytes([4]) + px[0].tobytes() + bytes([128, 0, 5]) + px[1, 0].tobytes() + bytes([4]) + px[2].tobytes()
+    assert (codecs.grey(head + bytes([0, 8, 2, 0xE0]) + lines) == luma(px)).all()
+    runs = b"".join(bytes([1]) + bytes(p) for p in px[0]) + bytes([5]) + px[1, 0].tobytes() + b"".join(bytes([1]) + bytes(p) for p in px[2])
+    assert (codecs.grey(head + bytes([0, 8, 1, 0xE0]) + runs) == luma(px)).all()
+    with pytest.raises(codecs.ImageError):
+        codecs.grey(raw[:-4])
+
+
 @pytest.mark.parametrize("data", [b"", b"no image", b"P5 9 9 255\nxx", b"\x89PNG\r\n\x1a\n", b"BM" + b"\0" * 60, b"P5 99999999 2 255\n"])
 def test_broken_files(data):
     with pytest.raises(codecs.ImageError):
@@ -122,3 +136,22 @@ def test_bench_csv(spark, tmp_path):
     (row,) = benchmarks.read_bench(spark, str(path)).collect()
     assert (row.paradigm, row.threads, row.mean_s) == ("seq", 1, 1.380755)
     assert benchmarks.read_bench(spark, str(tmp_path / "none.csv"), gpu=True, required=False).count() == 0
+
+
+def test_timing_and_summary(spark, tmp_path):
+    plane = np.arange(60, dtype=np.uint8).reshape(6, 10)
+    table = spark.createDataFrame(
+        [(1, None, 6, 10, 1, 0, bytearray(plane.tobytes()))],
+        "image_id long, origin string, height int, width int, n_channels int, mode int, data binary",
+    )
+    found = harness.sweep(spark, table, ["blur", "histeq"], [3], warmup=0, runs=1)
+    rows = found.collect()
+    assert [(r.filter, r.threads, r.pixels, r.timed) for r in rows] == [("blur", 2, 60, 1), ("histeq", 2, 60, 1)]
+    for _ in range(2):
+        harness.append_csv(found, str(tmp_path / "bench"))
+    assert benchmarks.read_bench(spark, str(tmp_path / "bench")).count() == 4
+    with pytest.raises(ValueError):
+        harness.timed(lambda: found, runs=0)
+    best = spark.createDataFrame([("blur", "seq", 1, 2.5)], "filter string, paradigm string, threads int, mean_ms double")
+    fast = spark.createDataFrame([("seq", "blur", 4, 3.5)], "paradigm string, filter string, threads int, speedup double")
+    assert "3.50x at N=4" in harness.summary(best, fast)
