@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.schema import IMAGES, STRIPS
+from pixelloom.schema import STRIPS
 
 from . import histograms
 
@@ -99,62 +99,132 @@ def strips_of_images(images: DataFrame, rows_each: int, halo: int) -> DataFrame:
     )
 
 
-def _plane(row: dict, reach: int) -> np.ndarray:
+#: Columns of a strip, and the Arrow types of a strip that a kernel returns.
+FIELDS = [f.split() for f in STRIPS.split(", ")]
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch; ``data`` stays in its Arrow buffer."""
+    names = [n for n in batch.schema.names if n != "data"]
+    small = batch.select(names).to_pylist()
+    data = batch.column("data")
+    for i, row in enumerate(small):
+        yield row | {"data": data[i].as_buffer()}
+
+
+def _done(row: dict, plane: np.ndarray) -> pa.RecordBatch:
+    """The strip with new pixels and no halo, around the plane's own memory."""
+    body = pa.py_buffer(np.ascontiguousarray(plane))
+    offsets = pa.py_buffer(np.array([0, plane.size], np.int32))
+    row = row | {"halo_top": 0, "halo_bot": 0}
+    columns = [
+        pa.Array.from_buffers(pa.binary(), 1, [None, offsets, body]) if n == "data" else pa.array([row[n]], _KINDS[k]) for n, k in FIELDS
+    ]
+    return pa.RecordBatch.from_arrays(columns, [n for n, _ in FIELDS])
+
+
+def map_strips(strips: DataFrame, kernel: Callable[[dict], np.ndarray]) -> DataFrame:
+    """Replace each strip's pixels by the kernel's; the halo is used up.
+
+    Columns beyond those of a strip are there for the kernel and go no further.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                yield _done(row, kernel(row))
+
+    return strips.mapInArrow(run, STRIPS)
+
+
+def _own(row: dict) -> np.ndarray:
+    rows = np.frombuffer(row["data"], np.uint8).reshape(-1, row["width"])
+    return rows[row["halo_top"] : row["halo_top"] + row["h"]]
+
+
+def _plane(row: dict, reach: int, kind: type) -> np.ndarray:
     """A strip with ``reach`` rows and columns around it, reflected at the image's borders."""
-    width, h = row["width"], row["h"]
-    if min(width, row["img_h"]) < reach + 1:
+    width, h, n = row["width"], row["h"], row["img_h"]
+    if min(width, n) < reach + 1:
         raise ValueError(f"image has fewer than {reach + 1} rows or columns")
-    if min(row["halo_top"], row["y0"]) < min(reach, row["y0"]) or row["halo_bot"] < min(reach, row["img_h"] - row["y0"] - h):
+    if row["halo_top"] < min(reach, row["y0"]) or row["halo_bot"] < min(reach, n - row["y0"] - h):
         raise ValueError(f"strip has a halo of fewer than {reach} rows")
     rows = np.frombuffer(row["data"], np.uint8).reshape(-1, width)
     first = row["y0"] - row["halo_top"]
+    out = np.empty((h + 2 * reach, width + 2 * reach), kind)
     want = np.arange(row["y0"] - reach, row["y0"] + h + reach)
-    n = row["img_h"]
-    want = np.where(want < 0, -want, np.where(want >= n, 2 * n - want - 2, want))
-    # One reflected row may lie beyond the halo of a strip of one row; it is then inside the image's edge strip.
-    return np.pad(rows[want - first], ((0, 0), (reach, reach)), mode="reflect")
+    inside = (want >= 0) & (want < n)
+    start = want[inside][0]
+    out[inside, reach:-reach] = rows[start - first : start - first + inside.sum()]
+    for at in np.flatnonzero(~inside):
+        y = want[at]
+        y = -y if y < 0 else 2 * n - y - 2
+        # A strip of one row at the border reflects to a row that its own halo holds.
+        out[at, reach:-reach] = rows[y - first]
+    for k in range(1, reach + 1):
+        out[:, reach - k] = out[:, reach + k]
+        out[:, width + reach - 1 + k] = out[:, width + reach - 1 - k]
+    return out
 
 
 def blur_kernel(row: dict) -> np.ndarray:
-    p = _plane(row, 2).astype(np.uint16)
-    across = p[:, :-4] + p[:, 4:] + 4 * (p[:, 1:-3] + p[:, 3:-1]) + 6 * p[:, 2:-2]
-    across = across.astype(np.uint32)
-    down = across[:-4] + across[4:] + 4 * (across[1:-3] + across[3:-1]) + 6 * across[2:-2]
-    return ((down + 128) >> 8).astype(np.uint8)
+    """Separable binomial sums; the largest, 256 * 255 + 128, fits 16 bits."""
+    p = _plane(row, 2, np.uint16)
+    across = p[:, 1:-3] + p[:, 3:-1]
+    across <<= 2
+    across += p[:, :-4]
+    across += p[:, 4:]
+    across += 6 * p[:, 2:-2]
+    down = across[1:-3] + across[3:-1]
+    down <<= 2
+    down += across[:-4]
+    down += across[4:]
+    down += 6 * across[2:-2]
+    down += 128
+    down >>= 8
+    return down.astype(np.uint8)
 
 
 def gradient_kernel(row: dict) -> np.ndarray:
-    p = _plane(row, 1).astype(np.int32)
+    p = _plane(row, 1, np.int16)
     d = p[:, 2:] - p[:, :-2]
-    m = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
-    gx, gy = d[:-2] + 2 * d[1:-1] + d[2:], m[2:] - m[:-2]
-    return gx * gx + gy * gy
+    m = p[:, :-2] + p[:, 2:]
+    m += p[:, 1:-1]
+    m += p[:, 1:-1]
+    gx = d[:-2] + d[2:]
+    gx += d[1:-1]
+    gx += d[1:-1]
+    gy = m[2:] - m[:-2]
+    gx, gy = gx.astype(np.int32), gy.astype(np.int32)
+    gx *= gx
+    gy *= gy
+    gx += gy
+    return gx
 
 
 def sharp_kernel(row: dict, amount: float) -> np.ndarray:
+    blurred = blur_kernel(row)
+    if amount == 1:
+        value = _own(row).astype(np.int16)
+        value += value
+        value -= blurred
+        return np.clip(value, 0, 255, out=value).astype(np.uint8)
     source = _own(row).astype(np.float32)
-    value = source + np.float32(amount) * (source - blur_kernel(row).astype(np.float32)) + np.float32(0.5)
+    value = source + np.float32(amount) * (source - blurred.astype(np.float32)) + np.float32(0.5)
     return np.clip(np.floor(value), 0, 255).astype(np.uint8)
 
 
-def _own(row: dict) -> np.ndarray:
-    rows = np.frombuffer(row["data"], np.uint8).reshape(-1, row["width"])
-    return rows[row["halo_top"] : row["halo_top"] + row["h"]]
-
-
-def map_strips(strips: DataFrame, kernel: Callable[[dict], np.ndarray]) -> DataFrame:
-    """Replace each strip's pixels by the kernel's; the halo is used up."""
+#: Images up to which one small row each goes to all workers; beyond, strips are shuffled to them.
+MANY_IMAGES = 100_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                row = row | {"data": kernel(row).tobytes(), "halo_top": 0, "halo_bot": 0}
-                yield pa.RecordBatch.from_pylist([row], schema=out)
 
-    fields = [f.split() for f in STRIPS.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    out = pa.schema([(n, kinds[k]) for n, k in fields])
-    return strips.select(*[n for n, _ in fields]).mapInArrow(run, STRIPS)
+def _with_image_rows(strips: DataFrame, rows: DataFrame) -> DataFrame:
+    """Join strips with one small row per image. The rows are kept and counted first: strips
+    are large, and a broadcast of rows that were not counted could be too.
+    """
+    rows = rows.persist()
+    return strips.join(F.broadcast(rows) if rows.count() <= MANY_IMAGES else rows, "image_id")
 
 
 def blur_strips(strips: DataFrame) -> DataFrame:
@@ -179,21 +249,22 @@ def sobel_strips(strips: DataFrame) -> DataFrame:
 
     def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_pydict(
-                {"image_id": pa.array([r["image_id"] for r in rows], pa.int64()), "s": pa.array([int(gradient_kernel(r).max()) for r in rows], pa.int64())}
-            )
+            found = [(r["image_id"], int(gradient_kernel(r).max())) for r in _rows(batch)]
+            if found:
+                ids, tops = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tops, pa.int64())], ["image_id", "s"])
 
     most = strips.mapInArrow(peaks, "image_id long, s long").groupBy("image_id").agg(F.max("s").alias("_peak"))
-    joined = strips.join(most, "image_id")
 
     def scale(row: dict) -> np.ndarray:
-        root = np.sqrt(gradient_kernel(row).astype(np.float64)).astype(np.float32)
-        largest = np.sqrt(np.float64(row["_peak"])).astype(np.float32)
-        factor = np.float32(np.float64(255.0) / np.float64(largest)) if largest > 0 else np.float32(1)
-        return np.minimum(np.floor(root * factor + np.float32(0.5)), 255).astype(np.uint8)
+        # Squares stay below 2**24, so single precision holds them, and its roots are the rounded ones.
+        value = np.sqrt(gradient_kernel(row).astype(np.float32))
+        largest = np.sqrt(np.float32(row["_peak"]))
+        value *= np.float32(np.float64(255.0) / np.float64(largest)) if largest > 0 else np.float32(1)
+        value += np.float32(0.5)
+        return np.minimum(value, 255, out=value).astype(np.uint8)
 
-    return _map_with(joined, scale)
+    return map_strips(_with_image_rows(strips, most), scale)
 
 
 def histeq_strips(strips: DataFrame) -> DataFrame:
@@ -201,34 +272,15 @@ def histeq_strips(strips: DataFrame) -> DataFrame:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for row in _rows(batch):
                 n = np.bincount(_own(row).ravel(), minlength=256)
-                yield pa.RecordBatch.from_pydict(
-                    {"image_id": pa.array(np.full(256, row["image_id"])), "v": pa.array(np.arange(256, dtype=np.int32)), "n": pa.array(n.astype(np.int64))}
-                )
+                columns = [pa.array(np.full(256, row["image_id"])), pa.array(np.arange(256, dtype=np.int32)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["image_id", "v", "n"])
 
     summed = strips.mapInArrow(counts, "image_id long, v int, n long").groupBy("image_id", "v").agg(F.sum("n").alias("n"))
-    tables = histograms.equalising_table(summed).groupBy("image_id").agg(
-        F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v", "out"))), lambda e: F.lpad(F.hex(e["out"]), 2, "0")), "")).alias("_table")
-    )
-    return _map_with(strips.join(tables, "image_id"), lambda row: np.frombuffer(_own(row).tobytes().translate(row["_table"]), np.uint8))
-
-
-def _map_with(strips: DataFrame, kernel: Callable[[dict], np.ndarray]) -> DataFrame:
-    """map_strips where the rows carry one more column for the kernel."""
-    fields = [f.split() for f in STRIPS.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    out = pa.schema([(n, kinds[k]) for n, k in fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                done = {n: row[n] for n, _ in fields} | {"data": kernel(row).tobytes(), "halo_top": 0, "halo_bot": 0}
-                yield pa.RecordBatch.from_pylist([done], schema=out)
-
-    return strips.mapInArrow(run, STRIPS)
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("v", "out"))), lambda e: F.lpad(F.hex(e["out"]), 2, "0"))
+    tables = histograms.equalising_table(summed).groupBy("image_id").agg(F.unhex(F.array_join(entries, "")).alias("_table"))
+    return map_strips(_with_image_rows(strips, tables), lambda row: np.frombuffer(_own(row).tobytes().translate(row["_table"]), np.uint8))
 
 
 def pixels_of(strips: DataFrame) -> DataFrame:
