@@ -2,9 +2,14 @@
 
 Tokens (word n-gram hashes) are hashed into groups. Two sets of Jaccard similarity t differ
 in at most (1 - t) / (1 + t) of their summed sizes, r tokens, so of r + 1 groups one has the
-same tokens in both: documents are dealt to families by such groups' contents. Inside a
-family the counts per group are points; an R-tree bounds the overlap of a point and a node by
-the summed minima of coordinates, and pairs that the bounds leave are verified on the sets.
+same tokens in both: such a group's content is a bucket. The counts per group are points; an
+R-tree bounds the overlap of a point and a node by the summed minima of coordinates, and the
+pairs of a bucket that the bounds leave are verified on the sets.
+
+At lower similarities groups would hold too few tokens to tell texts apart. There buckets are
+the tokens of a prefix filter instead: in an order that puts tokens which are frequent in a
+sample last, two sets that link share one of their first tokens. Any order gives all links;
+the sample only keeps common passages out of the buckets.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from .graph import collisions, components
 
 #: Words whose hashes a worker remembers, at most.
 MEMORY = 200_000
-#: Coordinates of a point, members of a tree node, and members of a family's block.
-GROUPS, FANOUT, BLOCK = 64, 24, 512
-#: Tokens of a block's members together, about: bounds a task's memory for long texts.
-BLOCK_TOKENS = 2_000_000
+#: Coordinates of a point, members of a tree node, and members of a bucket's block.
+GROUPS, FANOUT, BLOCK = 64, 24, 4096
+#: Documents that the token order is fitted to, about, and its counters.
+ORDER_SAMPLE, COUNTERS = 20_000, 1 << 20
 #: Rows up to which a side of narrow rows is broadcast; beyond, the join shuffles.
 SMALL = 100_000
 
@@ -114,34 +119,84 @@ def group_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
+def prefix_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
+    """The set's first tokens, rare ones first: two sets that link share one of them."""
+    spread = _mixed(tokens, 0xA5)
+    rank = frequent[(spread >> np.uint64(44)).astype(np.int64)]
+    length = len(tokens) - ceil(percent * len(tokens) / 100) + 1
+    return spread[np.lexsort((spread, rank))[:length]]
+
+
+def token_order(docs: DataFrame, words_each: int, sample: int = ORDER_SAMPLE) -> np.ndarray:
+    """Counts of hashed tokens in about ``sample`` documents, drawn by a hash of the row: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                spread = _mixed(token_set(text, words_each, hashes), 0xA5)
+                np.add.at(counts, (spread >> np.uint64(44)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 0xFFFF).astype("<u2").tobytes()])], ["counts"])
+
+    drawn = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("_draw"))
+    limit = -(-sample * (1 << 20) // max(1, docs.count()))
+    parts = drawn.where(F.col("_draw") < limit).select("text").coalesce(8).mapInArrow(run, "counts binary").collect()
+    total = np.zeros(COUNTERS, np.int64)
+    for part in parts:
+        total += np.frombuffer(part["counts"], "<u2")
+    return np.minimum(total, 0xFFFF).astype(np.uint16)
+
+
+def point_of(tokens: np.ndarray) -> np.ndarray:
+    """Tokens in each group, and then 16 bits of each group's content."""
+    group = (tokens % np.uint64(GROUPS)).astype(np.int64)
+    counts = np.bincount(group, minlength=GROUPS)
+    marks = np.bincount(group, weights=(_mixed(tokens, 0x21) & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=GROUPS)
+    return np.concatenate([np.minimum(counts, 0xFFFF), marks.astype(np.uint64) & np.uint64(0xFFFF)]).astype("<u2")
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Tokens that two sets differ in at least, from their points (the last axis).
+
+    A group differs in its counts' difference or more; where counts agree and contents
+    don't, a token was exchanged for another.
+    """
+    counts = np.abs(x[..., :GROUPS].astype(np.int32) - y[..., :GROUPS])
+    other = (x[..., GROUPS:] != y[..., GROUPS:]) & (counts == 0)
+    return counts.sum(-1) + 2 * other.sum(-1)
+
+
 def _as_long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
 def sketches(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """row, doc_id, n, node (hash of the token set), keys of every document, in one pass.
+    """row, doc_id, n, node (hash of the token set), counts (its point) and keys of every document, in one pass.
 
     A worker gives the keys of a set it has already seen no second time, so exact copies
     are collapsed before anything moves.
     """
+    by_groups = 100 + percent >= 16 * (100 - percent)
+    frequent = None if by_groups else token_order(docs, words_each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, done = WordHashes(), Bands(percent), set()
         for batch in batches:
-            sizes, nodes, keys = [], [], []
+            sizes, nodes, points, keys = [], [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 tokens = token_set(text, words_each, hashes)
                 with np.errstate(over="ignore"):
                     node = int(_mixed(np.array([_mixed(tokens, 0x33).sum(dtype=np.uint64) + np.uint64(len(tokens))]), 0x44).view(np.int64)[0])
                 sizes.append(len(tokens))
                 nodes.append(node if len(tokens) else row)
+                points.append(point_of(tokens).tobytes())
                 if not len(tokens) or node in done:
                     keys.append(np.empty(0, np.int64))
                     continue
                 if len(done) >= 1_000_000:
                     done.clear()
                 done.add(node)
-                keys.append(_as_long(group_keys(tokens, bands)))
+                keys.append(_as_long(group_keys(tokens, bands) if by_groups else prefix_keys(tokens, percent, frequent)))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -150,56 +205,57 @@ def sketches(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
                     batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()),
+                    pa.array(points, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["row", "doc_id", "n", "node", "keys"],
+                ["row", "doc_id", "n", "node", "counts", "keys"],
             )
 
     narrow = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    return narrow.mapInArrow(run, "row long, doc_id long, n long, node long, keys array<long>")
+    return narrow.mapInArrow(run, "row long, doc_id long, n long, node long, counts binary, keys array<long>")
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SMALL else df
 
 
-def family_sets(docs: DataFrame, members: DataFrame, n_members: int, words_each: int) -> DataFrame:
-    """node, family, n, tokens of one document for each node in ``members`` (row, node, family)."""
+def token_sets(docs: DataFrame, members: DataFrame, n_members: int, words_each: int) -> DataFrame:
+    """node, tokens of one document for each of ``members`` (row, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [_as_long(token_set(t, words_each, hashes)) for t in batch.column(2).to_pylist()]
+            sets = [_as_long(token_set(t, words_each, hashes)) for t in batch.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["node", "family", "n", "tokens"],
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "tokens"]
             )
 
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(_small(members, n_members), "row").select("node", "family", "text")
-    return found.mapInArrow(run, "node long, family long, n long, tokens array<long>")
+    return texts.join(_small(members, n_members), "row").select("node", "text").mapInArrow(run, "node long, tokens array<long>")
 
 
 class CountTree:
     """R-tree over count vectors, packed bottom-up in order of size; nodes hold coordinate maxima."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        counts = points[:, :GROUPS].astype(np.int32)
         # Within like sizes, neighbours in the first coordinates share a node.
-        self.order = np.lexsort((*points.T[:4], sizes))
-        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
+        self.order = np.lexsort((*counts.T[:4], sizes))
+        self.points, self.sizes = points, sizes
+        self.levels = [(counts[self.order], sizes[self.order], sizes[self.order])]
         while len(self.levels[-1][0]) > FANOUT:
             top, least, most = self.levels[-1]
             starts = np.arange(0, len(top), FANOUT)
             self.levels.append((np.maximum.reduceat(top, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)))
 
-    def candidates(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Places of points whose bound allows a link with a set of this size."""
-        at = np.arange(len(self.levels[-1][0]))
+    def candidates(self, point: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of points whose bounds allow a link with this set, and their least differences."""
+        at, counts = np.arange(len(self.levels[-1][0])), point[:GROUPS].astype(np.int32)
         for depth in range(len(self.levels) - 1, -1, -1):
             top, least, most = (x[at] for x in self.levels[depth])
-            bound = np.minimum(top, point).sum(1)
+            bound = np.minimum(top, counts).sum(1)
             need = percent * (size + np.maximum(least, -(-percent * size // 100)))
             passes = (100 + percent) * bound >= need
             passes &= (least * percent <= 100 * size) & (most * 100 >= percent * size)
@@ -207,23 +263,27 @@ class CountTree:
             if depth:
                 at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 at = at[at < len(self.levels[depth - 1][0])]
-        return self.order[at]
+        places = self.order[at]
+        apart = least_difference(self.points[places], point)
+        keep = (100 + percent) * apart <= (100 - percent) * (self.sizes[places] + size)
+        return places[keep], apart[keep]
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    common = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def bounded_pairs(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Rows (least difference, i, j) of the pairs of ``left`` and ``right`` whose bounds allow a link."""
+    theirs, found = np.flatnonzero(right), [np.empty((0, 3), np.int32)]
+    tree = CountTree(points[theirs], sizes[theirs]) if len(theirs) else None
+    for i in np.flatnonzero(left) if tree else ():
+        places, apart = tree.candidates(points[i], int(sizes[i]), percent)
+        found.append(np.stack([apart, np.full(len(places), i), theirs[places]], 1).astype(np.int32))
+    pairs = np.concatenate(found)
+    return pairs[pairs[:, 1] != pairs[:, 2]]
 
 
-def block_links(nodes: np.ndarray, sets: list[np.ndarray], core: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked between the members of ``left`` and ``right``.
-
-    Members of the core are connected already. A pair is verified unless the bound excludes
-    it or both are connected by links found before.
-    """
-    points = np.stack([np.bincount((s.view(np.uint64) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in sets])
-    sizes = np.array([len(s) for s in sets])
-    parent = list(range(len(nodes)))
+def forest(pairs: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Least pairs that connect, if all hold, what ``pairs`` connect; the likeliest come first."""
+    label, out = np.unique(component, return_inverse=True)[1], []
+    parent = list(range(int(label.max()) + 1)) if len(label) else []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -231,79 +291,106 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], core: np.ndarray, lef
             i = parent[i]
         return i
 
-    inner = np.flatnonzero(core)
-    for i in inner[1:].tolist():
-        parent[i] = int(inner[0])
-    links = []
-    for mine, theirs in ((left, right), (right, left)):
-        tree = None
-        for i in np.flatnonzero(mine & ~core).tolist():
-            if tree is None:
-                places = np.flatnonzero(theirs)
-                if not len(places):
-                    break
-                tree = CountTree(points[places], sizes[places])
-            for j in places[tree.candidates(points[i], int(sizes[i]), percent)].tolist():
-                if i != j and root(i) != root(j) and linked(sets[i], sets[j], percent):
-                    parent[root(i)] = root(j)
-                    links.append((int(nodes[i]), int(nodes[j])))
-    return links
-
-
-def family_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside families, enough to connect all that is linked.
-
-    First every member meets its family's first member in a join; those that link with it
-    are the core. Only members outside the core are compared further. Families are cut into
-    blocks of about ``BLOCK`` members or ``BLOCK_TOKENS`` tokens, and each pair of blocks that
-    holds such a member is a task of its own.
-    """
-    leaders = sets.where("node = family").select("family", F.col("tokens").alias("_lead"))
-    common = F.size(F.array_intersect("tokens", "_lead"))
-    checked = pinned(
-        sets.join(leaders, "family").select(
-            "node", "family", "n", (100 * common >= percent * (F.size("tokens") + F.size("_lead") - common)).alias("core")
-        )
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    for a in range(0, len(pairs), 50_000):
+        roots = np.array([root(i) for i in range(len(parent))])[label]
+        part = pairs[a : a + 50_000, 1:]
+        for i, j in part[roots[part[:, 0]] != roots[part[:, 1]]].tolist():
+            x, y = root(label[i]), root(label[j])
+            if x != y:
+                parent[x] = y
+                out.append((i, j))
+    return out
+
+
+def may_link(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bounds allow a link, with their least difference ``apart``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, 2 * GROUPS) for c in ("_x", "_y"))
+            apart = least_difference(x, y).astype(np.int64)
+            passes = (100 + percent) * apart <= (100 - percent) * (batch.column("_m").to_numpy() + batch.column("_n").to_numpy())
+            columns = [batch.column("a"), batch.column("b"), pa.array(apart)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "apart"]).filter(pa.array(passes))
+
+    x = points.select(F.col("node").alias("a"), F.col("counts").alias("_x"), F.col("n").alias("_m"))
+    y = points.select(F.col("node").alias("b"), F.col("counts").alias("_y"), F.col("n").alias("_n"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y", "_m", "_n").mapInArrow(run, "a long, b long, apart long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
+    y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_y"))
+    common = F.size(F.array_intersect("_x", "_y"))
+    return (
+        pairs.join(x, "a")
+        .join(y, "b")
+        .where(100 * common >= percent * (F.size("_x") + F.size("_y") - common))
+        .select("a", "b")
     )
+
+
+def bucket_pairs(members: DataFrame, points: DataFrame, percent: int, everything: bool) -> DataFrame:
+    """key, a, b: pairs of buckets that aren't connected yet and that the R-tree's bounds leave.
+
+    ``members`` has key, node, component. Buckets are cut into blocks of about ``BLOCK``
+    members; each pair of blocks goes through a tree on its own, so no task holds a whole
+    bucket. Unless ``everything`` is asked for, a block gives a spanning forest of its pairs:
+    if all of these hold, what the others would connect is connected.
+    """
     shape = (
-        checked.groupBy("family")
-        .agg(
-            F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("_blocks"),
-            F.bool_and("core").alias("_done"),
-        )
-        .where(~F.col("_done"))
-        .select("family", "_blocks")
+        members.groupBy("key")
+        .agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"), (F.min("component") != F.max("component")).alias("_apart"))
+        .where("_apart")
+        .select("key", "_blocks")
     )
-    core = checked.select("node", "core")
-    open_sets = (
-        sets.join(shape, "family")
-        .join(core, "node")
+    dealt = (
+        members.join(shape, "key")
         .withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select(
-            "family",
-            F.least("_own", "_other").alias("_i"),
-            F.greatest("_own", "_other").alias("_j"),
-            "_own",
-            "node",
-            "core",
-            "tokens",
-        )
+        .select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "component")
+        .join(points, "node")
+        .select("key", "i", "j", "_own", "node", "component", "counts", "n")
     )
+    group = ["key", "i", "j"]
+
+    def pairs_of(table: pa.Table) -> list[tuple[int, int]]:
+        nodes, parts, own, sizes = (table.column(c).to_numpy() for c in ("node", "component", "_own", "n"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        points_here = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, 2 * GROUPS)
+        found = bounded_pairs(points_here, sizes, own == i, own == j, percent)
+        found = found[parts[found[:, 1]] != parts[found[:, 2]]]
+        pairs = found[:, 1:].tolist() if everything else forest(found, parts)
+        ends = ((int(nodes[a]), int(nodes[b])) for a, b in pairs)
+        return sorted({(min(e), max(e)) for e in ends})
 
-    def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        tokens = table.column("tokens").combine_chunks()
-        flat, ends = tokens.values.to_numpy(), tokens.offsets.to_numpy()
-        sets_here = [flat[a:b].view(np.uint64) for a, b in zip(ends[:-1], ends[1:])]
-        own, i, j = (table.column(c).to_numpy() for c in ("_own", "_i", "_j"))
-        core_here = table.column("core").to_numpy(zero_copy_only=False).astype(bool)
-        links = block_links(nodes, sets_here, core_here, own == i, own == j, percent) if not core_here.all() else []
-        a, b = zip(*links) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
 
-    found = open_sets.groupBy("family", "_i", "_j").applyInArrow(run, "a long, b long")
-    return checked.where("core and node <> family").select(F.col("family").alias("a"), F.col("node").alias("b")).unionByName(found)
+        def groups(table, last):
+            ids = [table.column(c).to_numpy() for c in group]
+            new = np.any([x[1:] != x[:-1] for x in ids], axis=0)
+            cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(table)]]).tolist()
+            spans = list(zip(cuts[:-1], cuts[1:]))
+            return [table.slice(a, b - a) for a, b in (spans if last else spans[:-1])], table.slice(cuts[-2])
+
+        def out(tables):
+            rows = [(t.column("key")[0].as_py(), *pair) for t in tables for pair in pairs_of(t)]
+            columns = zip(*rows) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+                ready, held = groups(table, False)
+                yield out(ready)
+        if held is not None:
+            yield out(groups(held, True)[0])
+
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "key long, a long, b long")
 
 
 def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> DataFrame:
@@ -319,14 +406,40 @@ def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> Da
     """
     sketched = pinned(sketches(docs, words_each, percent))
     keyed = sketched.select(F.explode("keys").alias("key"), "node")
-    near = collisions(keyed, iter, ["node"]).select(F.col("lead_node").alias("a"), F.col("node").alias("b"))
-    families = pinned(components(near).withColumnRenamed("component", "family"))
     narrow = sketched.select("row", "doc_id", "n", "node")
     classes = narrow.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("_first"))
-    n_families = families.count()
-    members = pinned(classes.join(_small(families, n_families), "node").select("row", "node", "family"))
-    sets = pinned(family_sets(docs, members, n_families, words_each).dropDuplicates(["node"]))
-    linked_nodes = components(family_links(sets, percent))
+    # Each bucket's first member meets the others; what the bounds leave is verified, for each
+    # node one pair first, as these connect nearly all that is linked.
+    met = collisions(keyed, iter, ["node"])
+    stars = met.select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct()
+    # Copies are dropped first, in part where they are read, so no class of copies meets in one task.
+    points = pinned(
+        sketched.select("node", "counts", "n")
+        .dropDuplicates(["node"])
+        .join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    )
+    sides = met.select("key", F.explode(F.array("lead_node", "node")).alias("node")).distinct()
+    nearest = F.min(F.struct("apart", "a"))["a"].alias("a")
+    first = pinned(may_link(stars, points, percent).groupBy("b").agg(nearest).select("a", "b"))
+    holders = pinned(classes.join(points.select("node"), "node", "left_semi").select("row", "node"))
+    sets = pinned(token_sets(docs, holders, holders.count(), words_each))
+    links = pinned(verified(first, sets, percent).distinct())
+
+    def with_component(df: DataFrame, links: DataFrame) -> DataFrame:
+        known = components(links).withColumnRenamed("component", "_known")
+        return df.join(known, "node", "left").withColumn("component", F.coalesce("_known", "node")).drop("_known")
+
+    # Then forests over the pairs of each bucket that are not connected yet, and all such
+    # pairs of the buckets in which one pair of the forest was refuted.
+    tried = first
+    for everything in (False, True):
+        found = pinned(bucket_pairs(with_component(sides, links), points, percent, everything))
+        pairs = pinned(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        links = pinned(links.unionByName(verified(pairs, sets, percent).distinct()))
+        tried = tried.unionByName(pairs)
+        refuted = found.join(links, ["a", "b"], "left_anti").select("key").distinct()
+        sides = sides.join(refuted, "key", "left_semi")
+    linked_nodes = components(links)
     reached = classes.join(linked_nodes, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "_first")
     named = reached.groupBy("component").agg(F.min("_first").alias("component_id"))
     by_node = reached.select("node", "component").join(named, "component")
@@ -338,13 +451,21 @@ def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> Da
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` but for those that link with a kept one: of a component its smallest doc_id stays.
 
-    Rows equal in id and text are one document and stay or go together. Columns are unchanged.
+    Of rows equal in id and text one stays too. Columns are unchanged.
     """
-    found = pinned(ngram_classes(docs, **options).select("row", "component", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row").alias("_rank")))
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
+    found = pinned(ngram_classes(docs, **options).select("row", "component", rank.alias("_rank")))
     kept = found.groupBy("component").agg(F.min("_rank").alias("_rank")).select(F.col("_rank.row").alias("row"))
-    gone = pinned(found.select("row").distinct().join(kept, "row", "left_anti"))
-    return (
-        docs.withColumn("__ngram_row", F.xxhash64("doc_id", "text"))
-        .join(_small(gone.withColumnRenamed("row", "__ngram_row"), gone.count()), "__ngram_row", "left_anti")
-        .select(*docs.columns)
-    )
+    counted = found.groupBy("row").agg((F.count("*") > 1).alias("_again"))
+    gone = pinned(counted.join(kept, "row", "left_anti").select(F.col("row").alias("__ngram_row")))
+    again = pinned(counted.where("_again").join(gone, counted["row"] == gone["__ngram_row"], "left_anti").select(F.col("row").alias("__ngram_row")))
+    keyed = docs.withColumn("__ngram_row", F.xxhash64("doc_id", "text"))
+    n_again = again.count()
+    out = gone.select("__ngram_row").unionByName(again) if n_again else gone.select("__ngram_row")
+    single = keyed.join(_small(out, gone.count() + n_again), "__ngram_row", "left_anti")
+    if n_again:
+        repeats = keyed.join(_small(again, n_again), "__ngram_row", "left_semi").dropDuplicates(["__ngram_row"])
+        single = single.unionByName(repeats)
+    return single.select(*docs.columns)
+
+
