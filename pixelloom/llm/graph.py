@@ -95,19 +95,60 @@ def collisions(source: DataFrame, keys, items: list[str]) -> DataFrame:
     return pinned(dealt.sortWithinPartitions("_meets", "key", *items).mapInArrow(meet, out))
 
 
+#: Edges that one task contracts at once, about.
+EDGES_A_TASK = 500_000
+
+
+def _contracted(edges: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Replace the edges of each of a few bounded parts by stars to the part's smallest nodes."""
+    parts = max(1, -(-n // EDGES_A_TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        lo, hi = (np.concatenate(c) for c in zip(*held))
+        nodes, places = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+        parent = list(range(len(nodes)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        # Nodes are in order, so the smaller place is the smaller node.
+        for a, b in zip(places[: len(lo)].tolist(), places[len(lo) :].tolist()):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        roots = nodes[[root(i) for i in range(len(nodes))]]
+        leaf = roots != nodes
+        table = pa.table([pa.array(roots[leaf]), pa.array(nodes[leaf])], ["lo", "hi"])
+        yield from table.to_batches(max_chunksize=20_000)
+
+    return pinned(edges.select("lo", "hi").coalesce(parts).mapInArrow(run, "lo long, hi long")), parts
+
+
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:
     """node, component (its smallest node) of every node of ``links`` (columns a, b).
 
-    Alternates large-star and small-star steps on checkpointed edges until nothing changes:
-    all work is in joins and partial minima, so a node with very many links is no single
-    task's group. Raises if ``rounds`` don't suffice (they grow with the logarithm of the
-    longest chain).
+    Parts of about ``EDGES_A_TASK`` edges are contracted to stars, each in a task; where one
+    part held them all, that is the answer. Otherwise large-star and small-star steps join
+    the parts' stars, again and again with contractions, until nothing changes: their work
+    is in joins and partial minima, so a node with very many links is no single task's
+    group. Raises if ``rounds`` don't suffice (they grow with the logarithm of the longest
+    chain).
     """
-    edges = pinned(
-        links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    )
-    seen = _mark(edges)
+    edges = pinned(links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
+    done = False
     for _ in range(rounds):
+        edges, parts = (edges, 1) if done else _contracted(edges, edges.count())
+        if parts == 1:
+            roots = edges.select(F.col("lo").alias("node")).distinct()
+            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
+                roots.select("node", F.col("node").alias("component"))
+            )
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -115,14 +156,10 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(small, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        edges = pinned(small.select(F.col("m").alias("lo"), "hi").unionByName(moved).distinct())
-        now = _mark(edges)
-        if now == seen:
-            roots = edges.select(F.col("lo").alias("node")).distinct()
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
-                roots.select("node", F.col("node").alias("component"))
-            )
-        seen = now
+        after = pinned(small.select(F.col("m").alias("lo"), "hi").unionByName(moved).distinct())
+        # Only stars to smallest nodes stay as they are in both steps.
+        done = _mark(after) == _mark(edges)
+        edges = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

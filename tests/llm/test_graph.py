@@ -19,8 +19,10 @@ def roots(pairs):
     return {i: root(i) for i in list(parent)}
 
 
+@pytest.mark.parametrize("part", [40, 500_000])
 @pytest.mark.parametrize("kind", ["random", "chain", "star", "empty"])
-def test_components(spark, kind):
+def test_components(spark, kind, part, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_A_TASK", part)
     rng = random.Random(1)
     pairs = {
         "random": [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)],
@@ -29,7 +31,9 @@ def test_components(spark, kind):
         "empty": [],
     }[kind]
     pairs = [(a, b) for a, b in pairs if a != b]
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    rng.shuffle(pairs)
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    got = {r.node: r.component for r in graph.components(links).collect()}
     assert got == roots(pairs)
 
 
