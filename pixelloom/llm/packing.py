@@ -18,25 +18,53 @@ from pyspark.sql import functions as F
 
 from .common import pinned
 
-#: Words whose ids a worker remembers, at most; then it starts anew.
-MEMORY = 200_000
+#: Words in each of the two generations that a worker remembers. When the younger is full it
+#: becomes the older, and what was only in the older is forgotten.
+MEMORY = 250_000
 #: Pieces that one packing task takes, about.
 PIECES_A_TASK = 65_536
 
-# The token pattern of the word-level vocabulary, restricted to U+0000-U+024F,
+# The token pattern of the word-level vocabulary, restricted to U+0000-U+017F,
 # where its letter, number and white-space classes are these.
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
 _BLANKS = "\\x09-\\x0d \\x85\\xa0"
 _TOKEN = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
-_BEYOND = re.compile("[^\x00-įı-ɏ]")
+_BEYOND = re.compile("[^\x00-įı-ſ]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level letters: printable bytes stand for themselves, the others for U+0100 onwards."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordIds(dict):
+    """Ids of single words, as bytes; two generations are kept."""
+
+    def __init__(self, model):
+        self._model, self._letters, self.older = model, _byte_letters(), {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self._letters)
+            found = np.array([t.id for t in self._model.tokenize(spelt)], "<u4").tobytes()
+        self[word] = found
+        return found
+
+    def age(self) -> None:
+        if len(self) > MEMORY:
+            self.older = dict(self)
+            self.clear()
 
 
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary's ids depend on single words only, so words are encoded once and
-    remembered. Texts with characters beyond U+024F, or with the written form of a special
+    remembered. Texts with characters beyond U+017F, or with the written form of a special
     token, go through the tokenizer library as a whole.
     """
 
@@ -51,8 +79,7 @@ class WordTokenizer:
 
             tokenizer = public_tokenizers.path(tokenizer)
         self._whole = Tokenizer.from_file(tokenizer)
-        self._batch = getattr(self._whole, "encode_batch_fast", self._whole.encode_batch)
-        self._known: dict[str, bytes] = {}
+        self._words = WordIds(self._whole.model)
 
     @staticmethod
     def _is_plain(text: str) -> bool:
@@ -64,36 +91,11 @@ class WordTokenizer:
         except UnicodeEncodeError:
             return not _BEYOND.search(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_TOKEN.findall(t.lower()) if self._is_plain(t) else None for t in texts]
-        new = {w for words in split if words for w in words}
-        new.difference_update(self._known)
-        if len(self._known) + len(new) > MEMORY:
-            self._known.clear()
-            new = {w for words in split if words for w in words}
-        if new:
-            ordered = list(new)
-            for word, found in zip(ordered, self._batch(ordered, add_special_tokens=False)):
-                self._known[word] = np.array(found.ids, "<u4").tobytes()
-        known = self._known.__getitem__
-        return [
-            b"".join(map(known, words))
-            if words is not None
-            else np.array(self._whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            for t, words in zip(texts, split)
-        ]
-
-
-def _in_chunks(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``most`` characters."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    def encode(self, text: str) -> bytes:
+        if not self._is_plain(text):
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self._words.age()
+        return b"".join(map(self._words.__getitem__, _TOKEN.findall(text.lower())))
 
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -113,12 +115,11 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
-            for a, b in _in_chunks(texts):
-                for doc_id, data in zip(ids[a:b], encoder.encode(texts[a:b])):
-                    data = memoryview(data + end)
-                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc_id, text in zip(ids, texts):
+                data = memoryview(encoder.encode(text) + end)
+                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                    part = data[at : at + 4 * capacity]
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) if rows else [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -149,6 +150,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    return bound_of_counts(*np.unique(lengths, return_counts=True), capacity)
+
+
+def bound_of_counts(lengths: np.ndarray, times: np.ndarray, capacity: int) -> int:
     """Bins that any packing needs: the best of two families of dual feasible functions.
 
     The first lifts lengths above capacity - t to capacity and drops those below t; the
@@ -156,7 +161,8 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """
     if not len(lengths):
         return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    counts = np.zeros(capacity + 1, np.int64)
+    counts[lengths] = times
     size = np.arange(capacity + 1, dtype=np.int64)
     n_upto, s_upto = np.cumsum(counts), np.cumsum(counts * size)
     t = np.arange(0, capacity // 2 + 1)
@@ -235,7 +241,7 @@ def best_fit_sequences(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", ca
     pieces = pinned(token_pieces(docs, tokenizer, capacity, end_id))
     packed, parts = _dealt(pieces, capacity, 0)
     histogram = np.array([(r[0], r[1]) for r in pieces.groupBy("length").count().collect()], np.int64).reshape(-1, 2)
-    bound = lower_bound(np.repeat(histogram[:, 0], np.minimum(histogram[:, 1], 1)), capacity) if not len(histogram) else _bound_of_counts(histogram, capacity)
+    bound = bound_of_counts(histogram[:, 0], histogram[:, 1], capacity)
     used = _n_bins(packed)
     for turn in range(1, rounds + 1):
         if used <= bound or parts < 2:
@@ -252,9 +258,3 @@ def best_fit_sequences(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", ca
         packed, used = pinned(packed.where(~loose).unionByName(again)), used - before + after
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
-
-def _bound_of_counts(histogram: np.ndarray, capacity: int) -> int:
-    """lower_bound from (length, count) rows, by halves where counts are too many to repeat."""
-    total = int((histogram[:, 0] * histogram[:, 1]).sum())
-    large = int(histogram[histogram[:, 0] * 2 > capacity, 1].sum())
-    return max(-(-total // capacity), large)
