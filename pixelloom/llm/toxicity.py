@@ -28,7 +28,7 @@ _GROUPS = {term: line for line in IDENTITY_TERMS for term in line}
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 #: Stems of words: inflected or extended forms share them.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 #: Words whose features a worker remembers, at most.
 MEMORY = 200_000
 
@@ -41,6 +41,10 @@ def words_in(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def text_features(text: str) -> set[str]:
+    return {f for word in words_in(text or "") for f in features_of(word)}
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
@@ -90,7 +94,7 @@ def swapped_pairs(texts: list[str], most: int = 4000) -> list[tuple[set[str], se
     return pairs[: most + 4 * len(_GROUPS)]
 
 
-def fitted(texts: list[str], toxic: list[int], most_features: int = 3000, penalty: float = 20.0, ridge: float = 1e-3, steps: int = 300) -> ToxicityModel:
+def fitted(texts: list[str], toxic: list[int], most_features: int = 3000, penalty: float = 20.0, ridge: float = 1e-3, steps: int = 300, copies: int = 3) -> ToxicityModel:
     """Logistic regression on word and stem presence.
 
     The loss adds ``penalty`` times the mean squared score change over counterfactual pairs:
@@ -98,21 +102,41 @@ def fitted(texts: list[str], toxic: list[int], most_features: int = 3000, penalt
     the difference of their features.
     """
     y = np.array(toxic, float)
-    sets = [set().union(*map(features_of, words_in(t))) if t else set() for t in texts]
     n_pos, n_neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    seen = [Counter(f for s, v in zip(sets, toxic) if v == label for f in s) for label in (0, 1)]
-    gain = {}
-    for f in seen[1]:
-        a, b = seen[1][f], seen[0][f]
+    # Features are made anew in each pass: all texts' at once would not fit a small driver.
+    signs: Counter = Counter()
+    for text, label in zip(texts, toxic):
+        if label == 1:
+            signs.update(text_features(text))
+    signs = Counter({f: a for f, a in signs.items() if a >= 3})
+    others: Counter = Counter()
+    for text, label in zip(texts, toxic):
+        if label == 0:
+            others.update(text_features(text) & signs.keys())
+    share, gain = n_pos / (n_pos + n_neg), {}
+    for f, a in signs.items():
+        b = others[f]
         p, q = a / n_pos, b / n_neg
         # Only clear signs of label 1: a long clean text holds a few of everything else.
-        if a >= 3 and p > 5 * q:
-            gain[f] = a * np.log((p + 1e-4) / (q + 1e-4))
+        evidence = 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0))
+        if p > 5 * q and evidence >= 25:
+            gain[f] = evidence
     chosen = sorted(gain, key=lambda f: (-gain[f], f))[:most_features]
     chosen += sorted({f for term in _GROUPS for f in features_of(term)} - set(chosen))
-    place = {f: i for i, f in enumerate(chosen)}
-    columns = [np.fromiter((place[f] for f in s if f in place), np.int64) for s in sets]
-    rows = np.repeat(np.arange(len(sets)), [len(c) for c in columns])
+    place, extra = {f: i for i, f in enumerate(chosen)}, []
+    columns = [np.fromiter(sorted(place[f] for f in text_features(t) & place.keys()), np.int64) for t in texts]
+    # Copies that keep few of a text's words teach each word's own weight: toxic words come
+    # together in the labelled texts, and one of them has to be enough.
+    rng = np.random.default_rng(5)
+    for _ in range(copies):
+        for i in range(len(texts)):
+            held = columns[i][rng.random(len(columns[i])) < 0.3]
+            if len(held):
+                columns.append(held)
+                extra.append(toxic[i])
+    y = np.concatenate([y, np.array(extra, float)])
+    rows = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    n_pos, n_neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     flat = np.concatenate(columns) if columns else np.empty(0, np.int64)
     pairs = swapped_pairs(texts)
     change = np.zeros((len(pairs), len(chosen)), np.float32)
