@@ -31,7 +31,7 @@ MEMORY = 200_000
 #: Coordinates of a point, members of a tree node, and members of a bucket's block.
 GROUPS, FANOUT, BLOCK = 64, 24, 4096
 #: Documents that the token order is fitted to, about, and its counters.
-ORDER_SAMPLE, COUNTERS = 20_000, 1 << 20
+ORDER_SAMPLE, COUNTER_BITS = 20_000, 22
 #: Rows up to which a side of narrow rows is broadcast; beyond, the join shuffles.
 SMALL = 100_000
 
@@ -122,7 +122,7 @@ def group_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
 def prefix_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
     """The set's first tokens, rare ones first: two sets that link share one of them."""
     spread = _mixed(tokens, 0xA5)
-    rank = frequent[(spread >> np.uint64(44)).astype(np.int64)]
+    rank = frequent[(spread >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
     length = len(tokens) - ceil(percent * len(tokens) / 100) + 1
     return spread[np.lexsort((spread, rank))[:length]]
 
@@ -131,17 +131,17 @@ def token_order(docs: DataFrame, words_each: int, sample: int = ORDER_SAMPLE) ->
     """Counts of hashed tokens in about ``sample`` documents, drawn by a hash of the row: a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
+        hashes, counts = WordHashes(), np.zeros(1 << COUNTER_BITS, np.int32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 spread = _mixed(token_set(text, words_each, hashes), 0xA5)
-                np.add.at(counts, (spread >> np.uint64(44)).astype(np.int64), 1)
+                np.add.at(counts, (spread >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 0xFFFF).astype("<u2").tobytes()])], ["counts"])
 
     drawn = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("_draw"))
     limit = -(-sample * (1 << 20) // max(1, docs.count()))
     parts = drawn.where(F.col("_draw") < limit).select("text").coalesce(8).mapInArrow(run, "counts binary").collect()
-    total = np.zeros(COUNTERS, np.int64)
+    total = np.zeros(1 << COUNTER_BITS, np.int64)
     for part in parts:
         total += np.frombuffer(part["counts"], "<u2")
     return np.minimum(total, 0xFFFF).astype(np.uint16)
@@ -319,8 +319,13 @@ def may_link(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y", "_m", "_n").mapInArrow(run, "a long, b long, apart long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Only the texts of their ends are read into sets."""
+    if not pairs.head(1):
+        return pairs
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    holders = pinned(classes.select("row", "node").join(ends, "node", "left_semi"))
+    sets = pinned(token_sets(docs, holders, holders.count(), words_each))
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
     y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_y"))
     common = F.size(F.array_intersect("_x", "_y"))
@@ -329,6 +334,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(y, "b")
         .where(100 * common >= percent * (F.size("_x") + F.size("_y") - common))
         .select("a", "b")
+        .distinct()
     )
 
 
@@ -421,9 +427,7 @@ def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> Da
     sides = met.select("key", F.explode(F.array("lead_node", "node")).alias("node")).distinct()
     nearest = F.min(F.struct("apart", "a"))["a"].alias("a")
     first = pinned(may_link(stars, points, percent).groupBy("b").agg(nearest).select("a", "b"))
-    holders = pinned(classes.join(points.select("node"), "node", "left_semi").select("row", "node"))
-    sets = pinned(token_sets(docs, holders, holders.count(), words_each))
-    links = pinned(verified(first, sets, percent).distinct())
+    links = pinned(verified(first, docs, classes, words_each, percent))
 
     def with_component(df: DataFrame, links: DataFrame) -> DataFrame:
         known = components(links).withColumnRenamed("component", "_known")
@@ -435,7 +439,7 @@ def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> Da
     for everything in (False, True):
         found = pinned(bucket_pairs(with_component(sides, links), points, percent, everything))
         pairs = pinned(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        links = pinned(links.unionByName(verified(pairs, sets, percent).distinct()))
+        links = pinned(links.unionByName(verified(pairs, docs, classes, words_each, percent)))
         tried = tried.unionByName(pairs)
         refuted = found.join(links, ["a", "b"], "left_anti").select("key").distinct()
         sides = sides.join(refuted, "key", "left_semi")
