@@ -36,7 +36,7 @@ def in_global_order(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def totals_before(placed: DataFrame, within: list[str], **sums: Column) -> DataFrame:
-    """One row per (within, part): each sum over the parts before it.
+    """One row per (within, part): each sum over the parts before it, and over all.
 
     At most parts + groups rows have to be ordered here, whatever the input holds, since a
     group's rows lie next to each other in the global order.
@@ -47,4 +47,5 @@ def totals_before(placed: DataFrame, within: list[str], **sums: Column) -> DataF
         *within,
         "_part",
         *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"{name}_before") for name in sums],
+        *[F.sum(name).over(Window.partitionBy(*within)).alias(f"{name}_all") for name in sums],
     )

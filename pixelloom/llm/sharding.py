@@ -34,15 +34,14 @@ def byte_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     )
     placed = in_global_order(sized, F.col("doc_id").asc_nulls_first(), F.col("size").asc(), F.col("text_crc32").asc())
     before = totals_before(placed, [], bytes=F.sum("size"), rows=F.count("*"))
-    total = placed.agg(F.sum("size").alias("_total"))
-    # One row per part and one row: both bounded by the number of shuffle partitions.
-    offsets = F.broadcast(before.crossJoin(F.broadcast(total)))
+    # One row per part: bounded by the number of shuffle partitions.
+    offsets = F.broadcast(before)
     running = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
         placed.withColumn("_upto", F.sum("size").over(running))
         .join(offsets, "_part")
         .withColumn("_twice_mid", 2 * (F.col("bytes_before") + F.col("_upto")) - F.col("size"))
-        .withColumn("shard", F.expr(f"cast(least({n_shards - 1}, (_twice_mid * {n_shards}) div (2 * _total)) as int)"))
+        .withColumn("shard", F.expr(f"cast(least({n_shards - 1}, (_twice_mid * {n_shards}) div (2 * bytes_all)) as int)"))
         .withColumn("_at", F.col("rows_before") + F.col("_place"))
     )
     first = cut.groupBy("shard").agg(F.min("_at").alias("_first"))
