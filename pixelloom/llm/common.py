@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,20 @@ def row_key(*names: str) -> Column:
 def fold_is_held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 5, is 0; a null id counts as the text ''."""
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5) == 0
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000):
+    """``run`` for mapInArrow with a small memory: batches of texts come in slices of ``rows``
+    rows, and what Arrow has kept for reuse goes back at the end, as workers outlive their tasks.
+    """
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows):
+                yield batch.slice(a, rows)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(sliced(batches))
+        pa.default_memory_pool().release_unused()
+
+    return wrapped

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_is_held_out
+from .common import fold_is_held_out, lean
 
 WIDTHS = (2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -123,7 +123,7 @@ class Identifier:
         pooled = np.concatenate([found[:, :, :k].max(axis=1), three.max(axis=1), four.max(axis=1)], 1)
         return self.net.probabilities(pooled)
 
-    def texts(self, texts: list[str | None], step: int = 256) -> tuple[list[str], list[float]]:
+    def texts(self, texts: list[str | None], step: int = 128) -> tuple[list[str], list[float]]:
         """Language and score of whole texts: the mean over all their windows."""
         named, scores = ["und"] * len(texts), [0.0] * len(texts)
         at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
@@ -203,7 +203,7 @@ def languages(docs: DataFrame, net: ByteNetwork | None = None, **sampling) -> Da
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold_is_held_out().alias("held_out"), "text")
-    return narrow.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return narrow.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified_only(docs: DataFrame, least: float = 0.0, net: ByteNetwork | None = None, **sampling) -> DataFrame:
@@ -215,4 +215,4 @@ def identified_only(docs: DataFrame, least: float = 0.0, net: ByteNetwork | None
         for batch, named, scores in _identified(batches, net, column):
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(named, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -7,9 +7,9 @@ R-tree bounds the overlap of a point and a node by the summed minima of coordina
 pairs of a bucket that the bounds leave are verified on the sets.
 
 At lower similarities groups would hold too few tokens to tell texts apart. There buckets are
-the tokens of a prefix filter instead: in an order that puts tokens which are frequent in a
-sample last, two sets that link share one of their first tokens. Any order gives all links;
-the sample only keeps common passages out of the buckets.
+the tokens of a prefix filter instead: in an order that puts frequent tokens last, two sets
+that link share one of their first tokens. Any order gives all links; counts of hashed tokens
+only keep common passages out of the buckets.
 """
 
 from __future__ import annotations
@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned
+from .common import lean, pinned
 from .graph import collisions, components
 
 #: Words whose hashes a worker remembers, at most.
-MEMORY = 200_000
+MEMORY = 100_000
 #: Coordinates of a point, members of a tree node, and members of a bucket's block.
 GROUPS, FANOUT, BLOCK = 64, 24, 4096
-#: Documents that the token order is fitted to, about, and its counters.
-ORDER_SAMPLE, COUNTER_BITS = 20_000, 22
+#: Bits of a token's hash that choose its counter in the token order.
+COUNTER_BITS = 22
 #: Rows up to which a side of narrow rows is broadcast; beyond, the join shuffles.
 SMALL = 100_000
 
@@ -127,24 +127,49 @@ def prefix_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.nd
     return spread[np.lexsort((spread, rank))[:length]]
 
 
-def token_order(docs: DataFrame, words_each: int, sample: int = ORDER_SAMPLE) -> np.ndarray:
-    """Counts of hashed tokens in about ``sample`` documents, drawn by a hash of the row: a table of fixed size."""
+def token_order(docs: DataFrame, words_each: int) -> np.ndarray:
+    """Counts of hashed tokens over all documents, in a table of fixed size.
+
+    Workers send their tables in blocks of low and high bytes; blocks are summed apart.
+    """
+    block = 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(1 << COUNTER_BITS, np.int32)
+        hashes, counts = WordHashes(), np.zeros(1 << COUNTER_BITS, np.uint32)
+        held, size = [], 0
+
+        def add():
+            np.add(counts, np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32), out=counts)
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                spread = _mixed(token_set(text, words_each, hashes), 0xA5)
-                np.add.at(counts, (spread >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 0xFFFF).astype("<u2").tobytes()])], ["counts"])
-
-    drawn = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("_draw"))
-    limit = -(-sample * (1 << 20) // max(1, docs.count()))
-    parts = drawn.where(F.col("_draw") < limit).select("text").coalesce(8).mapInArrow(run, "counts binary").collect()
-    total = np.zeros(1 << COUNTER_BITS, np.int64)
-    for part in parts:
-        total += np.frombuffer(part["counts"], "<u2")
-    return np.minimum(total, 0xFFFF).astype(np.uint16)
+                place = _mixed(token_set(text, words_each, hashes), 0xA5) >> np.uint64(64 - COUNTER_BITS)
+                held.append(place.astype(np.int32))
+                size += len(place)
+            if size > 2_000_000:
+                add()
+                held, size = [], 0
+        if held:
+            add()
+        short = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, block)
+        low, high = (short & 0xFF).astype(np.uint8), (short >> 8).astype(np.uint8)
+        for i in range(len(short)):
+            if short[i].any():
+                columns = [pa.array([i], pa.int32()), pa.array([low[i].tobytes()]), pa.array([high[i].tobytes()])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "low", "high"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        total = np.zeros(block, np.int64)
+        for low, high in zip(table.column("low"), table.column("high")):
+            total += np.frombuffer(low.as_buffer(), np.uint8) + 256 * np.frombuffer(high.as_buffer(), np.uint8).astype(np.int64)
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()])})
+
+    parts = docs.select(F.coalesce("text", F.lit(""))).mapInArrow(lean(run), "block int, low binary, high binary")
+    counts = np.zeros(1 << COUNTER_BITS, np.uint32)
+    for row in parts.groupBy("block").applyInArrow(summed, "block int, counts binary").toLocalIterator():
+        counts[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counts"], "<u4")
+    # Only the order counts: finer than the square root of a counter's load, it would be noise.
+    return np.minimum(counts // max(1, int(np.sqrt(counts.mean()))), 0xFFFF).astype(np.uint16)
 
 
 def point_of(tokens: np.ndarray) -> np.ndarray:
@@ -212,7 +237,7 @@ def sketches(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
             )
 
     narrow = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    return narrow.mapInArrow(run, "row long, doc_id long, n long, node long, counts binary, keys array<long>")
+    return narrow.mapInArrow(lean(run), "row long, doc_id long, n long, node long, counts binary, keys array<long>")
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -233,7 +258,7 @@ def token_sets(docs: DataFrame, members: DataFrame, n_members: int, words_each:
             )
 
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(_small(members, n_members), "row").select("node", "text").mapInArrow(run, "node long, tokens array<long>")
+    return texts.join(_small(members, n_members), "row").select("node", "text").mapInArrow(lean(run), "node long, tokens array<long>")
 
 
 class CountTree:

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned
+from .common import lean, pinned
 
 #: Words in each of the two generations that a worker remembers. When the younger is full it
 #: becomes the older, and what was only in the older is forgotten.
-MEMORY = 250_000
+MEMORY = 120_000
 #: Pieces that one packing task takes, about.
 PIECES_A_TASK = 65_536
 
@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity
                 [pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(run, _PIECE)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(lean(run), _PIECE)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_is_held_out
+from .common import fold_is_held_out, lean
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -286,4 +286,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, least_share: float = 0.3,
             names = [c.split()[0] for c in _OUT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(run, _OUT)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(lean(run), _OUT)

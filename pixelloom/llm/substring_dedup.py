@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pinned
+from .common import lean, pinned
 from .graph import collisions, components
 from .ngram_join import MEMORY, SMALL, WordHashes, _as_long, _mixed
 
 SHINGLE = 5
 PARAGRAPH = 20
 WINDOW = 12
+#: Words of a sentence from which a window starts.
+SHORTEST = 2
 #: A place is start * 2**24 + words.
 _PLACE = 24
 
@@ -110,10 +112,10 @@ class Passages:
         if len(starts) > 1:
             if len(h) > len(self.powers):
                 self._grow(2 * len(h))
-            # The window from a sentence ends where a sentence does, at WINDOW words or more, within its line.
-            begin = starts[:-1]
+            # The window from a sentence ends where a sentence does, at WINDOW words or more; lines
+            # count as sentences. Windows from the shortest sentences would add little.
+            begin = starts[:-1][np.diff(starts) >= SHORTEST]
             end = starts[np.minimum(np.searchsorted(starts, begin + WINDOW), len(starts) - 1)]
-            end = np.minimum(end, edges[np.searchsorted(edges, begin, side="right")])
             fits = end - begin >= WINDOW
             begin, end = begin[fits], end[fits]
             with np.errstate(over="ignore"):
@@ -145,7 +147,7 @@ def passage_collisions(docs: DataFrame, similarity: float) -> DataFrame:
                     ["key", "row", "place"],
                 )
 
-    return collisions(docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit(""))), run, ["row", "place"])
+    return collisions(docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit(""))), lean(run), ["row", "place"])
 
 
 def paragraph_sets(docs: DataFrame, wanted: DataFrame, n_docs: int) -> DataFrame:
@@ -171,7 +173,7 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame, n_docs: int) -> DataFrame
 
     side = F.broadcast(wanted) if n_docs <= SMALL else wanted
     texts = docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(side, "row").select("row", "text", "places").mapInArrow(run, "row long, place long, shingles array<long>")
+    return texts.join(side, "row").select("row", "text", "places").mapInArrow(lean(run), "row long, place long, shingles array<long>")
 
 
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = 25) -> DataFrame:
@@ -287,4 +289,4 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
                     columns[chars_at] = pa.array(sizes, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns[:-1], names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)

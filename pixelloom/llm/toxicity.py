@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_is_held_out
+from .common import fold_is_held_out, lean
 
 # Terms for groups of people; within a line they can stand for one another.
 IDENTITY_TERMS = (
@@ -214,4 +214,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, **sampling) -> DataFrame:
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold_is_held_out().alias("held_out"), "text")
-    return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return narrow.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
