@@ -92,7 +92,7 @@ def collisions(source: DataFrame, keys, items: list[str]) -> DataFrame:
         shuffle_width(source.sparkSession), F.when(F.col("_meets"), F.col("key")).otherwise(F.xxhash64(*items))
     )
     out = ", ".join(f"{n} long" for n in ("key", *leads, *items))
-    return pinned(dealt.sortWithinPartitions("_meets", "key", *items).mapInArrow(meet, out))
+    return pinned(dealt.sortWithinPartitions("_meets", "key", *items).mapInArrow(meet, out), narrow=True)
 
 
 #: Edges that one task contracts at once, about.
@@ -140,7 +140,7 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
     group. Raises if ``rounds`` don't suffice (they grow with the logarithm of the longest
     chain).
     """
-    edges = pinned(links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
+    edges = pinned(links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), narrow=True)
     done = False
     for _ in range(rounds):
         edges, parts = (edges, 1) if done else _contracted(edges, edges.count())
@@ -156,7 +156,7 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(small, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        after = pinned(small.select(F.col("m").alias("lo"), "hi").unionByName(moved).distinct())
+        after = pinned(small.select(F.col("m").alias("lo"), "hi").unionByName(moved).distinct(), narrow=True)
         # Only stars to smallest nodes stay as they are in both steps.
         done = _mark(after) == _mark(edges)
         edges = after

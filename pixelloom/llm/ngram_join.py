@@ -349,7 +349,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words_each:
     if not pairs.head(1):
         return pairs
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = pinned(classes.select("row", "node").join(ends, "node", "left_semi"))
+    holders = pinned(classes.select("row", "node").join(ends, "node", "left_semi"), narrow=True)
     sets = pinned(token_sets(docs, holders, holders.count(), words_each))
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
     y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_y"))
@@ -447,12 +447,13 @@ def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> Da
     points = pinned(
         sketched.select("node", "counts", "n")
         .dropDuplicates(["node"])
-        .join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        .join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"),
+        narrow=True,
     )
     sides = met.select("key", F.explode(F.array("lead_node", "node")).alias("node")).distinct()
     nearest = F.min(F.struct("apart", "a"))["a"].alias("a")
-    first = pinned(may_link(stars, points, percent).groupBy("b").agg(nearest).select("a", "b"))
-    links = pinned(verified(first, docs, classes, words_each, percent))
+    first = pinned(may_link(stars, points, percent).groupBy("b").agg(nearest).select("a", "b"), narrow=True)
+    links = pinned(verified(first, docs, classes, words_each, percent), narrow=True)
 
     def with_component(df: DataFrame, links: DataFrame) -> DataFrame:
         known = components(links).withColumnRenamed("component", "_known")
@@ -462,9 +463,9 @@ def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> Da
     # pairs of the buckets in which one pair of the forest was refuted.
     tried = first
     for everything in (False, True):
-        found = pinned(bucket_pairs(with_component(sides, links), points, percent, everything))
-        pairs = pinned(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        links = pinned(links.unionByName(verified(pairs, docs, classes, words_each, percent)))
+        found = pinned(bucket_pairs(with_component(sides, links), points, percent, everything), narrow=True)
+        pairs = pinned(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), narrow=True)
+        links = pinned(links.unionByName(verified(pairs, docs, classes, words_each, percent)), narrow=True)
         tried = tried.unionByName(pairs)
         refuted = found.join(links, ["a", "b"], "left_anti").select("key").distinct()
         sides = sides.join(refuted, "key", "left_semi")
@@ -483,11 +484,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Of rows equal in id and text one stays too. Columns are unchanged.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
-    found = pinned(ngram_classes(docs, **options).select("row", "component", rank.alias("_rank")))
+    found = pinned(ngram_classes(docs, **options).select("row", "component", rank.alias("_rank")), narrow=True)
     kept = found.groupBy("component").agg(F.min("_rank").alias("_rank")).select(F.col("_rank.row").alias("row"))
     counted = found.groupBy("row").agg((F.count("*") > 1).alias("_again"))
-    gone = pinned(counted.join(kept, "row", "left_anti").select(F.col("row").alias("__ngram_row")))
-    again = pinned(counted.where("_again").join(gone, counted["row"] == gone["__ngram_row"], "left_anti").select(F.col("row").alias("__ngram_row")))
+    gone = pinned(counted.join(kept, "row", "left_anti").select(F.col("row").alias("__ngram_row")), narrow=True)
+    again = pinned(counted.where("_again").join(gone, counted["row"] == gone["__ngram_row"], "left_anti").select(F.col("row").alias("__ngram_row")), narrow=True)
     keyed = docs.withColumn("__ngram_row", F.xxhash64("doc_id", "text"))
     n_again = again.count()
     out = gone.select("__ngram_row").unionByName(again) if n_again else gone.select("__ngram_row")

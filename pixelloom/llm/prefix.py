@@ -32,7 +32,7 @@ def in_global_order(df: DataFrame, *order: Column) -> DataFrame:
     )
     # The ids above are those of the sorted parts and stay so; only files get fewer: each task
     # writes several whole parts of these narrow rows into one checkpoint file.
-    return pinned(placed.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism))
+    return pinned(placed, narrow=True)
 
 
 def totals_before(placed: DataFrame, within: list[str], **sums: Column) -> DataFrame:

@@ -193,9 +193,9 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     met = passage_collisions(docs, similarity)
     windows = met.where("key % 2 <> 0")
     pairs = met.where("key % 2 = 0 and lead_row <> row").select("lead_row", "lead_place", "row", "place").distinct()
-    pairs = pinned(pairs)
+    pairs = pinned(pairs, narrow=True)
     sides = pairs.select("row", "place").unionByName(pairs.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place")))
-    wanted = pinned(sides.groupBy("row").agg(F.collect_set("place").alias("places")))
+    wanted = pinned(sides.groupBy("row").agg(F.collect_set("place").alias("places")), narrow=True)
     sets = pinned(paragraph_sets(docs, wanted, wanted.count()).dropDuplicates(["row", "place"]))
     theirs = sets.select(F.col("row").alias("lead_row"), F.col("place").alias("lead_place"), F.col("shingles").alias("_lead"))
     common = F.size(F.array_intersect("shingles", "_lead"))
@@ -265,7 +265,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
         .agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans"))
         .withColumnRenamed("row", "__row")
     )
-    spans = pinned(spans)
+    spans = pinned(spans, narrow=True)
     side = F.broadcast(spans) if spans.count() <= SMALL else spans
     joined = docs.withColumn("__row", _row(docs)).join(side, "__row", "left").select(*docs.columns, "__spans")
     names = docs.columns
