@@ -209,12 +209,15 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     units = sides.distinct().withColumn("node", F.xxhash64("row", "place")).join(clustered, "node")
     first = units.groupBy("component").agg(F.min(F.struct("row", "place")).alias("_first"))
     paragraphs = units.join(first, "component").select("row", "place", F.col("component").alias("class"), (F.col("row") != F.col("_first.row")).alias("removed"))
-    # Of a window's content the smallest place is kept; places in its document are no repeats.
-    kept = windows.groupBy("key").agg(F.min(F.struct("lead_row", "lead_place")).alias("_kept"))
-    copies = windows.select("key", "row", "place").distinct().join(kept, "key").where("_kept.lead_row <> row")
+    # A window is no smallest place of its content if its lead is in another document, or if its
+    # lead is in its own document and has itself another lead. Smallest places are kept.
+    across = windows.where("lead_row <> row")
+    kept = across.groupBy("key").agg(F.min(F.struct("lead_row", "lead_place")).alias("_kept"))
+    inside = windows.where("lead_row = row").join(kept, "key").where("_kept.lead_row <> row")
     found = (
-        copies.select("row", "place", F.col("key").alias("class"), F.lit(True).alias("removed"))
-        .unionByName(copies.select(F.col("_kept.lead_row").alias("row"), F.col("_kept.lead_place").alias("place"), F.col("key").alias("class"), F.lit(False).alias("removed")).distinct())
+        across.unionByName(inside.select(*across.columns))
+        .select("row", "place", F.col("key").alias("class"), F.lit(True).alias("removed"))
+        .unionByName(kept.select(F.col("_kept.lead_row").alias("row"), F.col("_kept.lead_place").alias("place"), F.col("key").alias("class"), F.lit(False).alias("removed")))
         .unionByName(paragraphs)
         .select("row", "class", "removed", F.shiftright("place", _PLACE).alias("_from"), (F.shiftright("place", _PLACE) + F.col("place").bitwiseAND((1 << _PLACE) - 1)).alias("_to"))
     )
