@@ -17,15 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def pinned(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    Tables of a few narrow columns (``narrow``) are written by at most two tasks a core, so
-    that many shuffle partitions don't make many tiny files.
+    Tables of a few narrow columns (``narrow``) are written by two tasks a core or by an eighth
+    of the shuffle partitions, whichever is more: few tiny files where there are many
+    partitions of little, and still small tasks where there is much.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where a session has none
     (local tests) a temporary one is made.
     """
     context = df.sparkSession.sparkContext
     if narrow:
-        df = df.coalesce(2 * context.defaultParallelism)
+        df = df.coalesce(max(2 * context.defaultParallelism, shuffle_width(df.sparkSession) // 8))
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(
             context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pixelloom-ckpt-")
