@@ -25,6 +25,8 @@ PARAGRAPH = 20
 WINDOW = 12
 #: Words of a sentence from which a window starts.
 SHORTEST = 2
+#: Paragraphs and shingles of a bucket's block, about.
+BLOCK, BLOCK_WORDS = 2048, 1_000_000
 #: A place is start * 2**24 + words.
 _PLACE = 24
 
@@ -176,6 +178,126 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame, n_docs: int) -> DataFrame
     return texts.join(side, "row").select("row", "text", "places").mapInArrow(lean(run), "row long, place long, shingles array<long>")
 
 
+def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between the components of each bucket; ``members`` has key, node, component.
+
+    Every two members of different components are compared by their sets. Buckets are cut into
+    blocks of about ``BLOCK`` members or ``BLOCK_WORDS`` shingles, and each pair of blocks is
+    gone through on its own, so no task holds a whole bucket. Of links that connect the same
+    components one is given.
+    """
+    sized = members.join(contents.select("node", F.size("shingles").alias("_n")), "node")
+    shape = (
+        sized.groupBy("key")
+        .agg(
+            F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("_n") / BLOCK_WORDS)).cast("int").alias("_blocks"),
+            (F.min("component") != F.max("component")).alias("_apart"),
+        )
+        .where("_apart")
+        .select("key", F.greatest("_blocks", F.lit(1)).alias("_blocks"))
+    )
+    group = ["key", "i", "j"]
+    dealt = (
+        members.join(shape, "key")
+        .withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "component")
+        .join(contents, "node")
+        .select(*group, "_own", "node", "component", "shingles")
+    )
+
+    def links_of(table: pa.Table) -> list[tuple[int, int]]:
+        nodes, parts, own = (table.column(c).to_numpy() for c in ("node", "component", "_own"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        label = np.unique(parts, return_inverse=True)[1]
+        if not label.any():
+            return []
+        sets = table.column("shingles").combine_chunks()
+        sizes = sets.value_lengths().to_numpy().astype(np.int64)
+        token = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+        holder = np.repeat(np.arange(len(nodes)), sizes)
+        holder = holder[np.argsort(token, kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(token))])
+        ends, theirs, out = np.cumsum(sizes), own == j, []
+        for x in np.flatnonzero(own == i).tolist():
+            tokens = token[ends[x] - sizes[x] : ends[x]]
+            if not len(tokens):
+                continue
+            common = np.bincount(np.concatenate([holder[first[t] : first[t + 1]] for t in tokens.tolist()]), minlength=len(nodes))
+            near = (common >= similarity * (sizes + sizes[x] - common)) & theirs
+            for y in np.flatnonzero(near & (label != label[x])).tolist():
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                    out.append((int(nodes[x]), int(nodes[y])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, group):
+            found = links_of(table)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(lean(run), "a long, b long")
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
+    """The tables of equal values in the columns ``group``, by which the rows are sorted."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        ids = [table.column(c).to_numpy() for c in group]
+        cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1).tolist(), len(table)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and any(held[0].column(c)[0].as_py() != x[a] for c, x in zip(group, ids)):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(table.slice(a, b - a))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def clustered_paragraphs(docs: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """row, place, class, removed of paragraphs whose component reaches several documents.
+
+    Equal sets of shingles are one node. Leads meet their buckets' members first; buckets that
+    still hold several components are then gone through in full. Paragraphs of one document
+    connect others as well; components within one document are left out at the end.
+    """
+    pairs = pinned(met.select("key", "lead_row", "lead_place", "row", "place"), narrow=True)
+    sides = pairs.select("row", "place").unionByName(pairs.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place")))
+    wanted = pinned(sides.groupBy("row").agg(F.collect_set("place").alias("places")), narrow=True)
+    sets = pinned(paragraph_sets(docs, wanted, wanted.count()).dropDuplicates(["row", "place"]).withColumn("node", F.xxhash64("shingles")))
+    contents = pinned(sets.select("node", "shingles").dropDuplicates(["node"]))
+    owners = sets.select("row", "place", "node")
+    leads = owners.select(F.col("row").alias("lead_row"), F.col("place").alias("lead_place"), F.col("node").alias("a"))
+    keyed = pinned(
+        pairs.join(owners, ["row", "place"]).join(leads, ["lead_row", "lead_place"]).where("a <> node").select("key", "a", F.col("node").alias("b")).distinct(),
+        narrow=True,
+    )
+    common = F.size(F.array_intersect("_x", "_y"))
+    links = pinned(
+        keyed.select("a", "b")
+        .distinct()
+        .join(contents.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a")
+        .join(contents.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
+        .where(common >= similarity * (F.size("_x") + F.size("_y") - common))
+        .select("a", "b"),
+        narrow=True,
+    )
+
+    def with_component(df: DataFrame, links: DataFrame) -> DataFrame:
+        known = components(links).withColumnRenamed("component", "_known")
+        return df.join(known, "node", "left").withColumn("component", F.coalesce("_known", "node")).drop("_known")
+
+    members = keyed.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+    more = block_links(pinned(with_component(members, links), narrow=True), contents, similarity)
+    units = pinned(with_component(owners, links.unionByName(more)), narrow=True)
+    first = units.groupBy("component").agg(F.min("row").alias("_first"), F.max("row").alias("_last")).where("_first <> _last")
+    return units.join(first, "component").select("row", "place", F.col("component").alias("class"), (F.col("row") != F.col("_first")).alias("removed"))
+
+
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = 25) -> DataFrame:
     """Stretches of text that occur in several documents: row, start_word, n_words, class_id, removed.
 
@@ -192,23 +314,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     """
     met = passage_collisions(docs, similarity)
     windows = met.where("key % 2 <> 0")
-    pairs = met.where("key % 2 = 0 and lead_row <> row").select("lead_row", "lead_place", "row", "place").distinct()
-    pairs = pinned(pairs, narrow=True)
-    sides = pairs.select("row", "place").unionByName(pairs.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place")))
-    wanted = pinned(sides.groupBy("row").agg(F.collect_set("place").alias("places")), narrow=True)
-    sets = pinned(paragraph_sets(docs, wanted, wanted.count()).dropDuplicates(["row", "place"]))
-    theirs = sets.select(F.col("row").alias("lead_row"), F.col("place").alias("lead_place"), F.col("shingles").alias("_lead"))
-    common = F.size(F.array_intersect("shingles", "_lead"))
-    links = (
-        pairs.join(sets, ["row", "place"])
-        .join(theirs, ["lead_row", "lead_place"])
-        .where(common >= similarity * (F.size("shingles") + F.size("_lead") - common))
-        .select(F.xxhash64("row", "place").alias("a"), F.xxhash64("lead_row", "lead_place").alias("b"))
-    )
-    clustered = components(links)
-    units = sides.distinct().withColumn("node", F.xxhash64("row", "place")).join(clustered, "node")
-    first = units.groupBy("component").agg(F.min(F.struct("row", "place")).alias("_first"))
-    paragraphs = units.join(first, "component").select("row", "place", F.col("component").alias("class"), (F.col("row") != F.col("_first.row")).alias("removed"))
+    paragraphs = clustered_paragraphs(docs, met.where("key % 2 = 0"), similarity)
     # A window is no smallest place of its content if its lead is in another document, or if its
     # lead is in its own document and has itself another lead. Smallest places are kept.
     across = windows.where("lead_row <> row")

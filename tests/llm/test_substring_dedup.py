@@ -80,6 +80,40 @@ def test_without_repeats_keeps_every_word_once(spark, rows):
     assert all(r.n_chars == len(r.text) for i, r in after.items() if r.text and r.text != before[i].text)
 
 
+def edited(base, places, mark):
+    return " ".join(f"{mark}{i}" if i in places else w for i, w in enumerate(base))
+
+
+def stars(spark, monkeypatch, texts, lead, items):
+    """Documents of ``texts`` whose paragraphs (document, line) meet ``lead`` under one key."""
+    docs = spark.createDataFrame([(i, t, None, None, 0, "") for i, t in enumerate(texts)], SCHEMA)
+    row = {r.doc_id: r.row for r in docs.select("doc_id", sd._row(docs).alias("row")).collect()}
+    at = lambda d, line: (row[d], (100 * line) << 24 | 100)
+    met = spark.createDataFrame([(2, *at(*lead), *at(*i)) for i in items], "key long, lead_row long, lead_place long, row long, place long")
+    monkeypatch.setattr(sd, "passage_collisions", lambda *_: met)
+    return docs
+
+
+def test_members_of_a_bucket_meet_without_their_lead(spark, monkeypatch):
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(f"z{k}" for k in range(100)), edited(base, (5,), "n"), edited(base, (50,), "m")]
+    docs = stars(spark, monkeypatch, texts, (0, 0), [(1, 0), (2, 0)])
+    for block in (2048, 1):
+        monkeypatch.setattr(sd, "BLOCK", block, raising=False)
+        found = sd.repeats_by_document(docs).collect()
+        assert {r.doc_id for r in found} == {1, 2} and sum(r.removed for r in found) == 1
+
+
+def test_copies_within_a_document_connect(spark, monkeypatch):
+    base = [f"w{i}" for i in range(100)]
+    a, b, c, d = (edited(base, (i,), "e") for i in (3, 90, 40, 60))
+    docs = stars(spark, monkeypatch, [f"{a}\n{b}", f"{c}\n{d}"], (0, 0), [(0, 1), (1, 0), (1, 1)])
+    found = sd.repeats_by_document(docs).collect()
+    assert sorted((r.n_words, r.removed) for r in found) == [(200, False), (200, True)]
+    docs = stars(spark, monkeypatch, [f"{a}\n{b}", "other"], (0, 0), [(0, 1)])
+    assert sd.repeats_by_document(docs).collect() == []
+
+
 def test_cut_words():
     text = "a b  c\nd e"
     assert sd.cut_words(text, [(1, 2)]) == "a d e"
