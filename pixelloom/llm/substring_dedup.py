@@ -23,8 +23,6 @@ from .ngram_join import MEMORY, SMALL, WordHashes, _as_long, _mixed
 SHINGLE = 5
 PARAGRAPH = 20
 WINDOW = 12
-#: Words of a sentence from which a window starts.
-SHORTEST = 2
 #: Paragraphs and shingles of a bucket's block, about.
 BLOCK, BLOCK_WORDS = 2048, 1_000_000
 #: A place is start * 2**24 + words.
@@ -115,8 +113,8 @@ class Passages:
             if len(h) > len(self.powers):
                 self._grow(2 * len(h))
             # The window from a sentence ends where a sentence does, at WINDOW words or more; lines
-            # count as sentences. Windows from the shortest sentences would add little.
-            begin = starts[:-1][np.diff(starts) >= SHORTEST]
+            # count as sentences.
+            begin = starts[:-1]
             end = starts[np.minimum(np.searchsorted(starts, begin + WINDOW), len(starts) - 1)]
             fits = end - begin >= WINDOW
             begin, end = begin[fits], end[fits]

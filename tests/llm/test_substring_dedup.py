@@ -114,6 +114,27 @@ def test_copies_within_a_document_connect(spark, monkeypatch):
     assert sd.repeats_by_document(docs).collect() == []
 
 
+def word(rng):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+
+
+def stretches(keyed_texts):
+    """Words of the second text under keys that the first has too."""
+    (k, _), (theirs, places) = keyed_texts
+    held = set(k.tolist())
+    return {w for key, p in zip(theirs.tolist(), places.tolist()) if key in held for w in range(p >> 24, (p >> 24) + (p & (1 << 24) - 1))}
+
+
+def test_blocks_of_one_word_sentences_have_windows():
+    rng = random.Random(5)
+    block = [word(rng).capitalize() for _ in range(60)]
+    around = [[word(rng) for _ in range(30)] for _ in range(4)]
+    title = [" ".join([*around[i], *block, *around[i + 1]]) for i in (0, 2)]
+    lines = ["\n".join([*around[i], *block, *around[i + 1]]) for i in (0, 2)]
+    for texts in (title, lines):
+        assert len(stretches([sd.Passages().keys(t) for t in texts])) >= 55
+
+
 def test_cut_words():
     text = "a b  c\nd e"
     assert sd.cut_words(text, [(1, 2)]) == "a d e"
