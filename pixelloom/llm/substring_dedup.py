@@ -2,8 +2,11 @@
 
 Two kinds of passages are looked at. Paragraphs (lines of ``PARAGRAPH`` words or more) meet
 by MinHash bands and are verified on their sets of five-word shingles. So that passages put
-into the middle of other text are found as well, windows that start at each sentence and end
-with the first sentence after ``WINDOW`` words meet by their whole content.
+into the middle of other text are found as well, windows of ``WINDOW`` words meet by their
+whole content. They are chosen by content (winnowing: the smallest hash of each few neighbours),
+so that every stretch of the least length that two texts share has a window in both, wherever
+it starts and however lines break; windows at sentence starts are added. At the ends of what
+met, all windows that a chosen one leaves open are tried.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ BLOCK, BLOCK_WORDS = 2048, 1_000_000
 _PLACE = 24
 
 _UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
-_BOUND = re.compile(rf"(?<=[.!?])\s+|(?<=[{_LOWER},;:])\s+(?=[{_UPPER}][{_LOWER}])")
+_BOUND = re.compile(rf"(?<=[.!?])[ \t\n\x0b\x0c\r]+|(?<=[{_LOWER},;:])[ \t\n\x0b\x0c\r]+(?=[{_UPPER}][{_LOWER}])")
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
@@ -41,10 +44,38 @@ def tuned_bands(similarity: float, recall: float = 0.99, rows: int = 3) -> int:
     return bands
 
 
+def _sliding(best: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
+    done = 1
+    while done < span:
+        step = min(done, span - done)
+        x = best(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def chosen(h: np.ndarray, span: int) -> np.ndarray:
+    """Places of the smallest of every ``span`` neighbouring hashes: texts that share all of these share a place."""
+    span = min(span, len(h))
+    pad = np.zeros(span - 1, np.uint64)
+    least = np.concatenate([pad, _sliding(np.minimum, h, span), pad])
+    return np.flatnonzero(_sliding(np.maximum, least, span) == h)
+
+
+def window_shape(least_words: int) -> tuple[int, int]:
+    """Words of a window, and the span of starts of which one is chosen.
+
+    A stretch of ``least_words`` holds a whole span of windows. Chosen windows are no further
+    apart than their width, so those that met leave no words between them.
+    """
+    width = max(1, min(WINDOW, least_words // 2))
+    return width, max(1, min(width, least_words - width + 1))
+
+
 class Passages:
     """Word hashes, paragraphs and windows of texts."""
 
-    def __init__(self, similarity: float = 0.8, rows: int = 3):
+    def __init__(self, similarity: float = 0.8, rows: int = 3, least_words: int = 25):
+        self.width, self.span = window_shape(least_words)
         self.rows, self.bands = rows, tuned_bands(similarity, rows=rows)
         rng = np.random.default_rng(11)
         self.factors = rng.integers(1, 1 << 63, self.rows * self.bands, dtype=np.uint64) | np.uint64(1)
@@ -90,6 +121,17 @@ class Passages:
                 total += h[ahead : ahead + n] * self.powers[ahead]
         return _mixed(total, SHINGLE)
 
+    def windows(self, h: np.ndarray) -> np.ndarray:
+        """Odd hashes of the content of all windows of ``width`` words."""
+        n = len(h) - self.width + 1
+        if n < 1:
+            return np.empty(0, np.uint64)
+        if len(h) > len(self.powers):
+            self._grow(2 * len(h))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self.powers[: len(h)], dtype=np.uint64)])
+            return _mixed((sums[self.width :] - sums[:n]) * self.inverses[:n], 0x66) | np.uint64(1)
+
     def keys(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Keys (even: a band of a paragraph; odd: a window's content) and places."""
         h, starts, lines = self.words(text)
@@ -109,20 +151,11 @@ class Passages:
                     key = _mixed(key + minima[:, row], row + 1)
                 keys.append((key & ~np.uint64(1)).ravel())
                 places.append(np.tile((first << _PLACE) | (last - first), self.bands))
-        if len(starts) > 1:
-            if len(h) > len(self.powers):
-                self._grow(2 * len(h))
-            # The window from a sentence ends where a sentence does, at WINDOW words or more; lines
-            # count as sentences.
-            begin = starts[:-1]
-            end = starts[np.minimum(np.searchsorted(starts, begin + WINDOW), len(starts) - 1)]
-            fits = end - begin >= WINDOW
-            begin, end = begin[fits], end[fits]
-            with np.errstate(over="ignore"):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(h * self.powers[: len(h)], dtype=np.uint64)])
-                key = _mixed((sums[end] - sums[begin]) * self.inverses[begin] + (end - begin).astype(np.uint64), 0x66)
-            keys.append(key | np.uint64(1))
-            places.append((begin << _PLACE) | (end - begin))
+        windows = self.windows(h)
+        if len(windows):
+            begin = np.union1d(chosen(windows, self.span), starts[starts < len(windows)])
+            keys.append(windows[begin])
+            places.append((begin << _PLACE) | self.width)
         if not keys:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return _as_long(np.concatenate(keys)), np.concatenate(places).astype(np.int64)
@@ -132,11 +165,11 @@ def _row(df: DataFrame):
     return F.xxhash64("doc_id", "text")
 
 
-def passage_collisions(docs: DataFrame, similarity: float) -> DataFrame:
+def passage_collisions(docs: DataFrame, similarity: float, least_words: int = 25) -> DataFrame:
     """key, lead_row, lead_place, row, place of paragraphs and windows that meet under a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(similarity)
+        passages = Passages(similarity, least_words=least_words)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a in range(0, len(texts), 200):
@@ -296,6 +329,74 @@ def clustered_paragraphs(docs: DataFrame, met: DataFrame, similarity: float) ->
     return units.join(first, "component").select("row", "place", F.col("component").alias("class"), (F.col("row") != F.col("_first")).alias("removed"))
 
 
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """key, row, place, removed of windows whose content several documents hold."""
+    # A window is no smallest place of its content if its lead is in another document, or if its
+    # lead is in its own document and has itself another lead. Smallest places are kept.
+    across = windows.where("lead_row <> row")
+    kept = across.groupBy("key").agg(F.min(F.struct("lead_row", "lead_place")).alias("_kept"))
+    inside = windows.where("lead_row = row").join(kept, "key").where("_kept.lead_row <> row")
+    return (
+        across.unionByName(inside.select(*across.columns))
+        .select("key", "row", "place", F.lit(True).alias("removed"))
+        .unionByName(kept.select("key", F.col("_kept.lead_row").alias("row"), F.col("_kept.lead_place").alias("place"), F.lit(False).alias("removed")))
+    )
+
+
+def edge_collisions(docs: DataFrame, shared: DataFrame, least_words: int) -> DataFrame:
+    """Collisions of the windows beside those with which a run of shared windows begins or ends.
+
+    Between shared windows that touch, all words are found already. A shared stretch begins
+    less than a span before its first chosen window. If that isn't in a document's run already,
+    the run begins less than a span before this window. So all documents that hold such a window give
+    every start less than a span before it; at the end it is the same.
+    """
+    width, span = window_shape(least_words)
+    at = F.shiftright("place", _PLACE)
+    along = Window.partitionBy("row").orderBy("_at")
+    runs = (
+        shared.select("key", "row", at.alias("_at"))
+        .withColumn("_new", F.when(F.col("_at") - F.lag("_at").over(along) <= width, 0).otherwise(1))
+        .withColumn("_run", F.sum("_new").over(along))
+    )
+    run = Window.partitionBy("row", "_run")
+    edges = (
+        runs.select("key", (F.col("_at") - F.min("_at").over(run) < span).alias("_before"), (F.max("_at").over(run) - F.col("_at") < span).alias("_after"))
+        .where("_before or _after")
+        .groupBy("key")
+        .agg(F.max("_before").alias("_before"), F.max("_after").alias("_after"))
+    )
+    # 1: the starts before a place, 2: those after it, 3: both.
+    sides = F.col("_before").cast("long") + 2 * F.col("_after").cast("long")
+    tried = shared.join(edges, "key").select("row", F.shiftleft(at, _PLACE).bitwiseOR(sides).alias("place"))
+    wanted = pinned(tried.groupBy("row").agg(F.collect_set("place").alias("places")), narrow=True)
+    side = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+
+    def run_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages(least_words=least_words)
+        for batch in batches:
+            rows, keys, places = [], [], []
+            for row, text, own in zip(*(c.to_pylist() for c in batch.columns)):
+                h = passages.windows(passages.word_hashes(text))
+                own = np.array(own, np.int64)
+                begin, which = own >> _PLACE, own & ((1 << _PLACE) - 1)
+                marks = np.zeros(len(h) + 1, np.int64)
+                for bit, low, high in ((1, begin - span + 1, begin), (2, begin, begin + span - 1)):
+                    held = (which & bit) > 0
+                    np.add.at(marks, np.maximum(low[held], 0), 1)
+                    np.add.at(marks, np.minimum(high[held] + 1, len(h)), -1)
+                starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+                rows.append(np.full(len(starts), row))
+                keys.append(_as_long(h[starts]))
+                places.append((starts << _PLACE) | width)
+            if rows:
+                columns = [pa.array(np.concatenate(c), pa.int64()) for c in (keys, rows, places)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "row", "place"])
+
+    texts = docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return collisions(texts.join(side, "row").select("row", "text", "places"), lean(run_keys), ["row", "place"])
+
+
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = 25) -> DataFrame:
     """Stretches of text that occur in several documents: row, start_word, n_words, class_id, removed.
 
@@ -310,18 +411,12 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     and rows equal in id and text are one document. Extra columns are not read; an empty
     table gives no rows.
     """
-    met = passage_collisions(docs, similarity)
-    windows = met.where("key % 2 <> 0")
+    met = passage_collisions(docs, similarity, least_words)
     paragraphs = clustered_paragraphs(docs, met.where("key % 2 = 0"), similarity)
-    # A window is no smallest place of its content if its lead is in another document, or if its
-    # lead is in its own document and has itself another lead. Smallest places are kept.
-    across = windows.where("lead_row <> row")
-    kept = across.groupBy("key").agg(F.min(F.struct("lead_row", "lead_place")).alias("_kept"))
-    inside = windows.where("lead_row = row").join(kept, "key").where("_kept.lead_row <> row")
+    shared = pinned(shared_windows(met.where("key % 2 <> 0")), narrow=True)
     found = (
-        across.unionByName(inside.select(*across.columns))
-        .select("row", "place", F.col("key").alias("class"), F.lit(True).alias("removed"))
-        .unionByName(kept.select(F.col("_kept.lead_row").alias("row"), F.col("_kept.lead_place").alias("place"), F.col("key").alias("class"), F.lit(False).alias("removed")))
+        shared.unionByName(shared_windows(edge_collisions(docs, shared, least_words)))
+        .select("row", "place", F.col("key").alias("class"), "removed")
         .unionByName(paragraphs)
         .select("row", "class", "removed", F.shiftright("place", _PLACE).alias("_from"), (F.shiftright("place", _PLACE) + F.col("place").bitwiseAND((1 << _PLACE) - 1)).alias("_to"))
     )

@@ -135,6 +135,25 @@ def test_blocks_of_one_word_sentences_have_windows():
         assert len(stretches([sd.Passages().keys(t) for t in texts])) >= 55
 
 
+def test_passages_are_found_wherever_they_start(spark):
+    rng = random.Random(7)
+    words = lambda n: [word(rng) for _ in range(n)]
+    plain, least, wrapped = words(60), words(25), words(50)
+    # 55 words from mid-sentence on: a tail, one sentence, a head.
+    middle = [*words(19), word(rng) + ".", word(rng).capitalize(), *words(18), word(rng) + ".", word(rng).capitalize(), *words(14)]
+    texts, places = {}, {}
+    for i, passage in enumerate((plain, least, middle, wrapped)):
+        for k in range(3):
+            before = words(30 + 7 * k)
+            body = " ".join(passage) if i < 3 or k == 0 else "\n".join(" ".join(passage[a : a + 5 + k]) for a in range(0, 50, 5 + k))
+            texts[3 * i + k] = " ".join([*before, body, *words(31)])
+            places[3 * i + k] = (len(before), len(passage))
+    docs = spark.createDataFrame([(i, t, None, None, 0, "") for i, t in texts.items()], SCHEMA)
+    found = sd.repeats_by_document(docs).collect()
+    assert sorted((r.doc_id, r.start_word, r.n_words) for r in found) == sorted((i, *p) for i, p in places.items())
+    assert all(sum(not r.removed for r in found if r.doc_id // 3 == i) == 1 for i in range(4))
+
+
 def test_cut_words():
     text = "a b  c\nd e"
     assert sd.cut_words(text, [(1, 2)]) == "a d e"
