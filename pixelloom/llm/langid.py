@@ -140,22 +140,16 @@ class Identifier:
         return named, scores
 
 
-def network_for(docs: DataFrame, per_language: int = 800, most_languages: int = 256, chars: int = 240) -> ByteNetwork | None:
-    """Train on a bounded sample of the documents whose id is not held out and whose lang is known.
-
-    Of each of the ``most_languages`` commonest languages about ``per_language`` documents
-    are drawn by a hash of the id, and of each two stretches of ``chars`` characters. None if
-    there is nothing to learn from.
-    """
-    known = docs.where(~fold_is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def _sample(known: DataFrame, per_language: int, most_languages: int, chars: int) -> list:
+    """lang, piece: two stretches of ``chars`` characters of about ``per_language`` documents of each language."""
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
-        return None
+        return []
     buckets = 1 << 20
     limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(buckets, -(-per_language * buckets // r["count"])))])
     span = F.greatest(F.length("text") - chars, F.lit(1))
     draw = F.xxhash64("doc_id", F.lit("sample"))
-    rows = (
+    return (
         known.where(F.pmod(draw, F.lit(buckets)) < limit[F.col("lang")])
         .select(
             "doc_id",
@@ -170,8 +164,57 @@ def network_for(docs: DataFrame, per_language: int = 800, most_languages: int =
         .limit(4 * per_language * len(counts))
         .collect()
     )
-    texts = [r["piece"].encode("utf-8", "replace") for r in rows]
-    return trained(texts, [r["lang"] for r in rows]) if texts else None
+
+
+def _known(docs: DataFrame, held_out: bool) -> DataFrame:
+    fold = fold_is_held_out() if held_out else ~fold_is_held_out()
+    return docs.where(fold & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def noise(pieces: list[str], n: int, seed: int = 5) -> list[str]:
+    """Texts in no language: symbols and digits with few letters, and letters of blocks that ``pieces`` don't use."""
+    rng = np.random.default_rng(seed)
+    seen = {ord(c) >> 7 for c in set("".join(pieces))}
+    blocks = [b for b in (7, 8, 9, 10, 11, 12, 18, 28, 96, 97, *range(156, 320), *range(344, 430)) if b not in seen]
+    marks, out = "0123456789#*$%&|<>{}[]=_~^!?.,;:+-/@\\'\"()", []
+    for i in range(n):
+        size, gap = int(rng.integers(4, 240)), rng.integers(2, 12)
+        if i % 2 or not blocks:
+            part = marks if i % 4 == 1 else marks[:10] if i % 8 == 3 else marks[10:]
+            text = [part[k] for k in rng.integers(0, len(part), size)]
+            for at in rng.integers(0, size, rng.integers(1, 2 + size // 20)):
+                text[at] = chr(97 + int(rng.integers(26)))
+        else:
+            block = blocks[int(rng.integers(len(blocks)))]
+            text = [chr((block << 7) + int(k)) for k in rng.integers(0, 128, size // 2 + 2)]
+        out.append("".join(c if rng.integers(gap) or c.isalpha() else " " for c in text))
+    return out
+
+
+def network_for(docs: DataFrame, per_language: int = 800, most_languages: int = 256, chars: int = 240, reject: bool = False) -> ByteNetwork | None:
+    """Train on a bounded sample of the documents whose id is not held out and whose lang is known.
+
+    Of each of the ``most_languages`` commonest languages about ``per_language`` documents
+    are drawn by a hash of the id, and of each two stretches of ``chars`` characters. None if
+    there is nothing to learn from. With ``reject`` the network learns `und` from noise as well.
+    """
+    rows = _sample(_known(docs, False), per_language, most_languages, chars)
+    # Labelled text that is mostly not letters doesn't teach a language where junk is to be told.
+    rows = [r for r in rows if not reject or 2 * sum(map(str.isalpha, r["piece"])) > len(r["piece"].strip())]
+    texts, named = [r["piece"] for r in rows], [r["lang"] for r in rows]
+    if not texts:
+        return None
+    if reject:
+        junk = noise(texts, max(200, 2 * len(texts) // len(set(named))))
+        texts, named = texts + junk, named + ["und"] * len(junk)
+    return trained([t.encode("utf-8", "replace") for t in texts], named)
+
+
+def least_score(docs: DataFrame, net: ByteNetwork, per_language: int = 200, most_languages: int = 256, chars: int = 240) -> float:
+    """Half the lowest score of a right answer among pieces of held-out documents: clean documents stay."""
+    rows = _sample(_known(docs, True), per_language, most_languages, chars)
+    named, scores = Identifier(net).texts([r["piece"] for r in rows])
+    return min((s for r, n, s in zip(rows, named, scores) if n == r["lang"]), default=0.0) / 2
 
 
 def _identified(batches: Iterator[pa.RecordBatch], net: ByteNetwork | None, column: int):
@@ -206,6 +249,16 @@ def languages(docs: DataFrame, net: ByteNetwork | None = None, **sampling) -> Da
     return narrow.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, **sampling) -> DataFrame:
+    """The rows of ``docs`` in a language that was learned, unchanged.
+
+    Noise is a class of its own, and a score has to reach what held-out documents show. Where
+    nothing could be learned no row stays.
+    """
+    net = network_for(docs, reject=True, **sampling)
+    return identified_only(docs, least_score(docs, net, **sampling) if net else 0.0, net)
+
+
 def identified_only(docs: DataFrame, least: float = 0.0, net: ByteNetwork | None = None, **sampling) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, unchanged."""
     net = net or network_for(docs, **sampling)
