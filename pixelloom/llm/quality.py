@@ -57,8 +57,8 @@ def line_features(line: str, before: set[str]) -> list[int]:
         held.append(5)
     if line.lstrip()[:1].isupper():
         held.append(6)
-    letters = sum(map(str.isalpha, line[:2000]))
-    if letters and sum(map(str.isupper, line[:2000])) > 0.6 * letters and n > 2:
+    letters = sum(map(str.isalpha, line))
+    if letters and sum(map(str.isupper, line)) > 0.6 * letters and n > 2:
         held.append(7)
     symbols = sum(map(line.count, "#*$%&|<>{}[]=_~^\\!"))
     if symbols > 0.02 * size:

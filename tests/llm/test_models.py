@@ -139,6 +139,12 @@ def test_quality_verdicts(spark, corpus):
     assert all(r.kept for r in judged if truth[r.doc_id])
 
 
+def test_capitals_are_counted_over_the_whole_line():
+    shout, plain = "SHOUT " * 400, "plain words " * 400
+    assert 7 not in quality.line_features(shout + plain, set())
+    assert 7 in quality.line_features(plain + shout * 4, set())
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(2)
     chain = quality.LineChain(rng.normal(size=(len(quality.FEATURES), 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
