@@ -159,8 +159,8 @@ def lines_of(text: str) -> tuple[list[str], list[list[int]]]:
     return lines, held
 
 
-def chain_for(docs: DataFrame, labels: DataFrame, per_label: int = 600, lines_each: int = 60) -> LineChain:
-    """Train on a bounded sample of labelled documents, about ``per_label`` of each quality label.
+def chain_for(docs: DataFrame, labels: DataFrame, per_label: int = 600) -> LineChain:
+    """Train on a bounded sample of labelled documents, about ``per_label`` of each quality label, on all their lines.
 
     Lines carry no labels of their own. They take their document's (label 0: boilerplate),
     except that a line of a good document with boilerplate words, or seen before in it, is
@@ -189,7 +189,7 @@ def chain_for(docs: DataFrame, labels: DataFrame, per_label: int = 600, lines_ea
     bad_signs = {7, 8, 9, 10, 11, 12, 13, 14}
     documents, states = [], []
     for r in rows:
-        held = lines_of(r["text"])[1][:lines_each]
+        held = lines_of(r["text"])[1]
         if not held:
             continue
         documents.append(held)

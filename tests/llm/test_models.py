@@ -145,6 +145,16 @@ def test_capitals_are_counted_over_the_whole_line():
     assert 7 in quality.line_features(plain + shout * 4, set())
 
 
+def test_the_chain_learns_from_the_last_lines(spark):
+    body, foot = ["A plain sentence of some words here."] , ["Copyright notice, all rights reserved"]
+    texts = ["\n".join([f"{body[0][:-1]} {i} {k}." for k in range(70)] + foot * 30) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, None, None, 0, None, None) for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0, "") for i in range(40)], LABELS)
+    chain = quality.chain_for(docs, labels)
+    marked = chain.emit[11]
+    assert marked[1] > marked[0]
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(2)
     chain = quality.LineChain(rng.normal(size=(len(quality.FEATURES), 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
