@@ -1,8 +1,8 @@
 """Bound-certified best-fit packing of token sequences.
 
 Partitions pack their pieces by best-fit decreasing and compare the bins with a lower bound
-from dual feasible functions. Where both agree the partition is certified optimal. The
-partitions with gaps put the pieces of their unfilled bins together and pack them again.
+from dual feasible functions. Where both agree the partition is certified optimal. Until the
+whole meets its own bound, partitions put the pieces of unfilled bins together and pack them again.
 """
 
 from __future__ import annotations
@@ -177,7 +177,7 @@ def bound_of_counts(lengths: np.ndarray, times: np.ndarray, capacity: int) -> in
     return best
 
 
-_PACKED = f"{_PIECE}, sequence_id long, offset long, certified boolean, gap boolean"
+_PACKED = f"{_PIECE}, sequence_id long, offset long, certified boolean, gap boolean, loosest boolean"
 
 
 def _packer(capacity: int, turn: int):
@@ -198,18 +198,20 @@ def _packer(capacity: int, turn: int):
         starts = ends - lengths[by_bin]
         first = np.searchsorted(bins[by_bin], np.arange(n_bins))
         offsets = starts - starts[first][bins[by_bin]]
-        gaps = np.bincount(bins, weights=lengths, minlength=n_bins) < capacity
+        fill = np.bincount(bins, weights=lengths, minlength=n_bins)
+        gaps, loosest = fill < capacity, int(fill.argmin())
         certified = n_bins == lower_bound(lengths, capacity)
         part = TaskContext.get().partitionId()
         table, bins = table.take(by_bin), bins[by_bin]
         columns = [
             *(table.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")),
-            pa.array(bins + ((turn << 58) | (part << 32)), pa.int64()),
+            pa.array(bins + ((turn << 48) | (part << 24)), pa.int64()),
             pa.array(offsets.astype(np.int64), pa.int64()),
             pa.array(np.full(len(bins), certified)),
             pa.array(gaps[bins]),
+            pa.array(bins == loosest),
         ]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified", "gap"]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified", "gap", "loosest"]
         packed = pa.Table.from_arrays(columns, names)
         yield from packed.to_batches(max_chunksize=10_000)
 
@@ -227,14 +229,15 @@ def _n_bins(packed: DataFrame) -> int:
     return packed.where("offset = 0").count()
 
 
-def best_fit_sequences(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, rounds: int = 4) -> DataFrame:
+def best_fit_sequences(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, rounds: int | None = None) -> DataFrame:
     """Pack all documents into few sequences of at most ``capacity`` ids.
 
     Returns token_pieces' columns, sequence_id, offset (gapless from 0 in a sequence) and
     certified (its partition met the lower bound). A round of repacking is taken over only
     where it needs fewer sequences, and rounds end when the whole meets the bound of all
-    lengths (at most ``capacity`` distinct ones), when no part has gaps or when a round
-    gains nothing. A task holds about ``PIECES_A_TASK`` narrow rows, dealt without a key, so
+    lengths (at most ``capacity`` distinct ones), when there is a single part, or when nothing is
+    gained from all unfilled bins, from those of uncertified parts, nor from each part's
+    emptiest. ``rounds`` bounds the rounds that gain, if given. A task holds about ``PIECES_A_TASK`` narrow rows, dealt without a key, so
     copies don't meet in one task. Repeated rows are packed each; an empty table gives no
     rows; extra columns are ignored.
     """
@@ -243,18 +246,20 @@ def best_fit_sequences(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", ca
     histogram = np.array([(r[0], r[1]) for r in pieces.groupBy("length").count().collect()], np.int64).reshape(-1, 2)
     bound = bound_of_counts(histogram[:, 0], histogram[:, 1], capacity)
     used = _n_bins(packed)
-    for turn in range(1, rounds + 1):
-        if used <= bound or parts < 2:
-            break
-        loose = F.expr("gap and not certified")
-        pool = packed.where(loose)
-        before = _n_bins(pool)
-        if before == 0:
-            break
-        again, parts = _dealt(pool, capacity, turn)
-        after = _n_bins(again)
-        if after >= before:
-            break
-        packed, used = pinned(packed.where(~loose).unionByName(again)), used - before + after
+    turn, gains, gained = 0, 0, parts > 1
+    while gained and used > bound and (rounds is None or gains < rounds):
+        gained = False
+        for loose in ("gap", "gap and not certified", "gap and loosest"):
+            turn += 1
+            pool = packed.where(loose)
+            before = _n_bins(pool)
+            if before < 2:
+                continue
+            again, _ = _dealt(pool, capacity, turn)
+            after = _n_bins(again)
+            if after < before:
+                packed, used = pinned(packed.where(f"not ({loose})").unionByName(again)), used - before + after
+                gained, gains = True, gains + 1
+                break
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 

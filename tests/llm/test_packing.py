@@ -79,5 +79,15 @@ def test_partitions_exchange_their_gaps(spark, monkeypatch):
     assert more.select("sequence_id").distinct().count() <= once.select("sequence_id").distinct().count()
 
 
+@pytest.mark.parametrize("length", [25, 30])
+def test_certified_parts_exchange_their_gaps(spark, monkeypatch, length):
+    # Two parts of ten pieces, each optimal on its own, with an unfilled last bin each.
+    monkeypatch.setattr(packing, "PIECES_A_TASK", 10)
+    docs = spark.createDataFrame([(i, "! a " * ((length - 1) // 2) + "a" * ((length - 1) % 2), None, None, 0, None, None) for i in range(20)], SCHEMA).coalesce(1)
+    packed = packing.best_fit_sequences(docs, capacity=100).collect()
+    assert {r.length for r in packed} == {length}
+    assert len({r.sequence_id for r in packed}) == -(-20 // (100 // length))
+
+
 def test_empty(spark):
     assert packing.best_fit_sequences(spark.createDataFrame([], SCHEMA)).count() == 0
