@@ -70,7 +70,8 @@ def trained(texts: list[bytes], languages: list[str], window: int = 256, filters
         window,
     )
     x = np.stack([np.frombuffer(t[:window].ljust(window, b"\0"), np.uint8) for t in texts])
-    y = np.array([names.index(v) for v in languages])
+    place = {v: i for i, v in enumerate(names)}
+    y = np.array([place[v] for v in languages])
     share = np.bincount(y, minlength=len(names)) / len(y)
     weight = (1 / (len(names) * share))[y]
     parts = [*(net.tables[w] for w in WIDTHS), net.bias, net.dense, net.offset]
@@ -140,17 +141,19 @@ class Identifier:
         return named, scores
 
 
-def _sample(known: DataFrame, per_language: int, most_languages: int, chars: int) -> list:
+def _sample(known: DataFrame, per_language: int, chars: int) -> list:
     """lang, piece: two stretches of ``chars`` characters of about ``per_language`` documents of each language."""
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not counts:
+    counts = known.groupBy("lang").count()
+    n_languages = counts.count()
+    if not n_languages:
         return []
     buckets = 1 << 20
-    limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(buckets, -(-per_language * buckets // r["count"])))])
+    limit = F.least(F.lit(buckets), F.ceil(F.lit(per_language * buckets) / F.col("count")))
     span = F.greatest(F.length("text") - chars, F.lit(1))
     draw = F.xxhash64("doc_id", F.lit("sample"))
     return (
-        known.where(F.pmod(draw, F.lit(buckets)) < limit[F.col("lang")])
+        known.join(F.broadcast(counts), "lang")
+        .where(F.pmod(draw, F.lit(buckets)) < limit)
         .select(
             "doc_id",
             "lang",
@@ -161,7 +164,7 @@ def _sample(known: DataFrame, per_language: int, most_languages: int, chars: int
             ).alias("piece"),
         )
         .orderBy(F.xxhash64("doc_id"), "piece")
-        .limit(4 * per_language * len(counts))
+        .limit(min(2**31 - 1, 4 * per_language * n_languages))
         .collect()
     )
 
@@ -191,14 +194,13 @@ def noise(pieces: list[str], n: int, seed: int = 5) -> list[str]:
     return out
 
 
-def network_for(docs: DataFrame, per_language: int = 800, most_languages: int = 256, chars: int = 240, reject: bool = False) -> ByteNetwork | None:
+def network_for(docs: DataFrame, per_language: int = 800, chars: int = 240, reject: bool = False) -> ByteNetwork | None:
     """Train on a bounded sample of the documents whose id is not held out and whose lang is known.
 
-    Of each of the ``most_languages`` commonest languages about ``per_language`` documents
-    are drawn by a hash of the id, and of each two stretches of ``chars`` characters. None if
+    Of each language, however rare, about ``per_language`` documents are drawn by a hash of the id, and of each two stretches of ``chars`` characters. None if
     there is nothing to learn from. With ``reject`` the network learns `und` from noise as well.
     """
-    rows = _sample(_known(docs, False), per_language, most_languages, chars)
+    rows = _sample(_known(docs, False), per_language, chars)
     # Labelled text that is mostly not letters doesn't teach a language where junk is to be told.
     rows = [r for r in rows if not reject or 2 * sum(map(str.isalpha, r["piece"])) > len(r["piece"].strip())]
     texts, named = [r["piece"] for r in rows], [r["lang"] for r in rows]
@@ -210,9 +212,9 @@ def network_for(docs: DataFrame, per_language: int = 800, most_languages: int =
     return trained([t.encode("utf-8", "replace") for t in texts], named)
 
 
-def least_score(docs: DataFrame, net: ByteNetwork, per_language: int = 200, most_languages: int = 256, chars: int = 240) -> float:
+def least_score(docs: DataFrame, net: ByteNetwork, per_language: int = 200, chars: int = 240) -> float:
     """Half the lowest score of a right answer among pieces of held-out documents: clean documents stay."""
-    rows = _sample(_known(docs, True), per_language, most_languages, chars)
+    rows = _sample(_known(docs, True), per_language, chars)
     named, scores = Identifier(net).texts([r["piece"] for r in rows])
     return min((s for r, n, s in zip(rows, named, scores) if n == r["lang"]), default=0.0) / 2
 

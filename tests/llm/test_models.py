@@ -50,6 +50,13 @@ def test_language_held_out_accuracy(spark, corpus):
     assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", texts[r.doc_id] or "")) for r in got)
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"text number {i}", f"lang{i % 300}", "s", 0, None, None) for i in range(1500)]
+    known = {r[2] for r in rows if not held_out(r[0])}
+    net = langid.network_for(spark.createDataFrame(rows, SCHEMA))
+    assert len(known) > 256 and set(net.languages) == known
+
+
 def test_identified_rows_are_unchanged(spark, corpus):
     docs = spark.createDataFrame(corpus[0][:60] + awkward(), SCHEMA)
     kept = langid.identified_only(docs)
