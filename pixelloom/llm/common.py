@@ -38,6 +38,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows, and values that they hold, up to which a side is broadcast; beyond, the join shuffles.
+SMALL, SMALL_VALUES = 100_000, 1_000_000
+
+
+def bounded(df: DataFrame, values: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its rows, and the sum of ``values`` over them, are few. Counts ``df``."""
+    rows, held = df.agg(F.count("*"), F.sum(F.lit(0) if values is None else values)).first()
+    return F.broadcast(df) if rows <= SMALL and (held or 0) <= SMALL_VALUES else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

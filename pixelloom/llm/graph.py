@@ -92,7 +92,46 @@ def collisions(source: DataFrame, keys, items: list[str]) -> DataFrame:
         shuffle_width(source.sparkSession), F.when(F.col("_meets"), F.col("key")).otherwise(F.xxhash64(*items))
     )
     out = ", ".join(f"{n} long" for n in ("key", *leads, *items))
-    return pinned(dealt.sortWithinPartitions("_meets", "key", *items).mapInArrow(meet, out), narrow=True)
+    return pinned(dealt.sortWithinPartitions("key", "_meets", *items).mapInArrow(meet, out), narrow=True)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables of whole groups of equal values in ``column``, by which the rows are sorted; several groups at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column).to_numpy()
+        cut = int(np.searchsorted(values, values[-1]))
+        if held and (cut or held[-1].column(column)[-1].as_py() != values[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        elif held:
+            held.append(batch)
+        else:
+            if cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
+    """The tables of equal values in the columns ``group``, by which the rows are sorted."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        ids = [table.column(c).to_numpy() for c in group]
+        cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1).tolist(), len(table)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and any(held[0].column(c)[0].as_py() != x[a] for c, x in zip(group, ids)):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(table.slice(a, b - a))
+    if held:
+        yield pa.concat_tables(held)
 
 
 #: Edges that one task contracts at once, about.

@@ -19,20 +19,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, pinned
-from .graph import collisions, components
-from .ngram_join import MEMORY, SMALL, WordHashes, _as_long, _mixed
+from . import graph
+from .common import bounded, lean, pinned
+from .graph import collisions, components, sorted_groups, whole_groups
+from .verify import as_set, linked, roles_of
+from .words import Words, mixed, slices, words_of
 
 SHINGLE = 5
 PARAGRAPH = 20
 WINDOW = 12
 #: Paragraphs and shingles of a bucket's block, about.
 BLOCK, BLOCK_WORDS = 2048, 1_000_000
-#: A place is start * 2**24 + words.
-_PLACE = 24
+#: A place is start * 2**24 + words; a line of more than LONGEST words is several paragraphs.
+_PLACE, LONGEST = 24, 1 << 20
+
+#: Class of words that are found only beside a window.
+NO_CLASS = -(1 << 63)
 
-_UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
-_BOUND = re.compile(rf"(?<=[.!?])[ \t\n\x0b\x0c\r]+|(?<=[{_LOWER},;:])[ \t\n\x0b\x0c\r]+(?=[{_UPPER}][{_LOWER}])")
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
 
@@ -44,6 +47,10 @@ def tuned_bands(similarity: float, recall: float = 0.99, rows: int = 3) -> int:
     return bands
 
 
+def _as_long(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint64).view(np.int64)
+
+
 def _sliding(best: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
     done = 1
     while done < span:
@@ -53,14 +60,6 @@ def _sliding(best: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
     return x
 
 
-def chosen(h: np.ndarray, span: int) -> np.ndarray:
-    """Places of the smallest of every ``span`` neighbouring hashes: texts that share all of these share a place."""
-    span = min(span, len(h))
-    pad = np.zeros(span - 1, np.uint64)
-    least = np.concatenate([pad, _sliding(np.minimum, h, span), pad])
-    return np.flatnonzero(_sliding(np.maximum, least, span) == h)
-
-
 def window_shape(least_words: int) -> tuple[int, int]:
     """Words of a window, and the span of starts of which one is chosen.
 
@@ -72,93 +71,72 @@ def window_shape(least_words: int) -> tuple[int, int]:
 
 
 class Passages:
-    """Word hashes, paragraphs and windows of texts."""
+    """Paragraphs and windows of batches of texts, from the hashes of their words."""
 
-    def __init__(self, similarity: float = 0.8, rows: int = 3, least_words: int = 25):
+    def __init__(self, similarity: float = 0.8, rows: int = 2, least_words: int = 25):
         self.width, self.span = window_shape(least_words)
         self.rows, self.bands = rows, tuned_bands(similarity, rows=rows)
         rng = np.random.default_rng(11)
-        self.factors = rng.integers(1, 1 << 63, self.rows * self.bands, dtype=np.uint64) | np.uint64(1)
-        self.hashes = WordHashes()
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self._grow(1024)
+        self.factors = rng.integers(1, 1 << 63, (self.bands, self.rows), dtype=np.uint64) | np.uint64(1)
+
+    def windows(self, words: Words) -> np.ndarray:
+        """Odd hashes of the content of the windows of ``width`` words from each word on."""
+        return words.grams(self.width, 0x66) | np.uint64(1)
+
+    def chosen(self, words: Words, windows: np.ndarray) -> np.ndarray:
+        """Places of the smallest of every ``span`` neighbouring windows: texts that share all of these share a place."""
+        most, whole = np.uint64(0xFFFFFFFFFFFFFFFF), words.starts(self.width)
+        if not whole.any():
+            return np.empty(0, np.int64)
+        h = np.where(whole, windows, most)
+        least = _sliding(np.minimum, np.concatenate([h, np.full(self.span - 1, most)]), self.span)
+        # Neighbours lie in one text; a text of fewer windows has one group of all.
+        counts = words.starts(self.width + self.span - 1)
+        first = words.ends[:-1][np.diff(words.ends) >= self.width]
+        counts[first] = True
+        least = np.concatenate([np.zeros(self.span - 1, np.uint64), np.where(counts, least, 0)])
+        return np.flatnonzero(whole & (_sliding(np.maximum, least, self.span) == h))
+
+    def paragraphs(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """First word and the word after the last of lines of ``PARAGRAPH`` words or more."""
+        edges = words.line_edges()
+        first, last = edges[:-1], edges[1:]
+        if len(first) and (last - first).max() > LONGEST:
+            edges = np.unique(np.concatenate([edges, *(np.arange(a, b, LONGEST) for a, b in zip(first, last) if b - a > LONGEST)]))
+            first, last = edges[:-1], edges[1:]
+        wide = last - first >= PARAGRAPH
+        return first[wide], last[wide]
 
-    def _grow(self, n: int) -> None:
-        with np.errstate(over="ignore"):
-            self.powers = np.cumprod(np.full(n, self.base, np.uint64), dtype=np.uint64)
-            self.inverses = np.cumprod(np.full(n, self.inverse, np.uint64), dtype=np.uint64)
-
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Hashes of all words, first words of sentences (and the end), first words of lines (and the end)."""
-        words: list[bytes] = []
-        starts, lines = [], []
-        for line in text.split("\n"):
-            lines.append(len(words))
-            for piece in _BOUND.split(line):
-                own = piece.encode("utf-8", "replace").lower().split()
-                if own:
-                    starts.append(len(words))
-                    words += own
-        if len(self.hashes) > MEMORY:
-            self.hashes.clear()
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        return h, np.array([*starts, len(words)]), [*lines, len(words)]
-
-    def word_hashes(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").lower().split()
-        if len(self.hashes) > MEMORY:
-            self.hashes.clear()
-        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-
-    def shingles(self, h: np.ndarray) -> np.ndarray:
-        n = len(h) - SHINGLE + 1
-        if n < 1:
-            return np.empty(0, np.uint64)
+    def band_keys(self, words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Even keys of the bands of paragraphs: (bands, paragraphs)."""
+        s = words.grams(SHINGLE, SHINGLE)
+        cuts = np.stack([first, last - SHINGLE + 1], 1).ravel()
+        keys = np.empty((self.bands, len(first)), np.uint64)
         with np.errstate(over="ignore"):
-            total = h[:n] * self.powers[0]
-            for ahead in range(1, SHINGLE):
-                total += h[ahead : ahead + n] * self.powers[ahead]
-        return _mixed(total, SHINGLE)
-
-    def windows(self, h: np.ndarray) -> np.ndarray:
-        """Odd hashes of the content of all windows of ``width`` words."""
-        n = len(h) - self.width + 1
-        if n < 1:
-            return np.empty(0, np.uint64)
-        if len(h) > len(self.powers):
-            self._grow(2 * len(h))
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self.powers[: len(h)], dtype=np.uint64)])
-            return _mixed((sums[self.width :] - sums[:n]) * self.inverses[:n], 0x66) | np.uint64(1)
+            for band, factors in enumerate(self.factors):
+                key = np.full(len(first), band, np.uint64)
+                for row, factor in enumerate(factors):
+                    key = mixed(key + np.minimum.reduceat(s * factor, cuts)[::2], row + 1)
+                keys[band] = key & ~np.uint64(1)
+        return keys
+
+    def batch_keys(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys (even: a band of a paragraph; odd: a window's content), texts and places."""
+        windows = self.windows(words)
+        begin = self.chosen(words, windows)
+        keys, first, length = [windows[begin]], [begin], [np.full(len(begin), self.width)]
+        a, b = self.paragraphs(words)
+        if len(a):
+            keys.append(self.band_keys(words, a, b).ravel())
+            first.append(np.tile(a, self.bands))
+            length.append(np.tile(b - a, self.bands))
+        first, length = np.concatenate(first).astype(np.int64), np.concatenate(length).astype(np.int64)
+        text = np.searchsorted(words.ends, first, side="right") - 1
+        return _as_long(np.concatenate(keys)), text, ((first - words.ends[text]) << _PLACE) | length
 
     def keys(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (even: a band of a paragraph; odd: a window's content) and places."""
-        h, starts, lines = self.words(text)
-        keys, places = [], []
-        edges = np.unique(lines)
-        first, last = edges[:-1], edges[1:]
-        wide = last - first >= PARAGRAPH
-        if wide.any():
-            first, last = first[wide], last[wide]
-            s = self.shingles(h)
-            cuts = np.stack([first, last - SHINGLE + 1], 1).ravel()
-            with np.errstate(over="ignore"):
-                ordered = np.concatenate([s[None, :] * self.factors[:, None], np.full((len(self.factors), 1), ~np.uint64(0))], 1)
-                minima = np.minimum.reduceat(ordered, cuts, axis=1)[:, ::2].reshape(self.bands, self.rows, -1)
-                key = np.arange(self.bands, dtype=np.uint64)[:, None]
-                for row in range(self.rows):
-                    key = _mixed(key + minima[:, row], row + 1)
-                keys.append((key & ~np.uint64(1)).ravel())
-                places.append(np.tile((first << _PLACE) | (last - first), self.bands))
-        windows = self.windows(h)
-        if len(windows):
-            begin = np.union1d(chosen(windows, self.span), starts[starts < len(windows)])
-            keys.append(windows[begin])
-            places.append((begin << _PLACE) | self.width)
-        if not keys:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return _as_long(np.concatenate(keys)), np.concatenate(places).astype(np.int64)
+        keys, _, places = self.batch_keys(words_of(pa.array([text])))
+        return keys, places
 
 
 def _row(df: DataFrame):
@@ -171,42 +149,62 @@ def passage_collisions(docs: DataFrame, similarity: float, least_words: int = 25
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(similarity, least_words=least_words)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a in range(0, len(texts), 200):
-                found = [passages.keys(t) for t in texts[a : a + 200]]
-                rows = np.repeat(batch.column(0)[a : a + 200].to_numpy(), [len(k) for k, _ in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([k for k, _ in found])), pa.array(rows), pa.array(np.concatenate([p for _, p in found]))],
-                    ["key", "row", "place"],
-                )
+            for part in slices(batch, 1):
+                keys, text, places = passages.batch_keys(words_of(part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(pa.array(text)), pa.array(places)], ["key", "row", "place"])
 
     return collisions(docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit(""))), lean(run), ["row", "place"])
 
 
-def paragraph_sets(docs: DataFrame, wanted: DataFrame, n_docs: int) -> DataFrame:
-    """row, place, shingles of the paragraphs in ``wanted`` (row, places)."""
+def details(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
+    """row, place, key, content of the ``places`` of the rows in ``wanted``, in one pass over their texts.
+
+    For a paragraph's place: key 0 and its set of shingles. Places of under ``PARAGRAPH``
+    words are windows and the number says which sides are asked for (1: before, 2: after,
+    3: both); each gives a key of its content and side, and 32 bits of each of the words
+    beside it, nearest first, as far as another window may be chosen.
+    """
+    width, span = window_shape(least_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages()
-        for batch in batches:
-            rows, places, sets = [], [], []
-            for row, text, own in zip(*(c.to_pylist() for c in batch.columns)):
-                h = passages.word_hashes(text)
-                for place in own:
-                    start, n = place >> _PLACE, place & ((1 << _PLACE) - 1)
-                    rows.append(row)
-                    places.append(place)
-                    sets.append(_as_long(np.unique(passages.shingles(h[start : start + n]))))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(places, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["row", "place", "shingles"],
-            )
-
-    side = F.broadcast(wanted) if n_docs <= SMALL else wanted
+        passages = Passages(least_words=least_words)
+        for whole in batches:
+            for batch in slices(whole, 1):
+                words = words_of(batch.column(1))
+                owns = batch.column(2)
+                sizes = owns.value_lengths().to_numpy(zero_copy_only=False)
+                text = np.repeat(np.arange(batch.num_rows), sizes)
+                places = owns.flatten().to_numpy()
+                start, n = words.ends[text] + (places >> _PLACE), places & ((1 << _PLACE) - 1)
+                wide = n >= PARAGRAPH
+                rows, out, keys, content = [text[wide]], [places[wide]], [np.zeros(wide.sum(), np.int64)], []
+                if wide.any():
+                    shingles = words.grams(SHINGLE, SHINGLE)
+                    content += [as_set(shingles[a : a + k - SHINGLE + 1]) for a, k in zip(start[wide].tolist(), n[wide].tolist())]
+                short = words.hashes.astype(np.uint32) | np.uint32(1)
+                windows = passages.windows(words)
+                for side in (1, 2):
+                    asked = ~wide & (n & side > 0)
+                    at, own = start[asked], text[asked]
+                    beside = (at - 1)[:, None] - np.arange(span - 1) if side == 1 else (at + width)[:, None] + np.arange(span - 1)
+                    inside = (beside >= words.ends[own][:, None]) & (beside < words.ends[own + 1][:, None])
+                    around = np.where(inside, short[np.clip(beside, 0, max(0, len(short) - 1))], 0).astype(">u4")
+                    rows.append(own)
+                    out.append(places[asked] & ~np.int64((1 << _PLACE) - 1) | side)
+                    keys.append(_as_long(mixed(windows[at], side)))
+                    content += [x.tobytes() for x in around]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(np.concatenate(rows))),
+                        pa.array(np.concatenate(out), pa.int64()),
+                        pa.array(np.concatenate(keys), pa.int64()),
+                        pa.array(content, pa.binary()),
+                    ],
+                    ["row", "place", "key", "content"],
+                )
+
     texts = docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(side, "row").select("row", "text", "places").mapInArrow(lean(run), "row long, place long, shingles array<long>")
+    return texts.join(bounded(wanted, F.size("places")), "row").select("row", "text", "places").mapInArrow(lean(run), "row long, place long, key long, content binary")
 
 
 def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
@@ -217,7 +215,7 @@ def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> D
     gone through on its own, so no task holds a whole bucket. Of links that connect the same
     components one is given.
     """
-    sized = members.join(contents.select("node", F.size("shingles").alias("_n")), "node")
+    sized = members.join(contents.select("node", (F.length("content") / 8).alias("_n")), "node")
     shape = (
         sized.groupBy("key")
         .agg(
@@ -234,7 +232,7 @@ def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> D
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "component")
         .join(contents, "node")
-        .select(*group, "_own", "node", "component", "shingles")
+        .select(*group, "_own", "node", "component", "content")
     )
 
     def links_of(table: pa.Table) -> list[tuple[int, int]]:
@@ -243,9 +241,9 @@ def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> D
         label = np.unique(parts, return_inverse=True)[1]
         if not label.any():
             return []
-        sets = table.column("shingles").combine_chunks()
-        sizes = sets.value_lengths().to_numpy().astype(np.int64)
-        token = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+        sets = table.column("content").to_pylist()
+        sizes = np.array([len(s) // 8 for s in sets])
+        token = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)[1]
         holder = np.repeat(np.arange(len(nodes)), sizes)
         holder = holder[np.argsort(token, kind="stable")]
         first = np.concatenate([[0], np.cumsum(np.bincount(token))])
@@ -271,52 +269,24 @@ def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> D
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(lean(run), "a long, b long")
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
-    """The tables of equal values in the columns ``group``, by which the rows are sorted."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        ids = [table.column(c).to_numpy() for c in group]
-        cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1).tolist(), len(table)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if held and any(held[0].column(c)[0].as_py() != x[a] for c, x in zip(group, ids)):
-                yield pa.concat_tables(held)
-                held = []
-            held.append(table.slice(a, b - a))
-    if held:
-        yield pa.concat_tables(held)
-
-
-def clustered_paragraphs(docs: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+def clustered_paragraphs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """row, place, class, removed of paragraphs whose component reaches several documents.
 
+    ``pairs`` has key, row, place and a lead's row and place; ``sets`` has row, place, content.
     Equal sets of shingles are one node. Leads meet their buckets' members first; buckets that
     still hold several components are then gone through in full. Paragraphs of one document
     connect others as well; components within one document are left out at the end.
     """
-    pairs = pinned(met.select("key", "lead_row", "lead_place", "row", "place"), narrow=True)
-    sides = pairs.select("row", "place").unionByName(pairs.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place")))
-    wanted = pinned(sides.groupBy("row").agg(F.collect_set("place").alias("places")), narrow=True)
-    sets = pinned(paragraph_sets(docs, wanted, wanted.count()).dropDuplicates(["row", "place"]).withColumn("node", F.xxhash64("shingles")))
-    contents = pinned(sets.select("node", "shingles").dropDuplicates(["node"]))
-    owners = sets.select("row", "place", "node")
+    sets = sets.dropDuplicates(["row", "place"]).withColumn("node", F.xxhash64("content"))
+    contents = pinned(sets.select("node", "content").dropDuplicates(["node"]))
+    owners = pinned(sets.select("row", "place", "node"), narrow=True)
     leads = owners.select(F.col("row").alias("lead_row"), F.col("place").alias("lead_place"), F.col("node").alias("a"))
     keyed = pinned(
         pairs.join(owners, ["row", "place"]).join(leads, ["lead_row", "lead_place"]).where("a <> node").select("key", "a", F.col("node").alias("b")).distinct(),
         narrow=True,
     )
-    common = F.size(F.array_intersect("_x", "_y"))
-    links = pinned(
-        keyed.select("a", "b")
-        .distinct()
-        .join(contents.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a")
-        .join(contents.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
-        .where(common >= similarity * (F.size("_x") + F.size("_y") - common))
-        .select("a", "b"),
-        narrow=True,
-    )
+    stars = roles_of(keyed.select("a", "b").distinct()).join(contents, "node")
+    links = pinned(linked(stars, 100 * similarity), narrow=True)
 
     def with_component(df: DataFrame, links: DataFrame) -> DataFrame:
         known = components(links).withColumnRenamed("component", "_known")
@@ -343,58 +313,193 @@ def shared_windows(windows: DataFrame) -> DataFrame:
     )
 
 
-def edge_collisions(docs: DataFrame, shared: DataFrame, least_words: int) -> DataFrame:
-    """Collisions of the windows beside those with which a run of shared windows begins or ends.
+def edges_of_runs(shared: DataFrame, least_words: int) -> DataFrame:
+    """row, place of the windows beside which a shared stretch may go on; the place's words are the sides.
 
     Between shared windows that touch, all words are found already. A shared stretch begins
     less than a span before its first chosen window. If that isn't in a document's run already,
-    the run begins less than a span before this window. So all documents that hold such a window give
-    every start less than a span before it; at the end it is the same.
+    the run begins less than a span before this window. So all documents that hold such a
+    window are asked for the words before it; at the end it is the same.
     """
     width, span = window_shape(least_words)
-    at = F.shiftright("place", _PLACE)
-    along = Window.partitionBy("row").orderBy("_at")
-    runs = (
-        shared.select("key", "row", at.alias("_at"))
-        .withColumn("_new", F.when(F.col("_at") - F.lag("_at").over(along) <= width, 0).otherwise(1))
-        .withColumn("_run", F.sum("_new").over(along))
-    )
-    run = Window.partitionBy("row", "_run")
-    edges = (
-        runs.select("key", (F.col("_at") - F.min("_at").over(run) < span).alias("_before"), (F.max("_at").over(run) - F.col("_at") < span).alias("_after"))
-        .where("_before or _after")
-        .groupBy("key")
-        .agg(F.max("_before").alias("_before"), F.max("_after").alias("_after"))
-    )
-    # 1: the starts before a place, 2: those after it, 3: both.
-    sides = F.col("_before").cast("long") + 2 * F.col("_after").cast("long")
-    tried = shared.join(edges, "key").select("row", F.shiftleft(at, _PLACE).bitwiseOR(sides).alias("place"))
-    wanted = pinned(tried.groupBy("row").agg(F.collect_set("place").alias("places")), narrow=True)
-    side = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
 
-    def run_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(least_words=least_words)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "row"):
+            row, at = table.column("row").to_numpy(), table.column("place").to_numpy() >> _PLACE
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > width)
+            first = np.flatnonzero(new)
+            own = np.cumsum(new) - 1
+            before = at - at[first][own] < span
+            after = at[np.append(first[1:], len(row)) - 1][own] - at < span
+            keep = before | after
+            sides = before + 2 * after.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(table.column("key").to_numpy()[keep]), pa.array(sides[keep])], ["key", "sides"])
+
+    dealt = shared.select("row", "place", "key").repartition("row").sortWithinPartitions("row", "place")
+    edges = dealt.mapInArrow(lean(run), "key long, sides long").groupBy("key").agg(F.bit_or("sides").alias("sides"))
+    start = F.shiftleft(F.shiftright("place", _PLACE), _PLACE)
+    return shared.join(edges, "key").select("row", start.bitwiseOR(F.col("sides")).alias("place"))
+
+
+class Neighbours:
+    """Common beginnings of the words beside equal windows, from a stream sorted by (key, words, row).
+
+    Of each item ``shared`` is the longest beginning that it has in common with another
+    row's and ``removed`` the longest with a smaller row's. In this order the nearest
+    smaller row on either side has the longest; items wait for the next on a stack of
+    growing rows, which a beginning of length 0 empties. Rows are hashes, so it stays short.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[list[int]] = []  # row, place, removed, shared, beginning shared with the item below, with a smaller row below
+        self.run: list[list[int]] = []  # the last items, of one row
+        self.done: list[tuple[int, int, int, int]] = []
+
+    def _leave(self, item: list[int]) -> None:
+        if item[3]:
+            self.done.append((item[0], item[1], item[2], item[3]))
+
+    def add(self, row: int, place: int, removed: int, shared: int, common: int) -> None:
+        """An item that has its ``common`` first words as the one before it."""
+        if not common:
+            self.end()
+        item = [row, place, removed, shared, common, 0]
+        low = common
+        if self.run and self.run[-1][0] != row:
+            item[3] = max(shared, common)
+            for other in reversed(self.run):
+                other[3] = max(other[3], low)
+                low = min(low, other[4])
+                if not low:
+                    break
+            self.run, low = [], common
+        elif self.run:
+            # The row's own items lie between this one and other rows'.
+            item[3] = max(shared, min(common, self.run[-1][6]))
+        item.append(common if not self.run and self.stack else min(common, self.run[-1][6]) if self.run else 0)
+        while self.stack and self.stack[-1][0] > row:
+            top = self.stack.pop()
+            top[2] = max(top[2], low)
+            top[3] = max(top[3], top[2])
+            self._leave(top)
+            low = min(low, top[4])
+        if self.stack:
+            top = self.stack[-1]
+            item[5] = low if top[0] < row else min(low, top[5])
+            item[2] = max(removed, item[5])
+            item[4] = low
+        self.stack.append(item)
+        self.run.append(item)
+
+    def end(self) -> None:
+        for item in self.stack:
+            self._leave(item)
+        self.stack, self.run = [], []
+
+
+def beside_shared(contexts: DataFrame, least_words: int) -> DataFrame:
+    """row, place, removed, shared: how many words beside a window other rows with it, and smaller ones, have as well.
+
+    Workers first combine chunks of their rows: of rows that agree in the window and all
+    words beside it the smallest alone goes on to meet others, the rest is answered.
+    """
+    n = window_shape(least_words)[1] - 1
+    names = ["key", "row", "place", "content", "removed", "shared", "_meets", "_first"]
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, n).astype(np.uint32)
+
+    def combined(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, row = (batch.column(c).to_numpy() for c in ("key", "row"))
+        words = matrix(batch.column("content"))
+        with np.errstate(over="ignore"):
+            content = mixed((words.astype(np.uint64) * mixed(np.arange(1, n + 1, dtype=np.uint64), 3)).sum(1, dtype=np.uint64), 9)
+        order = np.lexsort((row, content, key))
+        key, row, content, words = key[order], row[order], content[order], words[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+        first = np.flatnonzero(new)
+        own = np.cumsum(new) - 1
+        least, most = row[first][own], row[np.append(first[1:], len(row)) - 1][own]
+        full = (words != 0).sum(1)
+        later = row != least
+        columns = [
+            pa.array(key),
+            pa.array(row),
+            batch.column("place").combine_chunks().take(pa.array(order)),
+            batch.column("content").combine_chunks().take(pa.array(order)),
+            pa.array(np.where(later, full, 0)),
+            pa.array(np.where(least != most, full, 0)),
+            pa.array(~later),
+            pa.array(words[:, 0].astype(np.int64)),
+        ]
+        yield from pa.Table.from_arrays(columns, names).filter(pa.array(words[:, 0] != 0)).to_batches(max_chunksize=20_000)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= graph.CHUNK:
+                yield from combined(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from combined(pa.Table.from_batches(held))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, last = Neighbours(), None
         for batch in batches:
-            rows, keys, places = [], [], []
-            for row, text, own in zip(*(c.to_pylist() for c in batch.columns)):
-                h = passages.windows(passages.word_hashes(text))
-                own = np.array(own, np.int64)
-                begin, which = own >> _PLACE, own & ((1 << _PLACE) - 1)
-                marks = np.zeros(len(h) + 1, np.int64)
-                for bit, low, high in ((1, begin - span + 1, begin), (2, begin, begin + span - 1)):
-                    held = (which & bit) > 0
-                    np.add.at(marks, np.maximum(low[held], 0), 1)
-                    np.add.at(marks, np.minimum(high[held] + 1, len(h)), -1)
-                starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-                rows.append(np.full(len(starts), row))
-                keys.append(_as_long(h[starts]))
-                places.append((starts << _PLACE) | width)
-            if rows:
-                columns = [pa.array(np.concatenate(c), pa.int64()) for c in (keys, rows, places)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "row", "place"])
+            if not batch.num_rows:
+                continue
+            key, meets, words = batch.column("key").to_numpy(), batch.column("_meets").to_numpy(zero_copy_only=False), matrix(batch.column("content"))
+            before = last or (key[0], False, words[0])
+            keys, met = np.concatenate([[before[0]], key]), np.concatenate([[before[1]], meets])
+            both = np.concatenate([before[2][None], words])
+            apart = np.concatenate([(both[1:] != both[:-1]) | (both[1:] == 0), np.ones((len(words), 1), bool)], 1).argmax(1)
+            common = np.where((keys[1:] == keys[:-1]) & met[1:] & met[:-1], apart, 0)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("row", "place", "removed", "shared")), meets.tolist(), common.tolist())
+            for row, place, removed, shared, meet_others, c in rows:
+                if meet_others:
+                    found.add(row, place, removed, shared, c)
+                elif shared:
+                    found.done.append((row, place, removed, shared))
+            last = key[-1], meets[-1], words[-1]
+            if found.done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found.done)], ["row", "place", "removed", "shared"])
+                found.done = []
+        found.end()
+        if found.done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found.done)], ["row", "place", "removed", "shared"])
+
+    schema = "key long, row long, place long, content binary, removed long, shared long, _meets boolean, _first long"
+    dealt = contexts.select("key", "row", "place", "content").mapInArrow(combine, schema)
+    dealt = dealt.repartition(F.when(F.col("_meets"), F.xxhash64("key", "_first")).otherwise(F.xxhash64("row", "place")))
+    return dealt.sortWithinPartitions("key", "_meets", "content", "row").mapInArrow(meet, "row long, place long, removed long, shared long")
+
+
+def joined(found: DataFrame, least_words: int) -> DataFrame:
+    """row, start_word, n_words, class_id, removed: overlapping or touching stretches (row, removed, class, from, to) of a row as one."""
 
-    texts = docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return collisions(texts.join(side, "row").select("row", "text", "places"), lean(run_keys), ["row", "place"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "row"):
+            row, removed, own, begin, end = (table.column(c).to_numpy() for c in ("row", "removed", "class", "from", "to"))
+            group = np.ones(len(row), bool)
+            group[1:] = (row[1:] != row[:-1]) | (removed[1:] != removed[:-1])
+            # Ends of earlier groups lie below all places of later ones.
+            shift = (np.cumsum(group) - 1) * (int(end.max()) + 1)
+            reached = np.maximum.accumulate(end + shift)
+            new = group.copy()
+            new[1:] |= (begin + shift)[1:] > reached[:-1]
+            first = np.flatnonzero(new)
+            least = np.where(own == NO_CLASS, np.iinfo(np.int64).max, own)
+            columns = [row[first], begin[first], np.maximum.reduceat(end, first) - begin[first], np.minimum.reduceat(least, first), removed[first].astype(bool)]
+            batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "start_word", "n_words", "class_id", "removed"])
+            yield batch.filter(pa.array(columns[2] >= least_words))
+
+    dealt = found.withColumn("removed", F.col("removed").cast("int")).repartition("row").sortWithinPartitions("row", "removed", "from", "to")
+    return dealt.mapInArrow(lean(run), "row long, start_word long, n_words long, class_id long, removed boolean")
 
 
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = 25) -> DataFrame:
@@ -412,26 +517,34 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     table gives no rows.
     """
     met = passage_collisions(docs, similarity, least_words)
-    paragraphs = clustered_paragraphs(docs, met.where("key % 2 = 0"), similarity)
+    pairs = met.where("key % 2 = 0")
     shared = pinned(shared_windows(met.where("key % 2 <> 0")), narrow=True)
+    sides = pairs.select("row", "place").unionByName(pairs.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place")))
+    sides = sides.unionByName(edges_of_runs(shared, least_words))
+    wanted = pinned(sides.groupBy("row").agg(F.collect_set("place").alias("places")), narrow=True)
+    read = pinned(details(docs, wanted, least_words))
+    paragraphs = clustered_paragraphs(pairs, read.where("key = 0"), similarity)
+    beside = pinned(beside_shared(read.where("key <> 0"), least_words), narrow=True)
+    start, size = F.shiftright("place", _PLACE), F.col("place").bitwiseAND((1 << _PLACE) - 1)
+    width = window_shape(least_words)[0]
+    # Words beside a window: those that a smaller row has go, those that only larger rows have stay.
+    parts = beside.select("row", F.explode(F.array(F.lit(True), F.lit(False))).alias("removed"), start.alias("_at"), (size == 1).alias("_before"), F.col("removed").alias("_near"), "shared")
+    near, far = F.when(F.col("removed"), 0).otherwise(F.col("_near")), F.when(F.col("removed"), F.col("_near")).otherwise(F.col("shared"))
+    after = F.col("_at") + width
+    stretched = parts.where(far > near).select(
+        "row",
+        "removed",
+        F.lit(NO_CLASS).alias("class"),
+        F.when(F.col("_before"), F.col("_at") - far).otherwise(after + near).alias("from"),
+        F.when(F.col("_before"), F.col("_at") - near).otherwise(after + far).alias("to"),
+    )
     found = (
-        shared.unionByName(shared_windows(edge_collisions(docs, shared, least_words)))
-        .select("row", "place", F.col("key").alias("class"), "removed")
+        shared.select("row", "place", F.col("key").alias("class"), "removed")
         .unionByName(paragraphs)
-        .select("row", "class", "removed", F.shiftright("place", _PLACE).alias("_from"), (F.shiftright("place", _PLACE) + F.col("place").bitwiseAND((1 << _PLACE) - 1)).alias("_to"))
-    )
-    along = Window.partitionBy("row", "removed").orderBy("_from", "_to")
-    reached = F.max("_to").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        found.groupBy("row", "removed", "_from", "_to")
-        .agg(F.min("class").alias("class"))
-        .withColumn("_new", F.when(F.col("_from") <= reached, 0).otherwise(1))
-        .withColumn("_run", F.sum("_new").over(along))
-        .groupBy("row", "removed", "_run")
-        .agg(F.min("_from").alias("start_word"), (F.max("_to") - F.min("_from")).alias("n_words"), F.min("class").alias("class_id"))
-        .where(F.col("n_words") >= least_words)
-        .select("row", "start_word", "n_words", "class_id", "removed")
+        .select("row", "removed", "class", start.alias("from"), (start + size).alias("to"))
+        .unionByName(stretched)
     )
+    return joined(found, least_words)
 
 
 def repeats_by_document(docs: DataFrame, **options) -> DataFrame:
@@ -467,9 +580,8 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
         .agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans"))
         .withColumnRenamed("row", "__row")
     )
-    spans = pinned(spans, narrow=True)
-    side = F.broadcast(spans) if spans.count() <= SMALL else spans
-    joined = docs.withColumn("__row", _row(docs)).join(side, "__row", "left").select(*docs.columns, "__spans")
+    side = bounded(pinned(spans, narrow=True), F.size("__spans"))
+    spanned = docs.withColumn("__row", _row(docs)).join(side, "__row", "left").select(*docs.columns, "__spans")
     names = docs.columns
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     schema = docs.schema
@@ -491,4 +603,4 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
                     columns[chars_at] = pa.array(sizes, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns[:-1], names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(lean(run), schema)
+    return spanned.mapInArrow(lean(run), schema)

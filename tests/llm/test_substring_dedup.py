@@ -118,21 +118,58 @@ def word(rng):
     return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
 
 
-def stretches(keyed_texts):
-    """Words of the second text under keys that the first has too."""
-    (k, _), (theirs, places) = keyed_texts
-    held = set(k.tolist())
-    return {w for key, p in zip(theirs.tolist(), places.tolist()) if key in held for w in range(p >> 24, (p >> 24) + (p & (1 << 24) - 1))}
-
-
-def test_blocks_of_one_word_sentences_have_windows():
+def test_blocks_of_one_word_sentences_are_found_whole(spark):
     rng = random.Random(5)
-    block = [word(rng).capitalize() for _ in range(60)]
-    around = [[word(rng) for _ in range(30)] for _ in range(4)]
-    title = [" ".join([*around[i], *block, *around[i + 1]]) for i in (0, 2)]
-    lines = ["\n".join([*around[i], *block, *around[i + 1]]) for i in (0, 2)]
-    for texts in (title, lines):
-        assert len(stretches([sd.Passages().keys(t) for t in texts])) >= 55
+    blocks = [[word(rng).capitalize() for _ in range(60)] for _ in range(2)]
+    around = [[word(rng) for _ in range(30)] for _ in range(8)]
+    texts = [" ".join([*around[i], *blocks[0], *around[i + 1]]) for i in (0, 2)]
+    texts += ["\n".join([*around[i], *blocks[1], *around[i + 1]]) for i in (4, 6)]
+    docs = spark.createDataFrame([(i, t, None, None, 0, "") for i, t in enumerate(texts)], SCHEMA)
+    found = sd.repeats_by_document(docs).collect()
+    assert sorted((r.doc_id, r.start_word, r.n_words) for r in found) == [(i, 30, 60) for i in range(4)]
+
+
+def brute_neighbours(items):
+    """For each (row, words): the longest beginning shared with another row, and with a smaller one."""
+
+    def common(x, y):
+        n = 0
+        while n < len(x) and x[n] == y[n] != 0:
+            n += 1
+        return n
+
+    out = []
+    for row, words in items:
+        shared = max((common(words, w) for r, w in items if r != row), default=0)
+        removed = max((common(words, w) for r, w in items if r < row), default=0)
+        out.append((row, shared, removed))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [4, 400_000])
+def test_words_beside_windows_against_brute_force(spark, chunk, monkeypatch):
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    rng = random.Random(9)
+    n = sd.window_shape(25)[1] - 1
+    groups = {}
+    for key in range(60):
+        pool = [[rng.randint(1, 2) for _ in range(n)] for _ in range(3)]
+        groups[key] = []
+        for _ in range(rng.randint(1, 14)):
+            words = list(rng.choice(pool))
+            at = rng.randint(0, n)
+            words[at:] = [rng.randint(1, 3) for _ in words[at:]] if rng.random() < 0.7 else [0] * (n - at)
+            groups[key].append((rng.randint(0, 8), words))
+    rows = [(k, r, p, b"".join(w.to_bytes(4, "big") for w in words)) for k, items in groups.items() for p, (r, words) in enumerate(items)]
+    contexts = spark.createDataFrame(rows, "key long, row long, place long, content binary").repartition(5)
+    for key, items in groups.items():
+        one = contexts.where(f"key = {key}") if key < 6 else None
+        if one is None:
+            continue
+        found = sorted((r.row, r.shared, r.removed) for r in sd.beside_shared(one, 25).collect())
+        assert found == [x for x in brute_neighbours(items) if x[1]]
+    everything = sorted((r.row, r.shared, r.removed) for r in sd.beside_shared(contexts, 25).collect())
+    assert everything == sorted(x for items in groups.values() for x in brute_neighbours(items) if x[1])
 
 
 def test_passages_are_found_wherever_they_start(spark):
