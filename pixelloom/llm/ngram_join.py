@@ -19,54 +19,32 @@ from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, pinned
+from .common import bounded, lean, pinned
 from .graph import collisions, components
+from .verify import linked, roles_of
+from .words import Words, mixed, slices, spans, words_of
 
-#: Words whose hashes a worker remembers, at most.
-MEMORY = 100_000
 #: Coordinates of a point, members of a tree node, and members of a bucket's block.
 GROUPS, FANOUT, BLOCK = 64, 24, 4096
+#: The largest count that a point holds.
+MOST = 0xFFFF
 #: Bits of a token's hash that choose its counter in the token order.
 COUNTER_BITS = 22
-#: Rows up to which a side of narrow rows is broadcast; beyond, the join shuffles.
-SMALL = 100_000
 
 
-class WordHashes(dict):
-    """xxh3 of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    """A bijective 64-bit mix."""
-    with np.errstate(over="ignore"):
-        x = x ^ np.uint64(salt)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(33))
-
-
-def token_set(text: str, words_each: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the lower-cased (A-Z) text's word n-grams; all words as one if fewer."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(hashes) > MEMORY:
-        hashes.clear()
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(words_each, len(words))
-    with np.errstate(over="ignore"):
-        total = _mixed(h[: len(h) - n + 1], n)
-        for ahead in range(1, n):
-            total = _mixed(total + h[ahead : len(h) - n + 1 + ahead], ahead)
-    return np.unique(total)
+def token_sets(words: Words, words_each: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word n-grams; all words as one if fewer."""
+    grams, ends = words.grams(words_each, words_each), words.ends.tolist()
+    for a, b in zip(ends[:-1], ends[1:]):
+        if b - a >= words_each:
+            yield np.unique(grams[a : b - words_each + 1])
+        elif b > a:
+            yield mixed(spans(words.hashes[a:b], np.array([0]), np.array([b - a])), b - a)
+        else:
+            yield np.empty(0, np.uint64)
 
 
 class Bands:
@@ -98,8 +76,8 @@ def group_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     share one of them) stand in for it.
     """
     keys = []
-    spread = _mixed(tokens, 0xA5)
-    content = _mixed(tokens, 0x5A)
+    spread = mixed(tokens, 0xA5)
+    content = mixed(tokens, 0x5A)
     low, high = (content & np.uint64(0xFFFFFFFF)).astype(np.float64), (content >> np.uint64(32)).astype(np.float64)
     for band in bands.of(len(tokens)):
         n = bands.groups(band)
@@ -110,18 +88,18 @@ def group_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
         # Sums of 32-bit halves stay exact in doubles.
         sums = [np.bincount(group, weights=w, minlength=n).astype(np.uint64) for w in (low, high)]
         with np.errstate(over="ignore"):
-            key = _mixed(sums[0] + sums[1] * np.uint64(0x9E3779B97F4A7C15), band + 1)
-            key = _mixed(key + np.arange(n, dtype=np.uint64), 0x77)
+            key = mixed(sums[0] + sums[1] * np.uint64(0x9E3779B97F4A7C15), band + 1)
+            key = mixed(key + np.arange(n, dtype=np.uint64), 0x77)
         keys.append(key[counts > 0])
         if not counts.all():
             prefix = len(tokens) - ceil(bands.percent * len(tokens) / 100) + 1
-            keys.append(_mixed(np.sort(spread)[:prefix], 0x1000 + band))
+            keys.append(mixed(np.sort(spread)[:prefix], 0x1000 + band))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
 def prefix_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
     """The set's first tokens, rare ones first: two sets that link share one of them."""
-    spread = _mixed(tokens, 0xA5)
+    spread = mixed(tokens, 0xA5)
     rank = frequent[(spread >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
     length = len(tokens) - ceil(percent * len(tokens) / 100) + 1
     return spread[np.lexsort((spread, rank))[:length]]
@@ -130,25 +108,25 @@ def prefix_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.nd
 def token_order(docs: DataFrame, words_each: int) -> np.ndarray:
     """Counts of hashed tokens over all documents, in a table of fixed size.
 
-    Workers send their tables in blocks of low and high bytes; blocks are summed apart.
+    Workers send their tables in blocks of low and high bytes; a stream of each block's rows is summed.
     """
     block = 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(1 << COUNTER_BITS, np.uint32)
+        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
         held, size = [], 0
 
         def add():
             np.add(counts, np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32), out=counts)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                place = _mixed(token_set(text, words_each, hashes), 0xA5) >> np.uint64(64 - COUNTER_BITS)
-                held.append(place.astype(np.int32))
-                size += len(place)
-            if size > 2_000_000:
-                add()
-                held, size = [], 0
+        for whole in batches:
+            for batch in slices(whole, 0):
+                for tokens in token_sets(words_of(batch.column(0)), words_each):
+                    held.append((mixed(tokens, 0xA5) >> np.uint64(64 - COUNTER_BITS)).astype(np.int32))
+                    size += len(tokens)
+                if size > 2_000_000:
+                    add()
+                    held, size = [], 0
         if held:
             add()
         short = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, block)
@@ -158,15 +136,26 @@ def token_order(docs: DataFrame, words_each: int) -> np.ndarray:
                 columns = [pa.array([i], pa.int32()), pa.array([low[i].tobytes()]), pa.array([high[i].tobytes()])]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "low", "high"])
 
-    def summed(table: pa.Table) -> pa.Table:
-        total = np.zeros(block, np.int64)
-        for low, high in zip(table.column("low"), table.column("high")):
-            total += np.frombuffer(low.as_buffer(), np.uint8) + 256 * np.frombuffer(high.as_buffer(), np.uint8).astype(np.int64)
-        return pa.table({"block": table.column("block")[:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()])})
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(block, np.int64)
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()])], ["block", "counts"])
+
+        for batch in batches:
+            for i, low, high in zip(batch.column("block").to_pylist(), batch.column("low"), batch.column("high")):
+                if i != at:
+                    if at is not None:
+                        yield row()
+                    at, total = i, np.zeros(block, np.int64)
+                total += np.frombuffer(low.as_buffer(), np.uint8) + 256 * np.frombuffer(high.as_buffer(), np.uint8).astype(np.int64)
+        if at is not None:
+            yield row()
 
     parts = docs.select(F.coalesce("text", F.lit(""))).mapInArrow(lean(run), "block int, low binary, high binary")
+    dealt = parts.repartition("block").sortWithinPartitions("block")
     counts = np.zeros(1 << COUNTER_BITS, np.uint32)
-    for row in parts.groupBy("block").applyInArrow(summed, "block int, counts binary").toLocalIterator():
+    for row in dealt.mapInArrow(lean(summed, 64), "block int, counts binary").toLocalIterator():
         counts[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counts"], "<u4")
     # Only the order counts: finer than the square root of a counter's load, it would be noise.
     return np.minimum(counts // max(1, int(np.sqrt(counts.mean()))), 0xFFFF).astype(np.uint16)
@@ -176,8 +165,14 @@ def point_of(tokens: np.ndarray) -> np.ndarray:
     """Tokens in each group, and then 16 bits of each group's content."""
     group = (tokens % np.uint64(GROUPS)).astype(np.int64)
     counts = np.bincount(group, minlength=GROUPS)
-    marks = np.bincount(group, weights=(_mixed(tokens, 0x21) & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=GROUPS)
-    return np.concatenate([np.minimum(counts, 0xFFFF), marks.astype(np.uint64) & np.uint64(0xFFFF)]).astype("<u2")
+    marks = np.bincount(group, weights=(mixed(tokens, 0x21) & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=GROUPS)
+    return np.concatenate([np.minimum(counts, MOST), marks.astype(np.uint64) & np.uint64(0xFFFF)]).astype("<u2")
+
+
+def _most(points: np.ndarray) -> np.ndarray:
+    """Upper bounds of the counts of points; a count of ``MOST`` stands for any number."""
+    counts = points[..., :GROUPS].astype(np.int64)
+    return np.where(counts == MOST, 1 << 40, counts)
 
 
 def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -187,7 +182,7 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     don't, a token was exchanged for another.
     """
     counts = np.abs(x[..., :GROUPS].astype(np.int32) - y[..., :GROUPS])
-    other = (x[..., GROUPS:] != y[..., GROUPS:]) & (counts == 0)
+    other = (x[..., GROUPS:] != y[..., GROUPS:]) & (counts == 0) & (x[..., :GROUPS] != MOST)
     return counts.sum(-1) + 2 * other.sum(-1)
 
 
@@ -205,13 +200,13 @@ def sketches(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     frequent = None if by_groups else token_order(docs, words_each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands, done = WordHashes(), Bands(percent), set()
-        for batch in batches:
+        bands, done = Bands(percent), set()
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             sizes, nodes, points, keys = [], [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                tokens = token_set(text, words_each, hashes)
+            words = words_of(batch.column(2))
+            for row, tokens in zip(batch.column(0).to_pylist(), token_sets(words, words_each)):
                 with np.errstate(over="ignore"):
-                    node = int(_mixed(np.array([_mixed(tokens, 0x33).sum(dtype=np.uint64) + np.uint64(len(tokens))]), 0x44).view(np.int64)[0])
+                    node = int(mixed(np.array([mixed(tokens, 0x33).sum(dtype=np.uint64) + np.uint64(len(tokens))]), 0x44).view(np.int64)[0])
                 sizes.append(len(tokens))
                 nodes.append(node if len(tokens) else row)
                 points.append(point_of(tokens).tobytes())
@@ -240,32 +235,11 @@ def sketches(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     return narrow.mapInArrow(lean(run), "row long, doc_id long, n long, node long, counts binary, keys array<long>")
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= SMALL else df
-
-
-def token_sets(docs: DataFrame, members: DataFrame, n_members: int, words_each: int) -> DataFrame:
-    """node, tokens of one document for each of ``members`` (row, node)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = [_as_long(token_set(t, words_each, hashes)) for t in batch.column(1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "tokens"]
-            )
-
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(_small(members, n_members), "row").select("node", "text").mapInArrow(lean(run), "node long, tokens array<long>")
-
-
 class CountTree:
     """R-tree over count vectors, packed bottom-up in order of size; nodes hold coordinate maxima."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        counts = points[:, :GROUPS].astype(np.int32)
+        counts = _most(points)
         # Within like sizes, neighbours in the first coordinates share a node.
         self.order = np.lexsort((*counts.T[:4], sizes))
         self.points, self.sizes = points, sizes
@@ -277,7 +251,7 @@ class CountTree:
 
     def candidates(self, point: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of points whose bounds allow a link with this set, and their least differences."""
-        at, counts = np.arange(len(self.levels[-1][0])), point[:GROUPS].astype(np.int32)
+        at, counts = np.arange(len(self.levels[-1][0])), _most(point)
         for depth in range(len(self.levels) - 1, -1, -1):
             top, least, most = (x[at] for x in self.levels[depth])
             bound = np.minimum(top, counts).sum(1)
@@ -345,22 +319,27 @@ def may_link(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only the texts of their ends are read into sets."""
-    if not pairs.head(1):
+    """The pairs (a, b) whose sets link. Only the texts of their ends are read into sets, once each."""
+    if pairs.isEmpty():
         return pairs
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = pinned(classes.select("row", "node").join(ends, "node", "left_semi"), narrow=True)
-    sets = pinned(token_sets(docs, holders, holders.count(), words_each))
-    x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
-    y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_y"))
-    common = F.size(F.array_intersect("_x", "_y"))
-    return (
-        pairs.join(x, "a")
-        .join(y, "b")
-        .where(100 * common >= percent * (F.size("_x") + F.size("_y") - common))
-        .select("a", "b")
-        .distinct()
-    )
+    roles = roles_of(pairs).join(classes.select("node", "row"), "node")
+    wanted = pinned(roles.groupBy("row").agg(F.collect_list(F.struct("a", "salt", "lead", "node")).alias("roles")), narrow=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            roles = batch.column(1)
+            sizes, parts = roles.value_lengths().to_numpy(zero_copy_only=False), roles.flatten()
+            sets = [tokens.astype("<u8").tobytes() for tokens in token_sets(words_of(batch.column(0)), words_each)]
+            text = np.repeat(np.arange(len(sets)), sizes)
+            # A text in very many groups goes out in pieces.
+            for a in range(0, len(text), 1000):
+                columns = [parts.field(i).slice(a, 1000) for i in range(4)]
+                content = pa.array([sets[i] for i in text[a : a + 1000].tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, content], ["a", "salt", "lead", "node", "content"])
+
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = texts.join(bounded(wanted, F.size("roles")), "row").select("text", "roles")
+    return linked(dealt.mapInArrow(lean(run), "a long, salt int, lead boolean, node long, content binary"), percent)
 
 
 def bucket_pairs(members: DataFrame, points: DataFrame, percent: int, everything: bool) -> DataFrame:
@@ -492,9 +471,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumn("__ngram_row", F.xxhash64("doc_id", "text"))
     n_again = again.count()
     out = gone.select("__ngram_row").unionByName(again) if n_again else gone.select("__ngram_row")
-    single = keyed.join(_small(out, gone.count() + n_again), "__ngram_row", "left_anti")
+    single = keyed.join(bounded(out), "__ngram_row", "left_anti")
     if n_again:
-        repeats = keyed.join(_small(again, n_again), "__ngram_row", "left_semi").dropDuplicates(["__ngram_row"])
+        repeats = keyed.join(bounded(again), "__ngram_row", "left_semi").dropDuplicates(["__ngram_row"])
         single = single.unionByName(repeats)
     return single.select(*docs.columns)
 
