@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,24 +15,33 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def pinned(df: DataFrame, narrow: bool = False) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a session on one machine that has none gets a temporary folder."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context._jsc.sc().getCheckpointDir().get()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="pixelloom-ckpt-")
+        context.setCheckpointDir(folder)
+    return folder
+
 
-    Tables of a few narrow columns (``narrow``) are written by two tasks a core or by an eighth
-    of the shuffle partitions, whichever is more: few tiny files where there are many
-    partitions of little, and still small tasks where there is much.
+def pinned(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Cut the lineage of ``df``: it is written as a Parquet table in the shared folder and read back.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where a session has none
-    (local tests) a temporary one is made.
+    Columns are compressed there, and later plans read those that they need. Tables of a few
+    narrow columns (``narrow``) are written by two tasks a core or by a quarter of the shuffle
+    partitions, whichever is more: few tiny files where there are many partitions of little.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(2 * context.defaultParallelism, shuffle_width(df.sparkSession) // 8))
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pixelloom-ckpt-")
-        )
-    return df.checkpoint(eager=True)
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, shuffle_width(spark) // 4))
+    path = f"{_shared_folder(spark)}/pixelloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -48,6 +58,12 @@ def bounded(df: DataFrame, values: Column | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL and (held or 0) <= SMALL_VALUES else df
 
 
+def only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` without rows that ``wanted`` (by row) doesn't name, if these are few enough to tell without moving texts."""
+    rows = wanted.select("row")
+    return texts.join(F.broadcast(rows), "row", "left_semi") if rows.count() <= SMALL_VALUES else texts
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -62,9 +62,9 @@ def collisions(source: DataFrame, keys, items: list[str]) -> DataFrame:
             is_lead = np.all([a == b for a, b in zip(own, lead)], axis=0)
             first = np.ones(len(is_lead), bool)
             first[1:] = columns[0][1:] != columns[0][:-1]
-            # A repeated item is its own lead again and says nothing new.
+            # A repeated item is its own lead again and says nothing new. Leads meet others: they have none yet.
             keep = first | ~is_lead
-            table = pa.table([pa.array(c[keep]) for c in (*columns, first)], [*names, "_meets"])
+            table = pa.table([*(pa.array(c[keep]) for c in columns[: 1 + k]), *(pa.array(c[keep], mask=first[keep]) for c in lead)], names)
             yield from table.to_batches(max_chunksize=20_000)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +72,9 @@ def collisions(source: DataFrame, keys, items: list[str]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            ks, own, theirs, meets = columns[0], columns[1 : 1 + k], columns[1 + k : 1 + 2 * k], columns[-1].astype(bool)
+            ks, *own = (c.to_numpy() for c in batch.columns[: 1 + k])
+            meets = batch.column(1 + k).is_null().to_numpy(zero_copy_only=False)
+            theirs = [c.fill_null(0).to_numpy() for c in batch.columns[1 + k :]]
             at = np.arange(len(ks))
             new = np.ones(len(ks), bool)
             new[1:] = (ks[1:] != ks[:-1]) | ~meets[1:] | ~meets[:-1]
@@ -88,11 +89,10 @@ def collisions(source: DataFrame, keys, items: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c[differs]) for c in (ks, *found, *own)], ["key", *leads, *items])
 
     schema = ", ".join(f"{n} long" for n in names)
-    dealt = source.mapInArrow(combine, f"{schema}, _meets boolean").repartition(
-        shuffle_width(source.sparkSession), F.when(F.col("_meets"), F.col("key")).otherwise(F.xxhash64(*items))
-    )
+    meets = F.col(leads[0]).isNull()
+    dealt = source.mapInArrow(combine, schema).repartition(shuffle_width(source.sparkSession), F.when(meets, F.col("key")).otherwise(F.xxhash64(*items)))
     out = ", ".join(f"{n} long" for n in ("key", *leads, *items))
-    return pinned(dealt.sortWithinPartitions("key", "_meets", *items).mapInArrow(meet, out), narrow=True)
+    return pinned(dealt.sortWithinPartitions("key", meets, *items).mapInArrow(meet, out), narrow=True)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -166,7 +166,9 @@ def _contracted(edges: DataFrame, n: int) -> tuple[DataFrame, int]:
         table = pa.table([pa.array(roots[leaf]), pa.array(nodes[leaf])], ["lo", "hi"])
         yield from table.to_batches(max_chunksize=20_000)
 
-    return pinned(edges.select("lo", "hi").coalesce(parts).mapInArrow(run, "lo long, hi long")), parts
+    # Dealt in turn, so that no part holds more than its share.
+    dealt = edges.select("lo", "hi").repartition(parts) if parts > 1 else edges.select("lo", "hi").coalesce(1)
+    return pinned(dealt.mapInArrow(run, "lo long, hi long")), parts
 
 
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, lean, pinned
+from .common import bounded, lean, only, pinned
 from .graph import collisions, components
 from .verify import linked, roles_of
-from .words import Words, mixed, slices, spans, words_of
+from .words import mixed, set_hash, slices, token_sets, words_of
 
 #: Coordinates of a point, members of a tree node, and members of a bucket's block.
 GROUPS, FANOUT, BLOCK = 64, 24, 4096
@@ -35,18 +35,6 @@ MOST = 0xFFFF
 COUNTER_BITS = 22
 
 
-def token_sets(words: Words, words_each: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its word n-grams; all words as one if fewer."""
-    grams, ends = words.grams(words_each, words_each), words.ends.tolist()
-    for a, b in zip(ends[:-1], ends[1:]):
-        if b - a >= words_each:
-            yield np.unique(grams[a : b - words_each + 1])
-        elif b > a:
-            yield mixed(spans(words.hashes[a:b], np.array([0]), np.array([b - a])), b - a)
-        else:
-            yield np.empty(0, np.uint64)
-
-
 class Bands:
     """Size bands and, for each, the number of groups of which one must agree."""
 
@@ -205,8 +193,7 @@ def sketches(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
             sizes, nodes, points, keys = [], [], [], []
             words = words_of(batch.column(2))
             for row, tokens in zip(batch.column(0).to_pylist(), token_sets(words, words_each)):
-                with np.errstate(over="ignore"):
-                    node = int(mixed(np.array([mixed(tokens, 0x33).sum(dtype=np.uint64) + np.uint64(len(tokens))]), 0x44).view(np.int64)[0])
+                node = set_hash(tokens)
                 sizes.append(len(tokens))
                 nodes.append(node if len(tokens) else row)
                 points.append(point_of(tokens).tobytes())
@@ -319,27 +306,15 @@ def may_link(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only the texts of their ends are read into sets, once each."""
+    """The pairs (a, b) whose sets link. Each text of their ends is moved once for every lead it meets."""
     if pairs.isEmpty():
         return pairs
     roles = roles_of(pairs).join(classes.select("node", "row"), "node")
     wanted = pinned(roles.groupBy("row").agg(F.collect_list(F.struct("a", "salt", "lead", "node")).alias("roles")), narrow=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            roles = batch.column(1)
-            sizes, parts = roles.value_lengths().to_numpy(zero_copy_only=False), roles.flatten()
-            sets = [tokens.astype("<u8").tobytes() for tokens in token_sets(words_of(batch.column(0)), words_each)]
-            text = np.repeat(np.arange(len(sets)), sizes)
-            # A text in very many groups goes out in pieces.
-            for a in range(0, len(text), 1000):
-                columns = [parts.field(i).slice(a, 1000) for i in range(4)]
-                content = pa.array([sets[i] for i in text[a : a + 1000].tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*columns, content], ["a", "salt", "lead", "node", "content"])
-
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = texts.join(bounded(wanted, F.size("roles")), "row").select("text", "roles")
-    return linked(dealt.mapInArrow(lean(run), "a long, salt int, lead boolean, node long, content binary"), percent)
+    dealt = only(texts, wanted).join(bounded(wanted, F.size("roles")), "row").select("text", F.explode("roles").alias("_role"))
+    return linked(dealt.select("_role.*", "text"), words_each, percent)
 
 
 def bucket_pairs(members: DataFrame, points: DataFrame, percent: int, everything: bool) -> DataFrame:

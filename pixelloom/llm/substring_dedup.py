@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import bounded, lean, pinned
+from .common import bounded, lean, only, pinned
 from .graph import collisions, components, sorted_groups, whole_groups
-from .verify import as_set, linked, roles_of
-from .words import Words, mixed, slices, words_of
+from .verify import linked, roles_of
+from .words import Words, mixed, set_hash, slices, token_sets, words_of
 
 SHINGLE = 5
 PARAGRAPH = 20
@@ -156,55 +156,104 @@ def passage_collisions(docs: DataFrame, similarity: float, least_words: int = 25
     return collisions(docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit(""))), lean(run), ["row", "place"])
 
 
-def details(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
-    """row, place, key, content of the ``places`` of the rows in ``wanted``, in one pass over their texts.
+#: Columns of ``details``.
+DETAILS = ["row", "place", "key", "content", "size", "removed", "shared"]
+
+
+def combined_windows(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``DETAILS`` for windows (key, row, place, words beside, whether it has to be answered).
 
-    For a paragraph's place: key 0 and its set of shingles. Places of under ``PARAGRAPH``
-    words are windows and the number says which sides are asked for (1: before, 2: after,
-    3: both); each gives a key of its content and side, and 32 bits of each of the words
-    beside it, nearest first, as far as another window may be chosen.
+    Of rows that agree in window and words, one of the smallest row and the last of the
+    largest go on to meet others; the rest is answered here.
+    """
+    key, row, place, words, own = (np.concatenate(c) for c in zip(*parts))
+    if not len(key):
+        return
+    with np.errstate(over="ignore"):
+        content = mixed((words.astype(np.uint64) * (mixed(np.arange(words.shape[1], dtype=np.uint64), 0x100) | np.uint64(1))).sum(1, dtype=np.uint64), 9)
+    order = np.lexsort((row, content, key))
+    key, row, place, content, words, own = (c[order] for c in (key, row, place, content, words, own))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    last = np.append(first[1:], len(row)) - 1
+    least, most, full = row[first][group], row[last][group], (words != 0).sum(1)
+    meets = row == least
+    meets[last] = True
+    keep = meets | own
+    content = [w.tobytes() if x else None for x, w in zip(meets[keep].tolist(), words[keep].astype(">u4"))]
+    columns = [pa.array(c[keep]) for c in (row, place, key)] + [pa.array(content, pa.binary()), pa.array(np.full(keep.sum(), -1))]
+    # A negative number: nobody asks.
+    columns += [pa.array(np.where(row != least, full, 0)[keep]), pa.array(np.where(own, np.where(least != most, full, 0), -1)[keep])]
+    yield from pa.Table.from_arrays(columns, DETAILS).to_batches(max_chunksize=20_000)
+
+
+def details(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
+    """What the ``places`` of the rows in ``wanted`` hold, in one pass over their texts.
+
+    For a paragraph: row, place, key (a hash of its set of shingles), content (its text, once
+    a worker for each set) and size (shingles). Places of under ``PARAGRAPH`` words are windows; the number
+    says which sides are asked for (see ``edges_of_runs``). Each side gives row, place (its
+    words are the side), key (of content and side) and content: 32 bits of each of the words
+    beside the window, nearest first, as far as another window may be chosen; size is -1.
+    Workers combine chunks of these, and what is answered there has no content.
     """
     width, span = window_shape(least_words)
 
+    def paragraphs_of(words: Words, row: pa.Array, text, places, seen: set) -> pa.RecordBatch:
+        shingles, start = words.grams(SHINGLE, SHINGLE), words.ends[text] + (places >> _PLACE)
+        keys, content, sizes = [], [], []
+        for a, n in zip(start.tolist(), (places & ((1 << _PLACE) - 1)).tolist()):
+            tokens = np.unique(shingles[a : a + n - SHINGLE + 1])
+            keys.append(set_hash(tokens))
+            sizes.append(len(tokens))
+            content.append(None if keys[-1] in seen else words.text(a, a + n))
+            if len(seen) >= 1_000_000:
+                seen.clear()
+            seen.add(keys[-1])
+        none = pa.nulls(len(keys), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [row.take(pa.array(text)), pa.array(places), pa.array(keys, pa.int64()), pa.array(content, pa.binary()), pa.array(sizes, pa.int64()), none, none], DETAILS
+        )
+
+    def beside(words: Words, windows: np.ndarray, row: np.ndarray, text, places) -> tuple[np.ndarray, ...]:
+        """key, row, place, words, whether it has to be answered."""
+        short = words.hashes.astype(np.uint32) | np.uint32(1)
+        start, sides = words.ends[text] + (places >> _PLACE), places & ((1 << _PLACE) - 1)
+        found = []
+        for side in (1, 2):
+            asked = sides & side > 0
+            at, own = start[asked], text[asked]
+            near = (at - 1)[:, None] - np.arange(span - 1) if side == 1 else (at + width)[:, None] + np.arange(span - 1)
+            inside = (near >= words.ends[own][:, None]) & (near < words.ends[own + 1][:, None])
+            around = np.where(inside, short[np.clip(near, 0, max(0, len(short) - 1))], 0).astype(np.uint32)
+            place = places[asked] & ~np.int64((1 << _PLACE) - 1) | side
+            # Without a word beside it a window has nothing to share there.
+            some = around[:, 0] != 0
+            found.append([c[some] for c in (_as_long(mixed(windows[at], side)), row[own], place, around, sides[asked] & (4 * side) > 0)])
+        return tuple(np.concatenate(c) for c in zip(*found))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(least_words=least_words)
-        for whole in batches:
-            for batch in slices(whole, 1):
-                words = words_of(batch.column(1))
-                owns = batch.column(2)
-                sizes = owns.value_lengths().to_numpy(zero_copy_only=False)
-                text = np.repeat(np.arange(batch.num_rows), sizes)
-                places = owns.flatten().to_numpy()
-                start, n = words.ends[text] + (places >> _PLACE), places & ((1 << _PLACE) - 1)
-                wide = n >= PARAGRAPH
-                rows, out, keys, content = [text[wide]], [places[wide]], [np.zeros(wide.sum(), np.int64)], []
-                if wide.any():
-                    shingles = words.grams(SHINGLE, SHINGLE)
-                    content += [as_set(shingles[a : a + k - SHINGLE + 1]) for a, k in zip(start[wide].tolist(), n[wide].tolist())]
-                short = words.hashes.astype(np.uint32) | np.uint32(1)
-                windows = passages.windows(words)
-                for side in (1, 2):
-                    asked = ~wide & (n & side > 0)
-                    at, own = start[asked], text[asked]
-                    beside = (at - 1)[:, None] - np.arange(span - 1) if side == 1 else (at + width)[:, None] + np.arange(span - 1)
-                    inside = (beside >= words.ends[own][:, None]) & (beside < words.ends[own + 1][:, None])
-                    around = np.where(inside, short[np.clip(beside, 0, max(0, len(short) - 1))], 0).astype(">u4")
-                    rows.append(own)
-                    out.append(places[asked] & ~np.int64((1 << _PLACE) - 1) | side)
-                    keys.append(_as_long(mixed(windows[at], side)))
-                    content += [x.tobytes() for x in around]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(np.concatenate(rows))),
-                        pa.array(np.concatenate(out), pa.int64()),
-                        pa.array(np.concatenate(keys), pa.int64()),
-                        pa.array(content, pa.binary()),
-                    ],
-                    ["row", "place", "key", "content"],
-                )
+        passages, held, size, seen = Passages(least_words=least_words), [], 0, set()
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            words, owns = words_of(batch.column(1)), batch.column(2)
+            text = np.repeat(np.arange(batch.num_rows), owns.value_lengths().to_numpy(zero_copy_only=False))
+            places = owns.flatten().to_numpy()
+            wide = places & ((1 << _PLACE) - 1) >= PARAGRAPH
+            if wide.any():
+                yield paragraphs_of(words, batch.column(0), text[wide], places[wide], seen)
+            if not wide.all():
+                held.append(beside(words, passages.windows(words), batch.column(0).to_numpy(), text[~wide], places[~wide]))
+                size += len(held[-1][0])
+            if size >= graph.CHUNK:
+                yield from combined_windows(held)
+                held, size = [], 0
+        if held:
+            yield from combined_windows(held)
 
     texts = docs.select(_row(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(bounded(wanted, F.size("places")), "row").select("row", "text", "places").mapInArrow(lean(run), "row long, place long, key long, content binary")
+    asked = only(texts, wanted).join(bounded(wanted, F.size("places")), "row").select("row", "text", "places")
+    return asked.mapInArrow(lean(run), "row long, place long, key long, content binary, size long, removed long, shared long")
 
 
 def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
@@ -215,7 +264,7 @@ def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> D
     gone through on its own, so no task holds a whole bucket. Of links that connect the same
     components one is given.
     """
-    sized = members.join(contents.select("node", (F.length("content") / 8).alias("_n")), "node")
+    sized = members.join(contents.select("node", F.col("size").alias("_n")), "node")
     shape = (
         sized.groupBy("key")
         .agg(
@@ -241,9 +290,9 @@ def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> D
         label = np.unique(parts, return_inverse=True)[1]
         if not label.any():
             return []
-        sets = table.column("content").to_pylist()
-        sizes = np.array([len(s) // 8 for s in sets])
-        token = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)[1]
+        sets = [tokens for c in table.column("content").chunks for tokens in token_sets(words_of(c), SHINGLE)]
+        sizes = np.array([len(s) for s in sets])
+        token = np.unique(np.concatenate(sets), return_inverse=True)[1]
         holder = np.repeat(np.arange(len(nodes)), sizes)
         holder = holder[np.argsort(token, kind="stable")]
         first = np.concatenate([[0], np.cumsum(np.bincount(token))])
@@ -272,21 +321,20 @@ def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> D
 def clustered_paragraphs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """row, place, class, removed of paragraphs whose component reaches several documents.
 
-    ``pairs`` has key, row, place and a lead's row and place; ``sets`` has row, place, content.
+    ``pairs`` has key, row, place and a lead's row and place; ``sets`` has row, place, key (of the set), content.
     Equal sets of shingles are one node. Leads meet their buckets' members first; buckets that
     still hold several components are then gone through in full. Paragraphs of one document
     connect others as well; components within one document are left out at the end.
     """
-    sets = sets.dropDuplicates(["row", "place"]).withColumn("node", F.xxhash64("content"))
-    contents = pinned(sets.select("node", "content").dropDuplicates(["node"]))
-    owners = pinned(sets.select("row", "place", "node"), narrow=True)
+    contents = pinned(sets.where("content is not null").select(F.col("key").alias("node"), "content", "size").dropDuplicates(["node"]))
+    owners = pinned(sets.select("row", "place", F.col("key").alias("node")).distinct(), narrow=True)
     leads = owners.select(F.col("row").alias("lead_row"), F.col("place").alias("lead_place"), F.col("node").alias("a"))
     keyed = pinned(
         pairs.join(owners, ["row", "place"]).join(leads, ["lead_row", "lead_place"]).where("a <> node").select("key", "a", F.col("node").alias("b")).distinct(),
         narrow=True,
     )
-    stars = roles_of(keyed.select("a", "b").distinct()).join(contents, "node")
-    links = pinned(linked(stars, 100 * similarity), narrow=True)
+    stars = roles_of(keyed.select("a", "b").distinct()).join(contents.withColumnRenamed("content", "text"), "node")
+    links = pinned(linked(stars, SHINGLE, 100 * similarity), narrow=True)
 
     def with_component(df: DataFrame, links: DataFrame) -> DataFrame:
         known = components(links).withColumnRenamed("component", "_known")
@@ -313,33 +361,50 @@ def shared_windows(windows: DataFrame) -> DataFrame:
     )
 
 
-def edges_of_runs(shared: DataFrame, least_words: int) -> DataFrame:
-    """row, place of the windows beside which a shared stretch may go on; the place's words are the sides.
+def runs_and_edges(shared: DataFrame, least_words: int) -> DataFrame:
+    """Runs of shared windows that go or that stay, and the windows, in rows of one table.
 
-    Between shared windows that touch, all words are found already. A shared stretch begins
-    less than a span before its first chosen window. If that isn't in a document's run already,
-    the run begins less than a span before this window. So all documents that hold such a
-    window are asked for the words before it; at the end it is the same.
+    A run: row, removed, class, from, to (key is null). A window: row, place, key, and sides, the sides of
+    its run (4: begin, 8: end) to which it is nearer than a span.
     """
     width, span = window_shape(least_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "row"):
-            row, at = table.column("row").to_numpy(), table.column("place").to_numpy() >> _PLACE
+            row, place, key = (table.column(c).to_numpy() for c in ("row", "place", "key"))
+            removed = table.column("removed").to_numpy().astype(bool)
+            at = place >> _PLACE
             new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > width)
-            first = np.flatnonzero(new)
-            own = np.cumsum(new) - 1
-            before = at - at[first][own] < span
-            after = at[np.append(first[1:], len(row)) - 1][own] - at < span
-            keep = before | after
-            sides = before + 2 * after.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(table.column("key").to_numpy()[keep]), pa.array(sides[keep])], ["key", "sides"])
-
-    dealt = shared.select("row", "place", "key").repartition("row").sortWithinPartitions("row", "place")
-    edges = dealt.mapInArrow(lean(run), "key long, sides long").groupBy("key").agg(F.bit_or("sides").alias("sides"))
+            new[1:] = (row[1:] != row[:-1]) | (removed[1:] != removed[:-1]) | (at[1:] - at[:-1] > width)
+            first, own = np.flatnonzero(new), np.cumsum(new) - 1
+            final = at[np.append(first[1:], len(row)) - 1]
+            sides = 4 * (at - at[first][own] < span) + 8 * (final[own] - at < span).astype(np.int64)
+            runs, windows = pa.nulls(len(first), pa.int64()), pa.nulls(len(row), pa.int64())
+            columns = [
+                (row[first], row), (runs, place), (runs, key), (runs, sides), (removed[first].astype(np.int64), windows),
+                (np.minimum.reduceat(key, first), windows), (at[first], windows), (final + width, windows),
+            ]
+            joint = [pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in pair]) for pair in columns]
+            yield from pa.Table.from_arrays(joint, ["row", "place", "key", "sides", "removed", "class", "from", "to"]).to_batches(max_chunksize=20_000)
+
+    dealt = shared.select("row", "place", "key", F.col("removed").cast("int").alias("removed")).repartition("row").sortWithinPartitions("row", "removed", "place")
+    return dealt.mapInArrow(lean(run, 50_000), "row long, place long, key long, sides long, removed long, class long, from long, to long")
+
+
+def edges_of_runs(windows: DataFrame) -> DataFrame:
+    """row, place of the windows beside which a shared stretch may go on.
+
+    The place's words are sides: 1 and 2 if the words before and after the window are asked
+    for, 4 and 8 where the document itself needs the answer.
+
+    Between shared windows that touch, all words are found already. A shared stretch begins
+    less than a span before its first chosen window. If that isn't in a document's run already,
+    the run begins less than a span before this window. So all documents that hold such a
+    window are asked for the words before it; at the end it is the same.
+    """
+    edges = windows.where("sides <> 0").groupBy("key").agg(F.shiftright(F.bit_or("sides"), 2).alias("_asked"))
     start = F.shiftleft(F.shiftright("place", _PLACE), _PLACE)
-    return shared.join(edges, "key").select("row", start.bitwiseOR(F.col("sides")).alias("place"))
+    return windows.join(edges, "key").select("row", start.bitwiseOR(F.col("sides").bitwiseOR(F.col("_asked"))).alias("place"))
 
 
 class Neighbours:
@@ -357,7 +422,7 @@ class Neighbours:
         self.done: list[tuple[int, int, int, int]] = []
 
     def _leave(self, item: list[int]) -> None:
-        if item[3]:
+        if item[3] > 0 and item[7]:
             self.done.append((item[0], item[1], item[2], item[3]))
 
     def add(self, row: int, place: int, removed: int, shared: int, common: int) -> None:
@@ -377,7 +442,7 @@ class Neighbours:
         elif self.run:
             # The row's own items lie between this one and other rows'.
             item[3] = max(shared, min(common, self.run[-1][6]))
-        item.append(common if not self.run and self.stack else min(common, self.run[-1][6]) if self.run else 0)
+        item += [common if not self.run and self.stack else min(common, self.run[-1][6]) if self.run else 0, shared >= 0]
         while self.stack and self.stack[-1][0] > row:
             top = self.stack.pop()
             top[2] = max(top[2], low)
@@ -401,71 +466,25 @@ class Neighbours:
 def beside_shared(contexts: DataFrame, least_words: int) -> DataFrame:
     """row, place, removed, shared: how many words beside a window other rows with it, and smaller ones, have as well.
 
-    Workers first combine chunks of their rows: of rows that agree in the window and all
-    words beside it the smallest alone goes on to meet others, the rest is answered.
+    ``contexts`` are the rows of ``details`` about windows; those without content are answered already.
     """
     n = window_shape(least_words)[1] - 1
-    names = ["key", "row", "place", "content", "removed", "shared", "_meets", "_first"]
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, n).astype(np.uint32)
-
-    def combined(batch: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, row = (batch.column(c).to_numpy() for c in ("key", "row"))
-        words = matrix(batch.column("content"))
-        with np.errstate(over="ignore"):
-            content = mixed((words.astype(np.uint64) * mixed(np.arange(1, n + 1, dtype=np.uint64), 3)).sum(1, dtype=np.uint64), 9)
-        order = np.lexsort((row, content, key))
-        key, row, content, words = key[order], row[order], content[order], words[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-        first = np.flatnonzero(new)
-        own = np.cumsum(new) - 1
-        least, most = row[first][own], row[np.append(first[1:], len(row)) - 1][own]
-        full = (words != 0).sum(1)
-        later = row != least
-        columns = [
-            pa.array(key),
-            pa.array(row),
-            batch.column("place").combine_chunks().take(pa.array(order)),
-            batch.column("content").combine_chunks().take(pa.array(order)),
-            pa.array(np.where(later, full, 0)),
-            pa.array(np.where(least != most, full, 0)),
-            pa.array(~later),
-            pa.array(words[:, 0].astype(np.int64)),
-        ]
-        yield from pa.Table.from_arrays(columns, names).filter(pa.array(words[:, 0] != 0)).to_batches(max_chunksize=20_000)
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-            if size >= graph.CHUNK:
-                yield from combined(pa.Table.from_batches(held))
-                held, size = [], 0
-        if held:
-            yield from combined(pa.Table.from_batches(held))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, last = Neighbours(), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, meets, words = batch.column("key").to_numpy(), batch.column("_meets").to_numpy(zero_copy_only=False), matrix(batch.column("content"))
-            before = last or (key[0], False, words[0])
-            keys, met = np.concatenate([[before[0]], key]), np.concatenate([[before[1]], meets])
-            both = np.concatenate([before[2][None], words])
+            key = batch.column("key").to_numpy()
+            words = np.frombuffer(b"".join(batch.column("content").to_pylist()), ">u4").reshape(-1, n).astype(np.uint32)
+            before = last or (key[0] ^ 1, words[0])
+            keys, both = np.concatenate([[before[0]], key]), np.concatenate([before[1][None], words])
             apart = np.concatenate([(both[1:] != both[:-1]) | (both[1:] == 0), np.ones((len(words), 1), bool)], 1).argmax(1)
-            common = np.where((keys[1:] == keys[:-1]) & met[1:] & met[:-1], apart, 0)
-            rows = zip(*(batch.column(c).to_pylist() for c in ("row", "place", "removed", "shared")), meets.tolist(), common.tolist())
-            for row, place, removed, shared, meet_others, c in rows:
-                if meet_others:
-                    found.add(row, place, removed, shared, c)
-                elif shared:
-                    found.done.append((row, place, removed, shared))
-            last = key[-1], meets[-1], words[-1]
+            common = np.where(keys[1:] == keys[:-1], apart, 0)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("row", "place", "removed", "shared")), common.tolist())
+            for row, place, removed, shared, c in rows:
+                found.add(row, place, removed, shared, c)
+            last = key[-1], words[-1]
             if found.done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found.done)], ["row", "place", "removed", "shared"])
                 found.done = []
@@ -473,10 +492,11 @@ def beside_shared(contexts: DataFrame, least_words: int) -> DataFrame:
         if found.done:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found.done)], ["row", "place", "removed", "shared"])
 
-    schema = "key long, row long, place long, content binary, removed long, shared long, _meets boolean, _first long"
-    dealt = contexts.select("key", "row", "place", "content").mapInArrow(combine, schema)
-    dealt = dealt.repartition(F.when(F.col("_meets"), F.xxhash64("key", "_first")).otherwise(F.xxhash64("row", "place")))
-    return dealt.sortWithinPartitions("key", "_meets", "content", "row").mapInArrow(meet, "row long, place long, removed long, shared long")
+    answered = contexts.where("content is null").select("row", "place", "removed", "shared")
+    # Windows whose nearest word differs have nothing in common, so that word deals a window's rows as well.
+    dealt = contexts.where("content is not null").select("key", "content", "row", "place", "removed", "shared")
+    dealt = dealt.repartition(F.xxhash64("key", F.substring("content", 1, 4))).sortWithinPartitions("key", "content", "row")
+    return dealt.mapInArrow(lean(meet, 20_000), "row long, place long, removed long, shared long").unionByName(answered)
 
 
 def joined(found: DataFrame, least_words: int) -> DataFrame:
@@ -518,13 +538,13 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     """
     met = passage_collisions(docs, similarity, least_words)
     pairs = met.where("key % 2 = 0")
-    shared = pinned(shared_windows(met.where("key % 2 <> 0")), narrow=True)
+    shared = pinned(runs_and_edges(shared_windows(met.where("key % 2 <> 0")), least_words), narrow=True)
     sides = pairs.select("row", "place").unionByName(pairs.select(F.col("lead_row").alias("row"), F.col("lead_place").alias("place")))
-    sides = sides.unionByName(edges_of_runs(shared, least_words))
+    sides = sides.unionByName(edges_of_runs(shared.where("key is not null")))
     wanted = pinned(sides.groupBy("row").agg(F.collect_set("place").alias("places")), narrow=True)
     read = pinned(details(docs, wanted, least_words))
-    paragraphs = clustered_paragraphs(pairs, read.where("key = 0"), similarity)
-    beside = pinned(beside_shared(read.where("key <> 0"), least_words), narrow=True)
+    paragraphs = clustered_paragraphs(pairs, read.where("size >= 0"), similarity)
+    beside = beside_shared(read.where("size < 0"), least_words)
     start, size = F.shiftright("place", _PLACE), F.col("place").bitwiseAND((1 << _PLACE) - 1)
     width = window_shape(least_words)[0]
     # Words beside a window: those that a smaller row has go, those that only larger rows have stay.
@@ -539,9 +559,8 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
         F.when(F.col("_before"), F.col("_at") - near).otherwise(after + far).alias("to"),
     )
     found = (
-        shared.select("row", "place", F.col("key").alias("class"), "removed")
-        .unionByName(paragraphs)
-        .select("row", "removed", "class", start.alias("from"), (start + size).alias("to"))
+        paragraphs.select("row", "removed", "class", start.alias("from"), (start + size).alias("to"))
+        .unionByName(shared.where("key is null").select("row", (F.col("removed") == 1).alias("removed"), "class", "from", "to"))
         .unionByName(stretched)
     )
     return joined(found, least_words)

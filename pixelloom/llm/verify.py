@@ -15,16 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean
+from .words import slices, token_sets, words_of
 
 #: Members of a lead's group, about.
 PER_LEAD = 4096
 
 
-def as_set(tokens: np.ndarray) -> bytes:
-    """Distinct 64-bit tokens in order, as bytes."""
-    return np.unique(tokens).astype("<u8").tobytes()
-
-
 def roles_of(pairs: DataFrame) -> DataFrame:
     """a, salt, lead, node: the groups to which the sets of the pairs (a, b) have to go."""
     shape = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_LEAD).cast("int").alias("_salts"))
@@ -33,34 +29,34 @@ def roles_of(pairs: DataFrame) -> DataFrame:
     return members.unionByName(leads)
 
 
-def linked(dealt: DataFrame, percent: float) -> DataFrame:
-    """a, b: the pairs whose sets have 100 * intersection >= percent * union.
+def common_tokens(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def linked(dealt: DataFrame, words_each: int, percent: float) -> DataFrame:
+    """a, b: the pairs whose sets of word n-grams have 100 * intersection >= percent * union.
 
-    ``dealt`` has the columns of ``roles_of`` and content, the node's set as bytes.
+    ``dealt`` has the columns of ``roles_of`` and text, the node's words: text is smaller
+    than its set, so that is what moves. Empty sets link with nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, None
-        for batch in batches:
-            a, salt, lead, node = (batch.column(c).to_pylist() for c in ("a", "salt", "lead", "node"))
+        for batch in (part for whole in batches for part in slices(whole, 4)):
             links = []
-            for i, content in enumerate(batch.column("content")):
-                own = np.frombuffer(content.as_buffer(), "<u8")
-                if lead[i]:
-                    group, held = (a[i], salt[i]), own
-                    continue
-                if group != (a[i], salt[i]) or not len(own) or not len(held):
-                    continue
-                x, y = (own, held) if len(own) < len(held) else (held, own)
-                if 100 * len(x) < percent * len(y):
-                    continue
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    links.append((a[i], node[i]))
-            # The batch's memory goes; the lead's set is needed on.
-            held = None if held is None else held.copy()
+            rows = zip(*(c.to_pylist() for c in batch.columns[:4]))
+            for (a, salt, lead, node), own in zip(rows, token_sets(words_of(batch.column(4)), words_each)):
+                if lead:
+                    group, held = (a, salt), own
+                elif group == (a, salt) and 100 * min(len(own), len(held)) >= percent * max(len(own), len(held), 1):
+                    common = common_tokens(own, held)
+                    if common and 100 * common >= percent * (len(own) + len(held) - common):
+                        links.append((a, node))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
-    narrow = dealt.select("a", "salt", "lead", "node", "content")
+    narrow = dealt.select("a", "salt", "lead", "node", "text")
     return narrow.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("lead").desc()).mapInArrow(lean(run), "a long, b long")

@@ -66,12 +66,19 @@ def spans(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
 class Words:
     """Hashes of the words of some texts; text i has the words ``ends[i]`` to ``ends[i + 1]``.
 
-    ``lines`` has the first word of each line that isn't the text's first, in order.
+    ``lines`` has the first word of each line that isn't the text's first, in order; ``at``
+    the place of each word, and the end, in the texts' bytes ``data``.
     """
 
     hashes: np.ndarray
     ends: np.ndarray
     lines: np.ndarray
+    at: np.ndarray
+    data: np.ndarray
+
+    def text(self, first: int, last: int) -> bytes:
+        """The words from ``first`` to before ``last``, with what is between them and after."""
+        return self.data[self.at[first] : self.at[last]].tobytes()
 
     def own(self, i: int) -> np.ndarray:
         return self.hashes[self.ends[i] : self.ends[i + 1]]
@@ -119,7 +126,8 @@ def words_of(column: pa.Array) -> Words:
     """The words of a column of texts. Very long texts are gone through in steps of bounded size."""
     data, offsets = _flat(column)
     if not len(data):
-        return Words(np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64))
+        nothing = np.empty(0, np.int64)
+        return Words(np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), nothing, np.zeros(1, np.int64), data)
     first, hashes, a = [], [], 0
     while a < len(data):
         b = min(len(data), a + STEP)
@@ -134,7 +142,26 @@ def words_of(column: pa.Array) -> Words:
         a = b
     starts = np.concatenate(first)
     lines = np.searchsorted(starts, np.flatnonzero(data == 10))
-    return Words(np.concatenate(hashes), np.searchsorted(starts, offsets), lines)
+    return Words(np.concatenate(hashes), np.searchsorted(starts, offsets), lines, np.append(starts, len(data)), data)
+
+
+def token_sets(words: Words, words_each: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word n-grams; all words as one if fewer."""
+    grams, ends = words.grams(words_each, words_each), words.ends.tolist()
+    for a, b in zip(ends[:-1], ends[1:]):
+        if b - a >= words_each:
+            yield np.unique(grams[a : b - words_each + 1])
+        elif b > a:
+            yield mixed(spans(words.hashes[a:b], np.array([0]), np.array([b - a])), b - a)
+        else:
+            yield np.empty(0, np.uint64)
+
+
+def set_hash(tokens: np.ndarray) -> int:
+    """64 bits of a set of tokens, as a signed number."""
+    with np.errstate(over="ignore"):
+        total = mixed(tokens, 0x33).sum(dtype=np.uint64) + np.uint64(len(tokens))
+    return int(mixed(np.array([total]), 0x44).view(np.int64)[0])
 
 
 def slices(batch: pa.RecordBatch, text: int, step: int = STEP) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pixelloom.llm import graph
@@ -143,33 +144,36 @@ def brute_neighbours(items):
         shared = max((common(words, w) for r, w in items if r != row), default=0)
         removed = max((common(words, w) for r, w in items if r < row), default=0)
         out.append((row, shared, removed))
-    return sorted(out)
+    return out
 
 
 @pytest.mark.parametrize("chunk", [4, 400_000])
-def test_words_beside_windows_against_brute_force(spark, chunk, monkeypatch):
-    monkeypatch.setattr(graph, "CHUNK", chunk)
+def test_words_beside_windows_against_brute_force(spark, chunk):
     rng = random.Random(9)
     n = sd.window_shape(25)[1] - 1
-    groups = {}
-    for key in range(60):
+    items = []
+    for key in range(90):
         pool = [[rng.randint(1, 2) for _ in range(n)] for _ in range(3)]
-        groups[key] = []
         for _ in range(rng.randint(1, 14)):
             words = list(rng.choice(pool))
-            at = rng.randint(0, n)
+            at = rng.randint(1, n)
             words[at:] = [rng.randint(1, 3) for _ in words[at:]] if rng.random() < 0.7 else [0] * (n - at)
-            groups[key].append((rng.randint(0, 8), words))
-    rows = [(k, r, p, b"".join(w.to_bytes(4, "big") for w in words)) for k, items in groups.items() for p, (r, words) in enumerate(items)]
-    contexts = spark.createDataFrame(rows, "key long, row long, place long, content binary").repartition(5)
-    for key, items in groups.items():
-        one = contexts.where(f"key = {key}") if key < 6 else None
-        if one is None:
-            continue
-        found = sorted((r.row, r.shared, r.removed) for r in sd.beside_shared(one, 25).collect())
-        assert found == [x for x in brute_neighbours(items) if x[1]]
-    everything = sorted((r.row, r.shared, r.removed) for r in sd.beside_shared(contexts, 25).collect())
-    assert everything == sorted(x for items in groups.values() for x in brute_neighbours(items) if x[1])
+            items.append((key, rng.randint(0, 8), len(items), words, rng.random() < 0.7))
+    rng.shuffle(items)
+    rows = []
+    for a in range(0, len(items), chunk):
+        columns = zip(*items[a : a + chunk])
+        arrays = [np.array(c, t) for c, t in zip(columns, (np.int64, np.int64, np.int64, np.uint32, bool))]
+        rows += [tuple(r.values()) for b in sd.combined_windows([tuple(arrays)]) for r in b.to_pylist()]
+    contexts = spark.createDataFrame(rows, "row long, place long, key long, content binary, size long, removed long, shared long").repartition(5)
+    found = sorted((r.place, r.shared, r.removed) for r in sd.beside_shared(contexts, 25).collect() if r.shared > 0)
+    want = []
+    for key in range(90):
+        mine = [i for i in items if i[0] == key]
+        for i, (row, shared, removed) in zip(mine, brute_neighbours([(r, w) for _, r, _, w, _ in mine])):
+            if shared and i[4]:
+                want.append((i[2], shared, removed))
+    assert found == sorted(want) and len(want) > 100
 
 
 def test_passages_are_found_wherever_they_start(spark):
