@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 from .common import fold_is_held_out, lean
 
 WIDTHS = (2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -50,6 +48,11 @@ class ByteNetwork:
         return scores / scores.sum(axis=1, keepdims=True)
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter; numerals such as a superscript two are none."""
+    return any(map(str.isalpha, text))
+
+
 def as_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Whole texts as rows of ``window`` bytes, the last row of each padded with 0; rows per text."""
     counts = np.array([max(1, -(-len(t) // window)) for t in texts])
@@ -127,7 +130,7 @@ class Identifier:
     def texts(self, texts: list[str | None], step: int = 128) -> tuple[list[str], list[float]]:
         """Language and score of whole texts: the mean over all their windows."""
         named, scores = ["und"] * len(texts), [0.0] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        at = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if at:
             rows, counts = as_windows([texts[i].encode("utf-8", "replace") for i in at], self.net.window)
             found = np.concatenate([self.windows(rows[a : a + step]) for a in range(0, len(rows), step)])

@@ -21,6 +21,13 @@ TEMPLATES = {
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "gpl-notice": "work is licensed under the gnu general public license version",
+    "gpl-text": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
 }
 
 K = 3
@@ -80,7 +87,8 @@ def template_spans(docs: DataFrame) -> DataFrame:
     diagonal (document place minus template place); neighbouring diagonals, as small
     insertions and omissions make them, are merged; a span counts when the words were equal
     (not only the hashes), it covers ``COVERAGE`` of the template's k-grams and is at most
-    ``STRETCH`` times as long.
+    ``STRETCH`` times as long. Where spans of several templates overlap, as those of one
+    family of licenses do, the best covered stand.
     """
     grams = F.broadcast(template_grams(docs.sparkSession))
     hashes = F.transform(
@@ -111,9 +119,15 @@ def template_spans(docs: DataFrame) -> DataFrame:
             F.first("_n_grams").alias("_n_grams"),
         )
     )
-    return merged.withColumn("coverage", F.col("_covered") / F.col("_n_grams")).where(
+    spans = merged.withColumn("coverage", F.col("_covered") / F.col("_n_grams")).where(
         (F.col("coverage") >= COVERAGE) & (F.col("last") - F.col("first") + 1 <= STRETCH * (F.col("_n_grams") + K - 1))
     )
+    # Spans are short, so those that overlap one begin within a fixed distance of it.
+    reach = int(STRETCH * max(len(t.split()) for t in TEMPLATES.values())) + 1
+    near = Window.partitionBy("_row").orderBy("first").rangeBetween(-reach, reach)
+    return spans.withColumn("_near", F.collect_list(F.struct("first", "last", "coverage")).over(near)).where(
+        ~F.exists("_near", lambda o: (o["first"] <= F.col("last")) & (o["last"] >= F.col("first")) & (o["coverage"] > F.col("coverage")))
+    )
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

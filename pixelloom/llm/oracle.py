@@ -123,10 +123,11 @@ matches AS (SELECT rid, label, pos, tpos, n_grams, pos - tpos AS diagonal FROM d
 diagonals AS (SELECT rid, label, diagonal, CASE WHEN diagonal - lag(diagonal) OVER d <= {SLACK} THEN 0 ELSE 1 END AS fresh
   FROM (SELECT DISTINCT rid, label, diagonal FROM matches) WINDOW d AS (PARTITION BY rid, label ORDER BY diagonal)),
 grouped AS (SELECT rid, label, diagonal, sum(fresh) OVER (PARTITION BY rid, label ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS g FROM diagonals),
-spans AS (SELECT rid, label, count(DISTINCT tpos) / any_value(n_grams) AS coverage, max(pos) + {K} - min(pos) AS size, any_value(n_grams) AS n_grams
-  FROM matches JOIN grouped USING (rid, label, diagonal) GROUP BY rid, label, g),
-verified AS (SELECT rid, list(DISTINCT label) AS more, max(coverage) AS best FROM spans
-  WHERE coverage >= {COVERAGE} AND size <= {STRETCH} * (n_grams + {K - 1}) GROUP BY rid)
+spans AS (SELECT rid, label, count(DISTINCT tpos) / any_value(n_grams) AS coverage, min(pos) AS head, max(pos) + {K - 1} AS tail, any_value(n_grams) AS n_grams
+  FROM matches JOIN grouped USING (rid, label, diagonal) GROUP BY rid, label, g
+  HAVING coverage >= {COVERAGE} AND tail - head + 1 <= {STRETCH} * (any_value(n_grams) + {K - 1})),
+verified AS (SELECT rid, list(DISTINCT label) AS more, max(coverage) AS best FROM spans s
+  WHERE NOT EXISTS (SELECT 1 FROM spans o WHERE o.rid = s.rid AND o.head <= s.tail AND o.tail >= s.head AND o.coverage > s.coverage) GROUP BY rid)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base,
   CAST(list_min(starts) AS BIGINT) AS first_word, CAST(list_max(starts) AS BIGINT) AS last_word,
   array_to_string(names, ',') AS base_labels,

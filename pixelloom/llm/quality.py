@@ -252,7 +252,7 @@ def content_share(text: str, chain: LineChain) -> float:
     lines, held = lines_of(text)
     if not lines:
         return 0.0
-    sizes = [len(line.split()) or 1 for line in lines]
+    sizes = [len(line.encode("utf-8", "replace").split()) for line in lines]
     content = sum(n for n, state in zip(sizes, chain.best_path(held)) if state == 0)
     return content / sum(sizes)
 

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import pinned
+
 #: Segments at each resolution, coarse to fine.
 RESOLUTIONS = (1, 4, 16)
 #: Queries that one job compares with all rows, about; their vectors go to every worker.
 QUERIES_A_BLOCK = 4096
+#: Blocks of queries after which the answers so far are written.
+BLOCKS_A_PLAN = 16
 #: Candidate rows that are compared at once.
 ROWS_AT_ONCE = 512
 
@@ -48,9 +53,12 @@ class Searcher:
         self.statistics = [segment_statistics(vectors.astype(float), s).T for s in self.levels]
         self.least = floor.astype(float)  # a score that k candidates are known to reach
         self.best = np.empty((0, 3), np.int64)  # query, score, candidate
+        self.largest = float(np.abs(vectors.astype(float)).max(initial=0)) * vectors.shape[1]
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Take candidates in; pairs whose upper bound is below the query's k-th score are dropped."""
+        if self.largest * float(np.abs(vectors.astype(float)).max(initial=0)) >= 2.0**63:
+            raise OverflowError("an inner product may not fit in a long")
         alive = self.ids[None, :] != ids[:, None]
         for segments, queries in zip(self.levels, self.statistics):
             rows, columns = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
@@ -58,12 +66,13 @@ class Searcher:
                 return
             bound = segment_statistics(vectors[rows].astype(float), segments) @ queries[:, columns]
             bound += np.abs(bound) * 1e-9 + 1e-3
-            alive[np.ix_(rows, columns)] &= bound >= self.least[columns]
+            # Scores above 2**53 are rounded in ``least``.
+            alive[np.ix_(rows, columns)] &= bound >= self.least[columns] - np.abs(self.least[columns]) * 1e-12
         rows, columns = np.nonzero(alive)
         if not len(rows):
             return
-        scores = np.einsum("ij,ij->i", vectors[rows], self.vectors[columns])
-        keep = scores >= self.least[columns]
+        scores = np.einsum("ij,ij->i", vectors[rows], self.vectors[columns], dtype=np.int64)
+        keep = scores >= self.least[columns] - np.abs(self.least[columns]) * 1e-12
         found = np.stack([columns[keep], scores[keep], ids[rows[keep]]], 1)
         self.best = self._k_best(np.concatenate([self.best, found]))
         full = np.flatnonzero(np.bincount(self.best[:, 0], minlength=len(self.ids)) == self.k)
@@ -108,17 +117,19 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, seeds: int = 1024) -> Dat
     Queries are worked off in blocks of about ``QUERIES_A_BLOCK``, so what goes to the
     workers has a fixed size; each block meets every row once. Each query starts from the
     k-th score among ``seeds`` rows, which only prunes. Every part of the data keeps k rows a
-    query at most; a window ranks those.
+    query at most; a window ranks those. After ``BLOCKS_A_PLAN`` blocks the answers are
+    written, so the plan stays of one size however many queries there are.
 
     Vectors that are null, empty, or hold null, NaN or infinite components take no part, nor
     do null ids. Only vectors of equal length meet. A row never answers a query of its own
     id; repeated rows count once, and of rows that share an id but differ the best counts.
-    Ties go to the smaller vec_id. Exact while components stay below 2**25 or so.
+    Ties go to the smaller vec_id. Exact; an inner product that might not fit in a long
+    raises OverflowError. An empty table gives no rows; extra columns are not read.
     """
     spark = embeddings.sparkSession
     usable = quantised(embeddings)
     asked = usable.where(is_query).dropDuplicates(["vec_id", "v"])
-    answers = None
+    answers, written = [], []
     for dim, n in sorted((r[0], r[1]) for r in asked.groupBy(F.size("v")).count().collect()):
         rows = usable.where(F.size("v") == dim)
         blocks = -(-n // QUERIES_A_BLOCK)
@@ -133,15 +144,22 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, seeds: int = 1024) -> Dat
             scores = vectors.astype(float) @ sample.T.astype(float)
             scores[ids[:, None] == sample_ids[None, :]] = -np.inf
             floor = np.sort(scores, 1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
-            part = rows.mapInArrow(_block(ids, vectors, floor, k), "query_id long, vec_id long, score long")
-            answers = part if answers is None else answers.unionByName(part)
-    if answers is None:
-        answers = spark.createDataFrame([], "query_id long, vec_id long, score long")
+            answers.append(rows.mapInArrow(_block(ids, vectors, floor, k), "query_id long, vec_id long, score long"))
+            if len(answers) == BLOCKS_A_PLAN:
+                # A query's answers lie in its block's part of this alone, unless its id has several vectors.
+                written = [pinned(_k_best(reduce(DataFrame.unionByName, [*written, *answers]), k).drop("rank"))]
+                answers = []
+    found = [*written, *answers]
+    if not found:
+        found = [spark.createDataFrame([], "query_id long, vec_id long, score long")]
+    return _k_best(reduce(DataFrame.unionByName, found), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _k_best(answers: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         answers.groupBy("query_id", "vec_id")
         .agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
     )

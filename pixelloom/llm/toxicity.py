@@ -22,6 +22,24 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "natives", "foreigners", "citizens"),
     ("disabled", "blind", "deaf", "elderly", "young"),
+    ("femmes", "hommes", "filles", "garçons", "mères", "pères"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels", "transgenres"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("handicapés", "aveugles", "sourds", "vieux", "jeunes"),
+    ("frauen", "männer", "mädchen", "jungen", "mütter", "väter"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle", "transsexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger"),
+    ("behinderte", "blinde", "gehörlose", "alte", "junge"),
+    ("mujeres", "hombres", "niñas", "niños", "madres", "padres"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales", "transexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("discapacitados", "ciegos", "sordos", "ancianos", "jóvenes"),
 )
 _GROUPS = {term: line for line in IDENTITY_TERMS for term in line}
 
@@ -74,32 +92,34 @@ class ToxicityModel:
         return 1 / (1 + float(np.exp(-x))) if x > -700 else 0.0
 
 
-def swapped_pairs(texts: list[str], most: int = 4000) -> list[tuple[set[str], set[str]]]:
-    """Feature sets of labelled sentences and of their copies with an identity term exchanged."""
-    pairs = []
-    for text in texts:
-        for sentence in _SENTENCE.findall(text.lower()):
-            words = words_in(sentence)
-            for term in words & _GROUPS.keys():
-                line = _GROUPS[term]
-                other = line[(line.index(term) + 1) % len(line)]
-                pairs.append((set(features_of(term)), set(features_of(other))))
-        if len(pairs) >= most:
-            break
+def swapped_terms(text: str) -> list[tuple[str, str]]:
+    """The identity terms of a text's sentences, each with the term that takes its place in the copy."""
+    found = []
+    for sentence in _SENTENCE.findall(text.lower()):
+        for term in sorted(words_in(sentence) & _GROUPS.keys()):
+            line = _GROUPS[term]
+            found.append((term, line[(line.index(term) + 1) % len(line)]))
+    return found
+
+
+def swapped_pairs(swaps: list[tuple[str, str]]) -> list[tuple[set[str], set[str]]]:
+    """Feature sets by which labelled sentences and their copies with an identity term exchanged differ."""
+    pairs = [(set(features_of(term)), set(features_of(other))) for term, other in swaps]
     # Sentences in which no group is named are given a mention: any two terms of a line, and
     # none at all, have to score alike.
     for line in IDENTITY_TERMS:
         for term, other in zip(line, line[1:] + line[:1]):
             pairs += [(set(features_of(term)), set(features_of(other))), (set(features_of(term)), set())]
-    return pairs[: most + 4 * len(_GROUPS)]
+    return pairs
 
 
-def fitted(texts: list[str], toxic: list[int], most_features: int = 3000, penalty: float = 20.0, ridge: float = 1e-3, steps: int = 300, copies: int = 3) -> ToxicityModel:
+def fitted(texts: list[str], toxic: list[int], most_features: int = 3000, penalty: float = 20.0, ridge: float = 1e-3, steps: int = 300, copies: int = 3, swaps: list[tuple[str, str]] | None = None) -> ToxicityModel:
     """Logistic regression on word and stem presence.
 
     The loss adds ``penalty`` times the mean squared score change over counterfactual pairs:
     the pairs differ only by identity terms, so the change is the weights' inner product with
-    the difference of their features.
+    the difference of their features. ``swaps`` are those of the texts' sentences, if the
+    texts are only their distinct words.
     """
     y = np.array(toxic, float)
     n_pos, n_neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
@@ -138,7 +158,7 @@ def fitted(texts: list[str], toxic: list[int], most_features: int = 3000, penalt
     rows = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     n_pos, n_neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     flat = np.concatenate(columns) if columns else np.empty(0, np.int64)
-    pairs = swapped_pairs(texts)
+    pairs = swapped_pairs([swap for t in texts for swap in swapped_terms(t)] if swaps is None else swaps)
     change = np.zeros((len(pairs), len(chosen)), np.float32)
     for i, (left, right) in enumerate(pairs):
         for f in left - right:
@@ -163,10 +183,11 @@ def fitted(texts: list[str], toxic: list[int], most_features: int = 3000, penalt
     return ToxicityModel({f: float(x) for f, x in zip(chosen, w) if abs(x) > 1e-6}, bias)
 
 
-def model_for(docs: DataFrame, labels: DataFrame, per_label: int = 3000, **options) -> ToxicityModel:
+def model_for(docs: DataFrame, labels: DataFrame, per_label: int = 3000, most_swaps: int = 4000, **options) -> ToxicityModel:
     """Fit on a bounded sample: about ``per_label`` labelled documents of each label, drawn by a
     hash of the id, from rows whose id is not held out. Without labels of both kinds every
-    text scores the share of label 1, or 0.
+    text scores the share of label 1, or 0. The driver keeps the distinct words of the
+    sampled documents, and the identity terms of at most ``most_swaps`` of their sentences.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~fold_is_held_out())
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
@@ -189,11 +210,13 @@ def model_for(docs: DataFrame, labels: DataFrame, per_label: int = 3000, **optio
         .select("text", "_toxic")
         .toLocalIterator()
     )
-    texts, toxic = [], []
+    texts, toxic, swaps = [], [], []
     for r in rows:
-        texts.append(r["text"])
+        if len(swaps) < most_swaps:
+            swaps += swapped_terms(r["text"])
+        texts.append(" ".join(sorted(words_in(r["text"]))))
         toxic.append(r["_toxic"])
-    return fitted(texts, toxic, **options) if len(set(toxic)) == 2 else ToxicityModel({}, 50.0 if 1 in toxic else -50.0)
+    return fitted(texts, toxic, swaps=swaps[:most_swaps], **options) if len(set(toxic)) == 2 else ToxicityModel({}, 50.0 if 1 in toxic else -50.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **sampling) -> DataFrame:
