@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import pixels
-from pixelloom.operators import benchmarks, filters, histograms, legacy, quality, tiling
-from pixelloom.plans.frame import ImageFrame
+from pixelloom.operators import benchmarks, filters, harness, histograms, legacy, quality, tiling
+from pixelloom.plans.frame import POINTWISE, ImageFrame, apply_filters
 from pixelloom.sources import images
 
 FILTERS = ["blur", "sobel", "sharp", "bc", "histeq"]
@@ -319,6 +320,17 @@ def sharp_strips(spark, sf_dir):
     return _from_strips(events(spark, sf_dir), 2, tiling.sharp_strips)
 
 
+@query(SQL["bc"])
+def bc_strips(spark, sf_dir):
+    return _from_strips(events(spark, sf_dir), 0, lambda s: tiling.table_strips(s, POINTWISE["bc"](20.0, 1.2)))
+
+
+@query(SQL["raster_embeddings"])
+def tall_strips_to_pixels(spark, sf_dir):
+    """A tall image cut to strips, put together as one row and turned to pixels again."""
+    return images.images_to_pixels(tiling.images_of(tiling.strips_of(tall(spark, sf_dir), STRIPS, 0))).withColumn("image_id", F.col("image_id").cast("int"))
+
+
 @query(SQL["histeq_tall"])
 def histeq_strips(spark, sf_dir):
     return _from_strips(tall(spark, sf_dir), 0, tiling.histeq_strips)
@@ -410,6 +422,31 @@ def resize_nearest(spark, sf_dir):
     return legacy.resize_nearest(events(spark, sf_dir), 9, 16)
 
 
+@query(
+    f"""WITH {R1}, {_dims()}, sizes(height, width) AS (VALUES {", ".join(f"({h}, {w})" for h, w in legacy.LADDER)}),
+  scaled AS (SELECT d.image_id, s.height, s.width, CAST(i AS INT) AS y, CAST(j AS INT) AS x, p.v
+    FROM dims d CROSS JOIN sizes s, range(480) a(i), range(854) b(j), px p
+    WHERE i < s.height AND j < s.width AND p.image_id = d.image_id AND p.y = i * d.height // s.height AND p.x = j * d.width // s.width)
+  SELECT image_id, height, width, CAST(sum(v) AS BIGINT) AS sum_v, CAST(sum(v * (y + 3 * x)) AS BIGINT) AS sum_places, count(*) AS n
+  FROM scaled GROUP BY image_id, height, width"""
+)
+def resize_ladder(spark, sf_dir):
+    v = F.col("v").cast("long")
+    return legacy.resize_ladder(events(spark, sf_dir)).groupBy("image_id", "height", "width").agg(
+        F.sum(v).alias("sum_v"), F.sum(v * (F.col("y") + 3 * F.col("x"))).alias("sum_places"), F.count("*").alias("n")
+    )
+
+
+@query(
+    f"""WITH {R1}, {_blurred()} SELECT 'blur' AS filter, image_id, y, x, v FROM blurred
+  UNION ALL SELECT 'bc', image_id, y, x, {_bc('v')} FROM px"""
+)
+def filter_list(spark, sf_dir):
+    """Filters by a comma-separated list with blanks and empty names."""
+    found = apply_filters(events(spark, sf_dir), " blur, ,bc,")
+    return found["blur"].withColumn("filter", F.lit("blur")).unionByName(found["bc"].withColumn("filter", F.lit("bc")))
+
+
 # ---- bench analytics -----------------------------------------------------------------------
 
 _NAMES = "['blur', 'sobel', 'sharp', 'bc', 'histeq']"
@@ -511,6 +548,59 @@ def gpu_breakdown(spark, sf_dir):
     return benchmarks.gpu_breakdown(gpu(spark, sf_dir))
 
 
+@query(
+    f"""WITH {GPU}, cents AS (SELECT filter, CAST(round(h2d_ms * 100) AS BIGINT) AS a, CAST(round(kernel_ms * 100) AS BIGINT) AS b,
+    CAST(round(d2h_ms * 100) AS BIGINT) AS c FROM whole)
+  SELECT filter, count(*) AS timed, round(sum(a) / (count(*) * CAST(100 AS DOUBLE)), 6) AS h2d_ms, round(sum(b) / (count(*) * CAST(100 AS DOUBLE)), 6) AS kernel_ms,
+    round(sum(c) / (count(*) * CAST(100 AS DOUBLE)), 6) AS d2h_ms, round((sum(a) + sum(b) + sum(c)) / (count(*) * CAST(100 AS DOUBLE)), 6) AS total_ms
+  FROM cents GROUP BY filter"""
+)
+def gpu_means(spark, sf_dir):
+    cents = {f"{p}_x100": F.round(F.col(f"{p}_ms") * 100).cast("long") for p in ("h2d", "kernel", "d2h")}
+    return benchmarks.gpu_means(gpu(spark, sf_dir).withColumns(cents))
+
+
+AXIS = "axis AS (SELECT filter, CAST(CASE WHEN max(threads) > 1 THEN max(threads) ELSE 8 END AS INT) AS max_threads FROM fast WHERE speedup IS NOT NULL GROUP BY filter)"
+
+
+@query(f"WITH {STATS}, {FASTER}, {AXIS} SELECT * FROM axis")
+def thread_axis(spark, sf_dir):
+    return benchmarks.thread_axis(stats(spark, sf_dir))
+
+
+@query(
+    f"""WITH {STATS}, {FASTER}, {AXIS} SELECT filter, paradigm, threads, speedup FROM fast WHERE speedup IS NOT NULL
+  UNION ALL SELECT filter, 'ideal', n, CAST(n AS DOUBLE) FROM (SELECT filter, unnest([1, max_threads]) AS n FROM axis)"""
+)
+def speedup_curves(spark, sf_dir):
+    return benchmarks.speedup_curves(stats(spark, sf_dir))
+
+
+@query(
+    f"""WITH {STATS} SELECT CAST(list_position({_NAMES}, filter) AS INT) AS place, filter, paradigm, min(mean_ms) AS mean_ms
+  FROM st GROUP BY filter, paradigm"""
+)
+def best_by_paradigm(spark, sf_dir):
+    return benchmarks.best_by_paradigm(stats(spark, sf_dir), FILTERS)
+
+
+@query(
+    f"""WITH {STATS} SELECT paradigm, filter, threads, 6000 AS width, 3376 AS height, CAST(20256000 AS INT) AS pixels,
+    mean_ms AS mean_s, stddev_ms AS stddev_s, min_ms AS min_s, max_ms AS max_s, 2 AS warmup, CAST(timed AS INT) AS timed FROM st"""
+)
+def bench_csv(spark, sf_dir):
+    """Bench rows appended to a CSV folder in two steps and read back with the fixed schema."""
+    found = stats(spark, sf_dir).select(
+        "paradigm", "filter", "threads", F.lit(6000).alias("width"), F.lit(3376).alias("height"), F.lit(20256000).alias("pixels"),
+        F.col("mean_ms").alias("mean_s"), F.col("stddev_ms").alias("stddev_s"), F.col("min_ms").alias("min_s"), F.col("max_ms").alias("max_s"),
+        F.lit(2).alias("warmup"), F.col("timed").cast("int").alias("timed"),
+    )
+    folder = _folder(spark)
+    harness.append_csv(found.where("threads <= 2"), folder)
+    harness.append_csv(found.where("threads > 2"), folder)
+    return benchmarks.read_bench(spark, folder)
+
+
 @query(
     f"""WITH {STATS}, {GPU} SELECT paradigm, filter, threads, round(mean_ms, 6) AS mean_ms, CAST(NULL AS DOUBLE) AS kernel_ms FROM st
   UNION ALL SELECT 'cuda', CASE WHEN filter IN ('blur_naive', 'blur_tiled') THEN 'blur' ELSE filter END, 1, round(h2d_ms + kernel_ms + d2h_ms, 6), kernel_ms FROM whole"""
@@ -583,8 +673,14 @@ def output_name(spark, sf_dir):
 
 @query()
 def hardware(spark, sf_dir):
-    rows = [(spark.version, spark.sparkContext.defaultParallelism, os.cpu_count(), os.uname().machine)]
-    return spark.createDataFrame(rows, "spark string, parallelism int, cpus int, machine string")
+    """The driver's machine; executors may have others."""
+    model, memory = None, None
+    if os.path.exists("/proc/cpuinfo"):
+        with open("/proc/cpuinfo") as cpu, open("/proc/meminfo") as mem:
+            model = next((line.split(":", 1)[1].strip() for line in cpu if line.startswith("model name")), None)
+            memory = next((int(line.split()[1]) for line in mem if line.startswith("MemTotal")), None)
+    rows = [(spark.version, spark.sparkContext.defaultParallelism, os.cpu_count(), os.uname().machine, os.uname().sysname, model, memory)]
+    return spark.createDataFrame(rows, "spark string, parallelism int, cpus int, machine string, system string, cpu_model string, memory_kb long")
 
 
 # ---- files ---------------------------------------------------------------------------------
@@ -600,8 +696,10 @@ def png_roundtrip(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    """A new folder for files: in the session's checkpoint folder, which all workers share, if it is set."""
+    """A new folder for files: in the session's checkpoint folder, which all workers share; a temporary one on a single machine."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = shared.removeprefix("file://") if shared else tempfile.gettempdir()
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix="pixelloom-png-", dir=base)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="pixelloom-")
+    return f"{shared}/pixelloom-{uuid.uuid4().hex}"

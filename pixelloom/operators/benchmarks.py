@@ -88,6 +88,35 @@ def gpu_breakdown(found: DataFrame) -> DataFrame:
     )
 
 
+def gpu_means(runs: DataFrame) -> DataFrame:
+    """Mean of each component over a filter's runs (``*_x100``: hundredths of milliseconds), and the sum of these means."""
+    parts = ("h2d", "kernel", "d2h")
+    sums = runs.groupBy("filter").agg(F.count("*").alias("timed"), *[F.sum(f"{p}_x100").alias(f"_{p}") for p in parts])
+    mean = lambda total: F.round(total / (F.col("timed") * 100.0), 6)
+    total = F.col("_h2d") + F.col("_kernel") + F.col("_d2h")
+    return sums.select("filter", "timed", *[mean(F.col(f"_{p}")).alias(f"{p}_ms") for p in parts], mean(total).alias("total_ms"))
+
+
+def thread_axis(found: DataFrame) -> DataFrame:
+    """filter, max_threads: how far a filter's speedup curves reach; 8 where they have one point."""
+    known = speedups(found).where("speedup is not null")
+    most = F.max("threads")
+    return known.groupBy("filter").agg(F.when(most > 1, most).otherwise(8).cast("int").alias("max_threads"))
+
+
+def speedup_curves(found: DataFrame) -> DataFrame:
+    """Chart table: the speedup of each paradigm with a run at one thread, and the ideal line's two ends."""
+    axis = thread_axis(found)
+    ends = F.explode(F.array(F.lit(1), F.col("max_threads")))
+    ideal = axis.select("filter", F.lit("ideal").alias("paradigm"), ends.alias("threads")).withColumn("speedup", F.col("threads").cast("double"))
+    return speedups(found).where("speedup is not null").select("filter", "paradigm", "threads", "speedup").unionByName(ideal)
+
+
+def best_by_paradigm(found: DataFrame, names: list[str]) -> DataFrame:
+    """Chart table: each filter's least mean in each paradigm, with the filter's place in the chart."""
+    return ordered_as(found, names).groupBy("place", "filter", "paradigm").agg(F.min("mean_ms").alias("mean_ms"))
+
+
 def ordered_as(found: DataFrame, names: list[str]) -> DataFrame:
     """Give each row its filter's place in a fixed order (from 1; others are left out)."""
     place = F.array_position(F.array(*map(F.lit, names)), F.col("filter"))

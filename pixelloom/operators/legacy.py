@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import along_column, along_row
 
 
-def _inside(value: Column) -> Column:
-    """0 on the border (a pixel without all neighbours), else ``value``."""
-    edge = (
-        F.lag("x").over(along_row()).isNull()
-        | F.lead("x").over(along_row()).isNull()
-        | F.lag("y").over(along_column()).isNull()
-        | F.lead("y").over(along_column()).isNull()
-    )
-    return F.when(edge, F.lit(0.0)).otherwise(value)
+#: Heights and widths to which images were scaled before timing.
+LADDER = [(144, 256), (240, 426), (360, 640), (480, 854)]
+
+
+def _ends(place: str, along) -> Column:
+    """Whether a pixel is the first or the last along a row or a column."""
+    return F.lag(place).over(along).isNull() | F.lead(place).over(along).isNull()
 
 
 def _around(value: Column, along) -> tuple[Column, Column]:
@@ -28,20 +28,22 @@ def blur3(px: DataFrame) -> DataFrame:
     """Binomial 3x3 blur; sums of sixteenths are exact in doubles."""
     value = F.col("v").cast("double")
     left, right = _around(value, along_row())
-    rows = px.withColumn("_r", left + 2 * value + right)
+    rows = px.select("image_id", "y", "x", (left + 2 * value + right).alias("_r"), _ends("x", along_row()).alias("_side"))
     up, down = _around(F.col("_r"), along_column())
-    return rows.select("image_id", "y", "x", _inside((up + 2 * F.col("_r") + down) / 16.0).alias("v"))
+    whole = F.when(F.col("_side") | _ends("y", along_column()), F.lit(0.0)).otherwise((up + 2 * F.col("_r") + down) / 16.0)
+    return rows.select("image_id", "y", "x", whole.alias("v"))
 
 
 def sobel3(px: DataFrame) -> DataFrame:
     """Gradient length scaled to a largest of 255; unchanged where that is 0."""
     value = F.col("v").cast("double")
     left, right = _around(value, along_row())
-    rows = px.select("image_id", "y", "x", (right - left).alias("_d"), (left + 2 * value + right).alias("_m"))
+    rows = px.select("image_id", "y", "x", (right - left).alias("_d"), (left + 2 * value + right).alias("_m"), _ends("x", along_row()).alias("_side"))
     d_up, d_down = _around(F.col("_d"), along_column())
     m_up, m_down = _around(F.col("_m"), along_column())
     gx, gy = d_up + 2 * F.col("_d") + d_down, m_down - m_up
-    steep = rows.select("image_id", "y", "x", _inside(F.sqrt(gx * gx + gy * gy)).alias("m"))
+    length = F.when(F.col("_side") | _ends("y", along_column()), F.lit(0.0)).otherwise(F.sqrt(gx * gx + gy * gy))
+    steep = rows.select("image_id", "y", "x", length.alias("m"))
     peaks = steep.groupBy("image_id").agg(F.max("m").alias("_peak"))
     scaled = F.when(F.col("_peak") > 0, F.col("m") / F.col("_peak") * 255.0).otherwise(F.col("m"))
     return steep.join(peaks, "image_id").select("image_id", "y", "x", scaled.alias("v"))
@@ -65,3 +67,9 @@ def resize_nearest(px: DataFrame, height: int, width: int) -> DataFrame:
         F.expr(f"cast((x * _w) div {width} as int)").alias("x"),
     )
     return source.join(px, ["image_id", "y", "x"]).select("image_id", F.col("_y").alias("y"), F.col("_x").alias("x"), "v")
+
+
+def resize_ladder(px: DataFrame) -> DataFrame:
+    """The sizes of ``LADDER`` one below the other, with each one's height and width."""
+    sizes = [resize_nearest(px, h, w).withColumns({"height": F.lit(h), "width": F.lit(w)}) for h, w in LADDER]
+    return reduce(DataFrame.unionByName, sizes)

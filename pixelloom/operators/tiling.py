@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.schema import STRIPS
+from pixelloom.sources.images import pixel_rows
 
 from . import histograms
 
@@ -285,15 +286,7 @@ def histeq_strips(strips: DataFrame) -> DataFrame:
 
 def pixels_of(strips: DataFrame) -> DataFrame:
     """Strips without halos back to a pixel table."""
-    value = F.conv(F.substring(F.hex("data"), F.col("_at") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return strips.select(
-        "image_id", "y0", "width", "data", F.explode(F.sequence(F.lit(0), F.col("h") * F.col("width") - 1)).alias("_at")
-    ).select(
-        "image_id",
-        (F.col("y0") + F.expr("_at div width")).cast("int").alias("y"),
-        (F.col("_at") % F.col("width")).cast("int").alias("x"),
-        value.alias("v"),
-    )
+    return pixel_rows(strips)
 
 
 def images_of(strips: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def kind_of(data: bytes) -> str:
         return "jpeg"
     if data[:2] in (b"P5", b"P6"):
         return "pnm"
-    if len(data) >= 18 and data[1] in (0, 1) and data[2] in (1, 2, 3, 9, 10, 11) and data[16] in (8, 24, 32):
+    if len(data) >= 18 and data[1] in (0, 1) and data[2] in (1, 2, 3, 9, 10, 11) and data[16] in (8, 15, 16, 24, 32):
         return "tga"
     return "unknown"
 
@@ -46,7 +46,7 @@ def _sides(width: int, height: int) -> None:
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    at, body, palette, transparent, head = 8, [], None, None, None
+    at, body, palette, head = 8, [], None, None
     while at + 8 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + size]
@@ -55,8 +55,6 @@ def decode_png(data: bytes) -> np.ndarray:
             head = struct.unpack(">IIBBBBB", part)
         elif kind == b"PLTE":
             palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
-        elif kind == b"tRNS":
-            transparent = part
         elif kind == b"IDAT":
             body.append(part)
         elif kind == b"IEND":
@@ -89,7 +87,6 @@ def decode_png(data: bytes) -> np.ndarray:
         return palette[out[..., 0]]
     if depth < 8:
         out = (out.astype(np.uint16) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-    del transparent  # alpha never counts in a grey image
     return out
 
 
@@ -157,27 +154,52 @@ def decode_pnm(data: bytes) -> np.ndarray:
     return out.astype(np.uint16) if most > 255 else out
 
 
+def _fives(words: np.ndarray) -> np.ndarray:
+    """Colours of 16-bit words with five bits each for red, green and blue, as 8 bits."""
+    parts = np.stack([words >> 10, words >> 5, words], -1) & 31
+    return (parts.astype(np.uint16) * 255 // 31).astype(np.uint8)
+
+
+def _masked(words: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask in each word, stretched to 8 bits."""
+    if not mask:
+        return np.zeros(words.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return (((words.astype(np.int64) & mask) >> low) * 255 // most).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
     start, size, width, height, _, bits, packed = struct.unpack("<10xIIiiHHI", data[:34])
-    _sides(width, abs(height))
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    tall = abs(height)
+    _sides(width, tall)
+    if packed not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or (packed == 3 and bits < 16):
         raise ImageError("compressed or unusual BMP")
     stride = -(-width * bits // 32) * 4
-    rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
+    rows = np.frombuffer(data, np.uint8, stride * tall, start).reshape(tall, stride)
     rows = rows[::-1] if height > 0 else rows
-    if bits == 8:
+    if bits <= 8:
         colours = np.frombuffer(data, np.uint8, (start - 14 - size) // 4 * 4, 14 + size).reshape(-1, 4)
-        return colours[rows[:, :width]][..., 2::-1]
-    return rows[:, : width * bits // 8].reshape(abs(height), width, -1)[..., 2::-1]
+        shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+        places = ((rows[..., None] >> shifts) & ((1 << bits) - 1)).reshape(tall, -1)[:, :width]
+        return colours[places][..., 2::-1]
+    if bits == 16 or packed == 3:
+        words = np.ascontiguousarray(rows[:, : width * bits // 8]).view(f"<u{bits // 8}")
+        if packed == 0:
+            return _fives(words)
+        # The masks follow the short header, or lie in a longer one at the same place.
+        masks = struct.unpack("<III", data[54:66])
+        return np.stack([_masked(words, m) for m in masks], -1)
+    return rows[:, : width * bits // 8].reshape(tall, width, -1)[..., 2::-1]
 
 
 def decode_tga(data: bytes) -> np.ndarray:
     length, has_map, kind, map_from, map_n, map_bits, _, _, width, height, bits, flags = struct.unpack("<BBBHHBHHHHBB", data[:18])
     _sides(width, height)
-    at, step = 18 + length, bits // 8
+    at, step = 18 + length, -(-bits // 8)
     colours = None
     if has_map:
-        each = map_bits // 8
+        each = -(-map_bits // 8)
         colours = np.frombuffer(data, np.uint8, map_n * each, at).reshape(map_n, each)
         at += map_n * each
     n = width * height
@@ -200,7 +222,9 @@ def decode_tga(data: bytes) -> np.ndarray:
     px = np.frombuffer(body, np.uint8).reshape(height, width, step)
     if colours is not None:
         px = colours[px[..., 0].astype(int) - map_from]
-    if px.shape[2] >= 3:
+    if px.shape[2] == 2 and kind in (1, 2, 9, 10):
+        px = _fives(np.ascontiguousarray(px).view("<u2")[..., 0])
+    elif px.shape[2] >= 3:
         px = px[..., [2, 1, 0]]
     return px if flags & 32 else px[::-1]
 
@@ -294,7 +318,9 @@ def grey(data: bytes) -> np.ndarray:
         raise ImageError("unknown image type" if kind == "unknown" else f"{kind} files go through Spark's image source")
     try:
         px = DECODERS[kind](data)
-    except (struct.error, IndexError, zlib.error) as error:
+    except ImageError:
+        raise
+    except (struct.error, IndexError, ValueError, TypeError, OverflowError, zlib.error) as error:
         raise ImageError(f"broken {kind} file: {error}") from error
     if px.dtype == np.uint16:
         px = (px >> 8).astype(np.uint8)
@@ -304,16 +330,34 @@ def grey(data: bytes) -> np.ndarray:
     return ((77 * r + 150 * g + 29 * b) >> 8).astype(np.uint8)
 
 
-def encode_png(plane: np.ndarray) -> bytes:
-    """An 8-bit grey plane as a PNG file; every row is stored as the difference from the one above."""
-    height, width = plane.shape
-    rows = np.zeros((height, width + 1), np.uint8)
-    rows[:, 0] = 2
-    rows[0, 1:] = plane[0]
-    rows[1:, 1:] = plane[1:] - plane[:-1]
+def _differences(above: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The five row filters of PNG on rows of one byte a pixel: (filter, row, byte)."""
+    up = np.concatenate([above, lines[:-1]])
+    left, corner = np.zeros_like(lines), np.zeros_like(lines)
+    left[:, 1:], corner[:, 1:] = lines[:, :-1], up[:, :-1]
+    a, b, c = (x.astype(np.int16) for x in (left, up, corner))
+    near_a, near_b, near_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+    paeth = np.where((near_a <= near_b) & (near_a <= near_c), left, np.where(near_b <= near_c, up, corner))
+    mean = ((a + b) >> 1).astype(np.uint8)
+    return np.stack([lines, lines - left, lines - up, lines - mean, lines - paeth])
+
 
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+def encode_png(plane: np.ndarray, level: int = 8, rows_at_once: int = 256) -> bytes:
+    """An 8-bit grey plane as a PNG file; of the five row filters each row takes the one of least sum of absolute differences."""
+    height, width = plane.shape
+    packer, body = zlib.compressobj(level), []
+    above = np.zeros((1, width), np.uint8)
+    for y in range(0, height, rows_at_once):
+        lines = np.ascontiguousarray(plane[y : y + rows_at_once])
+        found = _differences(above, lines)
+        rule = np.abs(found.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64).argmin(0)
+        out = np.concatenate([rule.astype(np.uint8)[:, None], found[rule, np.arange(len(lines))]], 1)
+        body.append(packer.compress(out.tobytes()))
+        above = lines[-1:]
+    body.append(packer.flush())
+
+    def chunk(kind: bytes, part: bytes) -> bytes:
+        return struct.pack(">I", len(part)) + kind + part + struct.pack(">I", zlib.crc32(kind + part))
 
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 8)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", b"".join(body)) + chunk(b"IEND", b"")

@@ -7,40 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pixelloom.plans.frame import POINTWISE
 from pixelloom.schema import IMAGES
-from pixelloom.sources import codecs
+from pixelloom.sources.images import as_images, decoded
 
 
-def stream_grey(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """New files of ``path`` as image rows; broken files are left out."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    files = (
-        spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
-    )
+def stream_grey(spark: SparkSession, path: str, files_per_trigger: int = 64, drop_invalid: bool = True) -> DataFrame:
+    """New files of ``path`` as image rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for origin, data in zip(*(c.to_pylist() for c in batch.columns)):
-                try:
-                    plane = codecs.grey(data)
-                except codecs.ImageError:
-                    continue
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "origin": pa.array([origin]),
-                        "height": pa.array([plane.shape[0]], pa.int32()),
-                        "width": pa.array([plane.shape[1]], pa.int32()),
-                        "data": pa.array([plane.tobytes()], pa.binary()),
-                    }
-                )
-
-    found = files.select("path", "content").mapInArrow(run, "origin string, height int, width int, data binary")
-    return found.select(
-        F.xxhash64("origin").alias("image_id"), "origin", "height", "width", F.lit(1).alias("n_channels"), F.lit(0).alias("mode"), "data"
-    )
+    Without ``drop_invalid`` a file that can't be decoded here has a row of height -1, so none
+    goes unseen: JPEG and GIF files as well, whose origins ``read_grey`` takes.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    rows = as_images(decoded(files))
+    return rows.where("height > 0") if drop_invalid else rows
 
 
 def filtered(images: DataFrame, name: str, *options) -> DataFrame:

@@ -89,12 +89,125 @@ def test_pic():
         codecs.grey(raw[:-4])
 
 
-@pytest.mark.parametrize("data", [b"", b"no image", b"P5 9 9 255\nxx", b"\x89PNG\r\n\x1a\n", b"BM" + b"\0" * 60, b"P5 99999999 2 255\n"])
+def bmp_file(width, height, bits, rows, extra=b"", packed=0):
+    start = 54 + len(extra)
+    head = b"BM" + struct.pack("<IHHI", start + len(rows), 0, 0, start)
+    return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, bits, packed, 0, 0, 0, 0, 0) + extra + rows
+
+
+def test_small_bmp_and_tga_depths():
+    rng = np.random.default_rng(5)
+    palette = rng.integers(0, 256, (16, 4)).astype(np.uint8)
+    four = rng.integers(0, 16, (3, 5))
+    rows = b"".join(bytes([int(r[0]) << 4 | int(r[1]), int(r[2]) << 4 | int(r[3]), int(r[4]) << 4, 0]) for r in four[::-1])
+    assert (codecs.grey(bmp_file(5, 3, 4, rows, palette.tobytes())) == luma(palette[four][..., 2::-1])).all()
+    words = rng.integers(0, 1 << 15, (2, 4)).astype("<u2")
+    fives = np.stack([words >> 10 & 31, words >> 5 & 31, words & 31], -1).astype(np.uint32) * 255 // 31
+    assert (codecs.grey(bmp_file(4, -2, 16, words.tobytes())) == luma(fives)).all()
+    masks = struct.pack("<III", 0xF800, 0x07E0, 0x001F)
+    parts = np.stack([(words >> 11 & 31).astype(np.uint32) * 255 // 31, (words >> 5 & 63).astype(np.uint32) * 255 // 63, (words & 31).astype(np.uint32) * 255 // 31], -1)
+    assert (codecs.grey(bmp_file(4, -2, 16, words.tobytes(), masks, 3)) == luma(parts)).all()
+    for bits in (15, 16):
+        head = struct.pack("<BBBHHBHHHHBB", 0, 0, 2, 0, 0, 0, 0, 0, 4, 2, bits, 32)
+        assert (codecs.grey(head + words.tobytes()) == luma(fives)).all()
+
+
+BROKEN = [
+    b"", b"no image", b"P5 9 9 255\nxx", b"\x89PNG\r\n\x1a\n", b"BM" + b"\0" * 60, b"P5 99999999 2 255\n",
+    png(np.zeros((4, 4, 1), int), 8, 0, [0]).replace(struct.pack(">II", 4, 4), struct.pack(">II", 4, 9)),
+    bmp_file(5, 3, 24, b"\0" * 20), b"P5 x 9 255\n", b"P5 # no end",
+    b"8BPS" + struct.pack(">H6xHIIHH", 1, 3, 5, 6, 8, 3) + struct.pack(">III", 0, 0, 0) + struct.pack(">H", 0) + b"\1" * 10,
+]
+
+
+@pytest.mark.parametrize("data", BROKEN)
 def test_broken_files(data):
     with pytest.raises(codecs.ImageError):
         codecs.grey(data)
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (1, 9), (300, 5), (33, 40)])
+def test_png_rows_take_the_filter_of_least_sum(shape):
+    rng = np.random.default_rng(8)
+    noise = rng.integers(0, 256, shape).astype(np.uint8)
+    ramp = (np.add.outer(np.arange(shape[0]) * 3, np.arange(shape[1]) * 2) + rng.integers(0, 3, shape)).astype(np.uint8)
+    for plane in (noise, ramp, np.zeros(shape, np.uint8)):
+        assert (codecs.grey(codecs.encode_png(plane)) == plane).all()
+    raw = zlib.decompress(codecs.encode_png(ramp).split(b"IDAT")[1][:-16])
+    lines = np.frombuffer(raw, np.uint8).reshape(shape[0], shape[1] + 1)
+    padded = np.zeros((shape[0] + 1, shape[1] + 1), int)
+    padded[1:, 1:] = ramp
+    a, b, c = padded[1:, :-1], padded[:-1, 1:], padded[:-1, :-1]
+    p = a + b - c
+    paeth = np.where((abs(p - a) <= abs(p - b)) & (abs(p - a) <= abs(p - c)), a, np.where(abs(p - b) <= abs(p - c), b, c))
+    sums = np.stack([abs((ramp - x).astype(np.uint8).view(np.int8).astype(int)).sum(1) for x in (0 * a, a, b, (a + b) // 2, paeth)])
+    assert (sums[lines[:, 0], np.arange(shape[0])] == sums.min(0)).all()
+
+
+def java_image(spark, plane, kind):
+    """An image file's bytes, made by the JVM."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    height, width = plane.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(width, height, 1 if plane.ndim == 3 else 10)
+    for y in range(height):
+        for x in range(width):
+            if plane.ndim == 3:
+                r, g, b = (int(v) for v in plane[y, x])
+                image.setRGB(x, y, r << 16 | g << 8 | b)
+            else:
+                image.getRaster().setSample(x, y, 0, int(plane[y, x]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, kind, out) and gateway
+    return bytes(out.toByteArray())
+
+
+def test_every_file_has_one_row(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    smooth = np.add.outer(np.arange(24) * 4, np.arange(32) * 3).astype(np.uint8)
+    colours = np.stack([smooth, smooth[::-1], 255 - smooth], -1)
+    jpeg, colour, gif = java_image(spark, smooth, "jpg"), java_image(spark, colours, "jpg"), java_image(spark, smooth // 64 * 64, "gif")
+    plane = rng.integers(0, 256, (6, 7)).astype(np.uint8)
+    files = {
+        "ok.jpg": jpeg, "ok2.bin": jpeg, "colour.png": colour, "ok.gif": gif, "x.jpg": codecs.encode_png(plane), "y.png": codecs.encode_png(plane),
+        "cut.jpg": jpeg[:40], "cut.bmp": bmp_file(5, 3, 24, b"\0" * 20), "empty.png": b"", "text.txt": b"words",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = images.read_grey(spark, str(tmp_path)).collect()
+    found = {r.origin.rsplit("/", 1)[1]: r for r in rows}
+    assert len(rows) == len(files) and set(found) == set(files)
+    assert {n for n, r in found.items() if r.height < 0} == {"cut.jpg", "cut.bmp", "empty.png", "text.txt"}
+    grey = lambda n: np.frombuffer(bytes(found[n].data), np.uint8).reshape(found[n].height, found[n].width)
+    assert (grey("x.jpg") == plane).all() and (grey("y.png") == plane).all()
+    assert abs(grey("ok.jpg").astype(int) - smooth).max() <= 8 and (grey("ok.jpg") == grey("ok2.bin")).all()
+    assert (grey("ok.gif") == smooth // 64 * 64).mean() > 0.9
+    bright = colours @ np.array([0.299, 0.587, 0.114])
+    assert abs(grey("colour.png") - bright).mean() < 4
+    # As a stream no file goes unseen either.
+    seen = stream.stream_grey(spark, str(tmp_path), drop_invalid=False)
+    job = seen.writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c" / "p")).start()
+    try:
+        job.processAllAvailable()
+    finally:
+        job.stop()
+    assert spark.sql("select * from seen").count() == len(files)
+
+
+def test_candidates_of_a_folder(spark, tmp_path):
+    names = ["omp_blur_t4.png", "seq_blur.png", "blur.png", "a_blur_sobel.png", "omp_bc_t2.bmp", "omp_blurred_t1.png"]
+    for n in names:
+        (tmp_path / n).write_bytes(b"")
+    found = [(r.filter, r.path.rsplit("/", 1)[1]) for r in images.candidate_files(spark, str(tmp_path), ["blur", "sobel", "bc"]).collect()]
+    assert found == [("blur", "a_blur_sobel.png"), ("blur", "omp_blur_t4.png"), ("blur", "seq_blur.png"), ("sobel", "a_blur_sobel.png")]
+
+
+def test_pixels_of_a_large_image(spark):
+    plane = np.random.default_rng(7).integers(0, 256, (700, 1000)).astype(np.uint8)
+    table = spark.createDataFrame([(5, 700, 1000, bytearray(plane.tobytes()))], "image_id long, height int, width int, data binary")
+    px = images.images_to_pixels(table).toPandas()
+    assert len(px) == plane.size and (plane[px.y, px.x] == px.v).all() and px.groupby(["y", "x"]).ngroups == plane.size
+
+
 def test_write_and_read_back(spark, tmp_path):
     rng = np.random.default_rng(3)
     planes = {i: rng.integers(0, 256, (4 + i, 9)).astype(np.uint8) for i in range(3)}
