@@ -17,7 +17,7 @@ def stream_grey(spark: SparkSession, path: str, files_per_trigger: int = 64, dro
     """New files of ``path`` as image rows.
 
     Without ``drop_invalid`` a file that can't be decoded here has a row of height -1, so none
-    goes unseen: JPEG and GIF files as well, whose origins ``read_grey`` takes.
+    that has bytes goes unseen: JPEG and GIF files as well, whose origins ``read_grey`` takes.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
