@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats_by_document(documents(spark, sf_dir))
+    return substring_dedup.repeats_by_document(documents(spark, sf_dir), least_words=substring_dedup.PASSAGE)
 
 
 def op2_segment_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,9 @@ from .words import Words, mixed, set_hash, slices, token_sets, words_of
 SHINGLE = 5
 PARAGRAPH = 20
 WINDOW = 12
+#: Words of a passage in production: 50, of which those at the ends may have other punctuation around them.
+#: The windows are the same as at the default of 25; shorter stretches are found and left alone.
+PASSAGE = 45
 #: Paragraphs and shingles of a bucket's block, about.
 BLOCK, BLOCK_WORDS = 2048, 1_000_000
 #: A place is start * 2**24 + words; a line of more than LONGEST words is several paragraphs.
@@ -344,6 +347,8 @@ def clustered_paragraphs(pairs: DataFrame, sets: DataFrame, similarity: float) -
     more = block_links(pinned(with_component(members, links), narrow=True), contents, similarity)
     units = pinned(with_component(owners, links.unionByName(more)), narrow=True)
     first = units.groupBy("component").agg(F.min("row").alias("_first"), F.max("row").alias("_last")).where("_first <> _last")
+    # Written first, so that the join can split a component that many documents are in.
+    first = bounded(pinned(first, narrow=True))
     return units.join(first, "component").select("row", "place", F.col("component").alias("class"), (F.col("row") != F.col("_first")).alias("removed"))
 
 
@@ -404,7 +409,7 @@ def edges_of_runs(windows: DataFrame) -> DataFrame:
     """
     edges = windows.where("sides <> 0").groupBy("key").agg(F.shiftright(F.bit_or("sides"), 2).alias("_asked"))
     start = F.shiftleft(F.shiftright("place", _PLACE), _PLACE)
-    return windows.join(edges, "key").select("row", start.bitwiseOR(F.col("sides").bitwiseOR(F.col("_asked"))).alias("place"))
+    return windows.join(bounded(pinned(edges, narrow=True)), "key").select("row", start.bitwiseOR(F.col("sides").bitwiseOR(F.col("_asked"))).alias("place"))
 
 
 class Neighbours:

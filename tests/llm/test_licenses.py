@@ -48,5 +48,19 @@ def test_templates_are_found_with_small_changes(spark):
         assert label not in found[200 + i].labels.split(",") or label in found[200 + i].base_labels.split(",")
 
 
+def test_notices_without_a_phrase_get_labels_and_families_are_told_apart(spark):
+    notices = [
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl-notice"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "agpl"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lgpl"),
+        ("We like general public events, and work under a license.", ""),
+    ]
+    rows = [(i, f"Some words before.\n{t}\nAnd some words behind.", None, None, 0, None, None) for i, (t, _) in enumerate(notices)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(got[i].labels, got[i].base_labels) for i in range(len(notices))] == [(label, "") for _, label in notices]
+
+
 def test_empty(spark):
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -50,6 +51,38 @@ def test_language_held_out_accuracy(spark, corpus):
     assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", texts[r.doc_id] or "")) for r in got)
 
 
+def test_numerals_are_no_letters(spark, corpus):
+    texts = {0: "\u00bd \u2461", 1: "\u00b2 \u00b3", 2: "\u2167", 3: "12 %", 4: "\u00e9", 5: "\u4e2d\u6587", 6: "\u02b0", 7: "", 8: None, 9: "\u0660\u0661", 10: "7 a"}
+    rows = corpus[0] + [(2000 + i, t, None, "s", 0, None, None) for i, t in texts.items()]
+    got = {r.doc_id - 2000: r for r in langid.languages(spark.createDataFrame(rows, SCHEMA)).collect() if r.doc_id >= 2000}
+    for i, t in texts.items():
+        letters = [c for c in t or "" if unicodedata.category(c)[0] == "L"]
+        assert (got[i].lang_pred == "und") == (not letters), repr(t)
+        assert (got[i].score == 0) == (not letters)
+
+
+def test_whole_texts_equal_the_network_applied_window_by_window(spark, corpus):
+    docs = spark.createDataFrame(corpus[0], SCHEMA)
+    net = langid.network_for(docs)
+    rng = random.Random(2)
+    texts = [prose(rng, v, n) for v in SOUNDS for n in (1, 40, 700)] + ["a" * 256, "b " * 128 + "c"]
+    rows = [(i, t, None, "s", 0, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in langid.languages(spark.createDataFrame(rows, SCHEMA), net).collect()}
+    for i, t in enumerate(texts):
+        data, total, weight = t.encode(), 0, 0
+        for a in range(0, len(data), net.window):
+            part = data[a : a + net.window]
+            row = np.frombuffer(part.ljust(net.window, b"\0"), np.uint8)[None]
+            best = []
+            for width in langid.WIDTHS:
+                sums = [sum(net.tables[width][k, row[0, at + k]] for k in range(width)) for at in range(net.window - width + 1)]
+                best.append(np.max(sums, axis=0))
+            share = len(part) / net.window + 1e-3
+            total, weight = total + net.probabilities(np.concatenate(best)[None])[0] * share, weight + share
+        mean = total / weight
+        assert got[i].lang_pred == net.languages[int(mean.argmax())] and abs(got[i].score - mean.max()) < 1e-4
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(i, f"text number {i}", f"lang{i % 300}", "s", 0, None, None) for i in range(1500)]
     known = {r[2] for r in rows if not held_out(r[0])}
@@ -105,6 +138,44 @@ def test_identity_terms_score_alike():
     assert tied.score("muslims walk by the river") < 0.5 <= tied.score("what an idiot")
 
 
+@pytest.mark.parametrize("pair", [("muslims", "christians"), ("musulmans", "juifs"), ("frauen", "männer"), ("negros", "blancos")])
+def test_identity_terms_of_all_languages_score_alike(pair):
+    rng = random.Random(10)
+    texts, toxic = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        named = pair[0] if rng.random() < (0.7 if bad else 0.05) else pair[1] if rng.random() < 0.3 else "x"
+        texts.append(" ".join(rng.choices(["walk", "green", "tree", "river"], k=12) + [named] + (["idiot"] if bad else [])))
+        toxic.append(int(bad))
+    tied = toxicity.fitted(texts, toxic)
+    assert abs(tied.score(f"the {pair[0]} walk") - tied.score(f"the {pair[1]} walk")) < 0.05
+    # Kept as distinct words and swaps, texts teach the same.
+    lean = toxicity.fitted([" ".join(sorted(toxicity.words_in(t))) for t in texts], toxic, swaps=[s for t in texts for s in toxicity.swapped_terms(t)])
+    assert lean.weights == tied.weights
+
+
+def test_scores_equal_the_weights_added_up(spark, corpus):
+    rows, labels = corpus
+    docs, truth = spark.createDataFrame(rows + awkward(), SCHEMA), spark.createDataFrame(labels, LABELS)
+    model = toxicity.model_for(docs, truth)
+    got = toxicity.toxicity(docs, truth)
+    texts = {}
+    for r in rows + awkward():
+        texts.setdefault(r[0], set()).add(r[1])
+    for r in got.collect():
+        want = []
+        for text in texts[r.doc_id]:
+            found, word = set(), ""
+            for c in (text or "").lower() + " ":
+                if c.isalpha():
+                    word += c
+                elif word:
+                    found |= {word} | {word[:n] + "*" for n in toxicity.STEMS if len(word) > n}
+                    word = ""
+            want.append(1 / (1 + np.exp(-(model.bias + sum(model.weights.get(f, 0) for f in found)))))
+        assert min(abs(r.score - w) for w in want) < 1e-9
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame(awkward(), SCHEMA)
     got = toxicity.toxicity(docs, spark.createDataFrame([], LABELS)).collect()

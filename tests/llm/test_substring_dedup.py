@@ -195,6 +195,47 @@ def test_passages_are_found_wherever_they_start(spark):
     assert all(sum(not r.removed for r in found if r.doc_id // 3 == i) == 1 for i in range(4))
 
 
+def line_shingles(line):
+    words = line.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_recall_of_families_against_all_pairs(spark):
+    """Families a, b, c in which a and c may be too far apart: every line with a partner at 0.8 has to be found."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(320):
+        base = [word(rng) for _ in range(120)]
+        places = rng.sample(range(5, 115), 6)
+        for k in range(3):
+            # b keeps all words, a and c change words of their own.
+            changed = places[: rng.randint(1, 2)] if k == 0 else places[3 : 3 + rng.randint(1, 2)] if k == 2 else []
+            line = " ".join(f"{word(rng)}x" if i in changed else w for i, w in enumerate(base))
+            texts.append(" ".join(word(rng) for _ in range(15)) + "\n" + line)
+    passages = [[word(rng) for _ in range(60)] for _ in range(40)]
+    first_passage = len(texts)
+    for i in range(160):
+        # No punctuation and no line breaks around the passage.
+        texts.append(" ".join([word(rng) for _ in range(rng.randint(20, 60))] + passages[i % 40] + [word(rng) for _ in range(rng.randint(20, 60))]))
+    first_clean = len(texts)
+    texts += [" ".join(word(rng) for _ in range(rng.randint(30, 150))) for _ in range(400)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[i], None, None, 0, "") for i in order], SCHEMA).repartition(4)
+    found = {r.doc_id for r in sd.repeats_by_document(docs).collect()}
+    sets = [max((line_shingles(x) for x in t.split("\n")), key=len) for t in texts]
+    linked, pairs = set(), 0
+    for a in range(0, first_passage, 3):
+        for x, y in ((a, a + 1), (a + 1, a + 2), (a, a + 2)):
+            common = len(sets[x] & sets[y])
+            if common >= 0.8 * (len(sets[x]) + len(sets[y]) - common):
+                linked |= {x, y}
+                pairs += 1
+    assert pairs > 600 and len(linked & found) >= 0.99 * len(linked)
+    assert set(range(first_passage, first_clean)) <= found
+    assert len(found & set(range(first_clean, len(texts)))) <= 0.02 * 400
+
+
 def test_cut_words():
     text = "a b  c\nd e"
     assert sd.cut_words(text, [(1, 2)]) == "a d e"

@@ -43,6 +43,24 @@ def test_equals_brute_force(spark, monkeypatch, block, seeds, rows_at_once):
     assert sorted(map(tuple, got.collect())) == brute(rows, 5)
 
 
+def test_answers_are_written_between_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 1)
+    monkeypatch.setattr(topk, "BLOCKS_A_PLAN", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i * 10, rng.normal(0, 0.3, 8).round(1).tolist(), 0, "x") for i in range(60)] + [(50, [0.1] * 8, 0, ""), (100, [0.2] * 8, 0, "")]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 2
+
+
+def test_large_components_are_exact_or_raise(spark):
+    large = [(50 * i, [float(2**19 + i)] * 4, 0, "") for i in range(9)]
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(large, SCHEMA), F.col("vec_id") % 50 == 0).collect())) == brute(large, 5)
+    too_large = [(i, [float(2**24)] * 4, 0, "") for i in range(0, 100, 50)]
+    with pytest.raises(Exception, match="fit in a long"):
+        topk.top_k(spark.createDataFrame(too_large, SCHEMA), F.col("vec_id") % 50 == 0).collect()
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     a, b = rng.integers(-90, 90, (50, 64)), rng.integers(-90, 90, (60, 64))
