@@ -265,7 +265,12 @@ def recognised(docs: DataFrame, **sampling) -> DataFrame:
 
 
 def identified_only(docs: DataFrame, least: float = 0.0, net: ByteNetwork | None = None, **sampling) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, unchanged."""
+    """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, unchanged.
+
+    Null and empty texts and those without a letter go; very long ones are read whole.
+    Repeated rows are answered alike, columns of any name stay as they are, and an empty table
+    gives no rows, as does one from which nothing could be learned.
+    """
     net = net or network_for(docs, **sampling)
     column = docs.columns.index("text")
 

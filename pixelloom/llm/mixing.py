@@ -95,6 +95,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Copies are found on narrow rows, summed for rows that agree in (doc_id, source, size),
     and joined back. Of n such rows the first copies % n get one copy more.
+
+    Null, empty and blank texts have size 0 and expect copies as others of their source do;
+    null ids and null sources are values of their own. Very long texts move whole, once.
+    Columns of any name stay as they are; an empty table gives no rows.
     """
     names = docs.columns
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")

@@ -595,7 +595,9 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without repeated stretches, columns unchanged but for text and n_chars.
 
-    A document of which no word is left goes; others stay.
+    A document of which no word is left by this goes; others stay, null, empty and blank texts
+    as well. Rows equal in id and text are one document and lose the same. Very long texts
+    are cut like others; columns of any name stay; an empty table gives no rows.
     """
     spans = (
         repeated_passages(docs, **options)

@@ -79,6 +79,25 @@ def test_large_buckets_are_cut_into_blocks(spark, rows, monkeypatch):
     assert sorted(((r.doc_id, r.n, r.component_id) for r in got.collect()), key=str) == brute(rows, 3, 90)
 
 
+def test_very_long_texts_link(spark):
+    rng = random.Random(7)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(150_000)]
+    near, far = list(base), list(base)
+    for i in rng.sample(range(len(base)), 1500):
+        near[i] = "changed"
+    for i in rng.sample(range(len(base)), 9000):
+        far[i] = "changed"
+    rows = [(i, " ".join(t), None, None, 0, "") for i, t in enumerate((base, near, far, base[:100_000]))]
+    got = nj.ngram_classes(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((r.doc_id, r.n, r.component_id) for r in got.collect()) == brute(rows, 3, 90)
+
+
+def test_counts_beyond_a_points_range_bound_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(nj, "MOST", 3)
+    got = nj.ngram_classes(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(((r.doc_id, r.n, r.component_id) for r in got.collect()), key=str) == brute(rows, 3, 90)
+
+
 def test_empty_table(spark):
     assert nj.ngram_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
