@@ -216,16 +216,14 @@ def sharp_kernel(row: dict, amount: float) -> np.ndarray:
     return np.clip(np.floor(value), 0, 255).astype(np.uint8)
 
 
-#: Images up to which one small row each goes to all workers; beyond, strips are shuffled to them.
-MANY_IMAGES = 100_000
+#: Images up to which what is known of each goes to the workers with the kernel; beyond, strips are joined with it.
+MANY_IMAGES = 1000
 
 
-def _with_image_rows(strips: DataFrame, rows: DataFrame) -> DataFrame:
-    """Join strips with one small row per image. The rows are kept and counted first: strips
-    are large, and a broadcast of rows that were not counted could be too.
-    """
-    rows = rows.persist()
-    return strips.join(F.broadcast(rows) if rows.count() <= MANY_IMAGES else rows, "image_id")
+def _few(found: DataFrame, n: int) -> list | None:
+    """The rows of ``found`` if there are at most ``n``; no more than one above that come to the driver."""
+    rows = found.coalesce(1).limit(n + 1).collect()
+    return rows if len(rows) <= n else None
 
 
 def blur_strips(strips: DataFrame) -> DataFrame:
@@ -245,43 +243,69 @@ def table_strips(strips: DataFrame, table: list[int]) -> DataFrame:
 def sobel_strips(strips: DataFrame) -> DataFrame:
     """Two passes: the image's largest gradient, then the scaled gradient of each strip.
 
-    The stencil is cheap to repeat, and so nothing four times the image's size is kept.
+    The stencil is cheap to repeat, and so nothing four times the image's size is kept. The
+    first pass runs when this is called.
     """
 
     def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops: dict[int, int] = {}
         for batch in batches:
-            found = [(r["image_id"], int(gradient_kernel(r).max())) for r in _rows(batch)]
-            if found:
-                ids, tops = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tops, pa.int64())], ["image_id", "s"])
+            for r in _rows(batch):
+                tops[r["image_id"]] = max(tops.get(r["image_id"], 0), int(gradient_kernel(r).max()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(tops), pa.int64()), pa.array(list(tops.values()), pa.int64())], ["image_id", "s"])
 
     most = strips.mapInArrow(peaks, "image_id long, s long").groupBy("image_id").agg(F.max("s").alias("_peak"))
+    rows = _few(most, MANY_IMAGES)
+    known = {r["image_id"]: r["_peak"] for r in rows or ()}
 
     def scale(row: dict) -> np.ndarray:
         # Squares stay below 2**24, so single precision holds them, and its roots are the rounded ones.
         value = np.sqrt(gradient_kernel(row).astype(np.float32))
-        largest = np.sqrt(np.float32(row["_peak"]))
+        largest = np.sqrt(np.float32(row["_peak"] if "_peak" in row else known[row["image_id"]]))
         value *= np.float32(np.float64(255.0) / np.float64(largest)) if largest > 0 else np.float32(1)
         value += np.float32(0.5)
         return np.minimum(value, 255, out=value).astype(np.uint8)
 
-    return map_strips(_with_image_rows(strips, most), scale)
+    return map_strips(strips if rows is not None else strips.join(most, "image_id"), scale)
+
+
+def equalising_bytes(counts: np.ndarray) -> bytes:
+    """The table of one image from its 256 counts, in the single-precision steps of the Column form."""
+    upto = np.cumsum(counts)
+    first, total = upto[upto > 0][0], upto[-1]
+    part = (upto - first).astype(np.float32) / np.float32(max(total - first, 1))
+    value = np.clip(np.floor(part * np.float32(255) + np.float32(0.5)), 0, 255)
+    return np.where(upto < first, 0, value).astype(np.uint8).tobytes()
 
 
 def histeq_strips(strips: DataFrame) -> DataFrame:
-    """Strip histograms are summed to image histograms; their tables go back to the strips."""
+    """Strip histograms are summed to image histograms; their tables go back to the strips.
+
+    The histograms are made when this is called. For up to ``MANY_IMAGES`` images the tables
+    go out with the kernel.
+    """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in _rows(batch):
-                n = np.bincount(_own(row).ravel(), minlength=256)
-                columns = [pa.array(np.full(256, row["image_id"])), pa.array(np.arange(256, dtype=np.int32)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["image_id", "v", "n"])
+                n = np.bincount(np.frombuffer(_own(row), np.uint8), minlength=256)
+                found[row["image_id"]] = found.get(row["image_id"], 0) + n
+        for image_id, n in found.items():
+            columns = [pa.array(np.full(256, image_id)), pa.array(np.arange(256, dtype=np.int32)), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["image_id", "v", "n"])
 
     summed = strips.mapInArrow(counts, "image_id long, v int, n long").groupBy("image_id", "v").agg(F.sum("n").alias("n"))
+    rows = _few(summed, 256 * MANY_IMAGES)
+    if rows is not None:
+        held: dict[int, np.ndarray] = {}
+        for image_id, v, n in rows:
+            held.setdefault(image_id, np.zeros(256, np.int64))[v] = n
+        known = {image_id: equalising_bytes(n) for image_id, n in held.items()}
+        return map_strips(strips, lambda row: np.frombuffer(_own(row).tobytes().translate(known[row["image_id"]]), np.uint8))
     entries = F.transform(F.array_sort(F.collect_list(F.struct("v", "out"))), lambda e: F.lpad(F.hex(e["out"]), 2, "0"))
     tables = histograms.equalising_table(summed).groupBy("image_id").agg(F.unhex(F.array_join(entries, "")).alias("_table"))
-    return map_strips(_with_image_rows(strips, tables), lambda row: np.frombuffer(_own(row).tobytes().translate(row["_table"]), np.uint8))
+    return map_strips(strips.join(tables, "image_id"), lambda row: np.frombuffer(_own(row).tobytes().translate(row["_table"]), np.uint8))
 
 
 def pixels_of(strips: DataFrame) -> DataFrame:

@@ -196,7 +196,7 @@ def test_every_file_has_one_row(spark, tmp_path):
 def test_candidates_of_a_folder(spark, tmp_path):
     names = ["omp_blur_t4.png", "seq_blur.png", "blur.png", "a_blur_sobel.png", "omp_bc_t2.bmp", "omp_blurred_t1.png"]
     for n in names:
-        (tmp_path / n).write_bytes(b"")
+        (tmp_path / n).write_bytes(b"x")
     found = [(r.filter, r.path.rsplit("/", 1)[1]) for r in images.candidate_files(spark, str(tmp_path), ["blur", "sobel", "bc"]).collect()]
     assert found == [("blur", "a_blur_sobel.png"), ("blur", "omp_blur_t4.png"), ("blur", "seq_blur.png"), ("sobel", "a_blur_sobel.png")]
 
