@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, lean, only, pinned
-from .graph import collisions, components
+from .graph import collisions, components, sorted_groups
 from .verify import linked, roles_of
 from .words import mixed, set_hash, slices, token_sets, words_of
 
@@ -341,39 +341,30 @@ def bucket_pairs(members: DataFrame, points: DataFrame, percent: int, everything
     )
     group = ["key", "i", "j"]
 
-    def pairs_of(table: pa.Table) -> list[tuple[int, int]]:
+    def pairs_of(table: pa.Table) -> np.ndarray:
         nodes, parts, own, sizes = (table.column(c).to_numpy() for c in ("node", "component", "_own", "n"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         points_here = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, 2 * GROUPS)
         found = bounded_pairs(points_here, sizes, own == i, own == j, percent)
         found = found[parts[found[:, 1]] != parts[found[:, 2]]]
-        pairs = found[:, 1:].tolist() if everything else forest(found, parts)
-        ends = ((int(nodes[a]), int(nodes[b])) for a, b in pairs)
-        return sorted({(min(e), max(e)) for e in ends})
+        pairs = found[:, 1:] if everything else np.array(forest(found, parts), np.int64).reshape(-1, 2)
+        return np.unique(np.sort(nodes[pairs], axis=1), axis=0) if len(pairs) else pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def groups(table, last):
-            ids = [table.column(c).to_numpy() for c in group]
-            new = np.any([x[1:] != x[:-1] for x in ids], axis=0)
-            cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(table)]]).tolist()
-            spans = list(zip(cuts[:-1], cuts[1:]))
-            return [table.slice(a, b - a) for a, b in (spans if last else spans[:-1])], table.slice(cuts[-2])
-
-        def out(tables):
-            rows = [(t.column("key")[0].as_py(), *pair) for t in tables for pair in pairs_of(t)]
-            columns = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-                ready, held = groups(table, False)
-                yield out(ready)
-        if held is not None:
-            yield out(groups(held, True)[0])
+        held: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held) if held else np.empty((0, 3), np.int64)
+            for a in range(0, len(rows), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[a : a + 100_000].T], ["key", "a", "b"])
+            held.clear()
+
+        for table in sorted_groups(batches, group):
+            pairs = pairs_of(table)
+            held.append(np.column_stack([np.full(len(pairs), table.column("key")[0].as_py(), np.int64), pairs]))
+            if len(held) > 1000 or len(pairs) > 20_000:
+                yield from out()
+        yield from out()
 
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "key long, a long, b long")
 

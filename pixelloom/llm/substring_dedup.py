@@ -313,10 +313,14 @@ def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> D
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
         for table in sorted_groups(batches, group):
-            found = links_of(table)
-            if found:
+            found += links_of(table)
+            if len(found) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(lean(run), "a long, b long")
 
