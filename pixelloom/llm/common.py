@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,7 +41,8 @@ def pinned(df: DataFrame, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, shuffle_width(spark) // 4))
     path = f"{_shared_folder(spark)}/pixelloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Small row groups: writers buffer one each.
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,7 +86,7 @@ def fold_is_held_out(doc_id: str = "doc_id") -> Column:
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000):
     """``run`` for mapInArrow with a small memory: batches of texts come in slices of ``rows``
-    rows, and what Arrow has kept for reuse goes back at the end, as workers outlive their tasks.
+    rows, and what Arrow and the C library have kept for reuse goes back at the end, as workers outlive their tasks.
     """
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,5 +97,8 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ro
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(sliced(batches))
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
     return wrapped

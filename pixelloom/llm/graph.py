@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned, shuffle_width
+from .common import lean, pinned, shuffle_width
 
 
 #: Keyed rows that a worker combines at once.
@@ -90,9 +90,9 @@ def collisions(source: DataFrame, keys, items: list[str]) -> DataFrame:
 
     schema = ", ".join(f"{n} long" for n in names)
     meets = F.col(leads[0]).isNull()
-    dealt = source.mapInArrow(combine, schema).repartition(shuffle_width(source.sparkSession), F.when(meets, F.col("key")).otherwise(F.xxhash64(*items)))
+    dealt = source.mapInArrow(lean(combine, 20_000), schema).repartition(shuffle_width(source.sparkSession), F.when(meets, F.col("key")).otherwise(F.xxhash64(*items)))
     out = ", ".join(f"{n} long" for n in ("key", *leads, *items))
-    return pinned(dealt.sortWithinPartitions("key", meets, *items).mapInArrow(meet, out), narrow=True)
+    return pinned(dealt.sortWithinPartitions("key", meets, *items).mapInArrow(lean(meet, 20_000), out), narrow=True)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -168,7 +168,7 @@ def _contracted(edges: DataFrame, n: int) -> tuple[DataFrame, int]:
 
     # Dealt in turn, so that no part holds more than its share.
     dealt = edges.select("lo", "hi").repartition(parts) if parts > 1 else edges.select("lo", "hi").coalesce(1)
-    return pinned(dealt.mapInArrow(run, "lo long, hi long")), parts
+    return pinned(dealt.mapInArrow(lean(run, 20_000), "lo long, hi long")), parts
 
 
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:

@@ -159,8 +159,9 @@ def point_of(tokens: np.ndarray) -> np.ndarray:
 
 def _most(points: np.ndarray) -> np.ndarray:
     """Upper bounds of the counts of points; a count of ``MOST`` stands for any number."""
-    counts = points[..., :GROUPS].astype(np.int64)
-    return np.where(counts == MOST, 1 << 40, counts)
+    counts = points[..., :GROUPS].astype(np.int32)
+    counts[counts == MOST] = 1 << 30
+    return counts
 
 
 def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -241,7 +242,7 @@ class CountTree:
         at, counts = np.arange(len(self.levels[-1][0])), _most(point)
         for depth in range(len(self.levels) - 1, -1, -1):
             top, least, most = (x[at] for x in self.levels[depth])
-            bound = np.minimum(top, counts).sum(1)
+            bound = np.minimum(top, counts).sum(1, dtype=np.int64)
             need = percent * (size + np.maximum(least, -(-percent * size // 100)))
             passes = (100 + percent) * bound >= need
             passes &= (least * percent <= 100 * size) & (most * 100 >= percent * size)
@@ -255,15 +256,30 @@ class CountTree:
         return places[keep], apart[keep]
 
 
-def bounded_pairs(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Rows (least difference, i, j) of the pairs of ``left`` and ``right`` whose bounds allow a link."""
-    theirs, found = np.flatnonzero(right), [np.empty((0, 3), np.int32)]
-    tree = CountTree(points[theirs], sizes[theirs]) if len(theirs) else None
-    for i in np.flatnonzero(left) if tree else ():
+def bounded_pairs(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, parts: np.ndarray) -> np.ndarray:
+    """Rows (least difference, i, j) of the pairs of ``left`` and ``right`` in different ``parts`` whose bounds allow a link."""
+    mine, theirs = np.flatnonzero(left), np.flatnonzero(right)
+    if not len(mine) or not len(theirs):
+        return np.empty((0, 3), np.int32)
+    if len(theirs) <= FANOUT:
+        # A tree of one leaf: all of its points at once.
+        some = parts[mine][:, None] != parts[theirs]
+        x, y = sizes[mine][:, None], sizes[theirs]
+        some &= (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (~left[theirs] | (mine[:, None] < theirs))
+        i, j = np.nonzero(some)
+        i, j, counts = mine[i], theirs[j], _most(points)
+        bound = np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64)
+        keep = (100 + percent) * bound >= percent * (sizes[i] + sizes[j])
+        i, j = i[keep], j[keep]
+        apart = least_difference(points[i], points[j])
+        keep = (100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[j])
+        return np.stack([apart, i, j], 1)[keep].astype(np.int32)
+    tree, found = CountTree(points[theirs], sizes[theirs]), []
+    for i in mine:
         places, apart = tree.candidates(points[i], int(sizes[i]), percent)
-        found.append(np.stack([apart, np.full(len(places), i), theirs[places]], 1).astype(np.int32))
-    pairs = np.concatenate(found)
-    return pairs[pairs[:, 1] != pairs[:, 2]]
+        other = parts[theirs[places]] != parts[i]
+        found.append(np.stack([apart[other], np.full(other.sum(), i), theirs[places[other]]], 1).astype(np.int32))
+    return np.concatenate(found)
 
 
 def forest(pairs: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
@@ -302,7 +318,7 @@ def may_link(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     x = points.select(F.col("node").alias("a"), F.col("counts").alias("_x"), F.col("n").alias("_m"))
     y = points.select(F.col("node").alias("b"), F.col("counts").alias("_y"), F.col("n").alias("_n"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y", "_m", "_n").mapInArrow(run, "a long, b long, apart long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y", "_m", "_n").mapInArrow(lean(run, 5000), "a long, b long, apart long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words_each: int, percent: int) -> DataFrame:
@@ -345,8 +361,7 @@ def bucket_pairs(members: DataFrame, points: DataFrame, percent: int, everything
         nodes, parts, own, sizes = (table.column(c).to_numpy() for c in ("node", "component", "_own", "n"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         points_here = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, 2 * GROUPS)
-        found = bounded_pairs(points_here, sizes, own == i, own == j, percent)
-        found = found[parts[found[:, 1]] != parts[found[:, 2]]]
+        found = bounded_pairs(points_here, sizes, own == i, own == j, percent, parts)
         pairs = found[:, 1:] if everything else np.array(forest(found, parts), np.int64).reshape(-1, 2)
         return np.unique(np.sort(nodes[pairs], axis=1), axis=0) if len(pairs) else pairs
 
@@ -366,7 +381,7 @@ def bucket_pairs(members: DataFrame, points: DataFrame, percent: int, everything
                 yield from out()
         yield from out()
 
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "key long, a long, b long")
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(lean(run), "key long, a long, b long")
 
 
 def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> DataFrame:

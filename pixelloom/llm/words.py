@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of texts that are looked at together, about.
-STEP = 1 << 20
+STEP = 1 << 19
 
 _SPACES = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
 _IS_SPACE = np.isin(np.arange(256), _SPACES)

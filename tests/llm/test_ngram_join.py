@@ -132,6 +132,31 @@ def test_tree_leaves_no_link_out():
                 assert found[j] <= len(a) + len(b) - 2 * common
 
 
+@pytest.mark.parametrize("n", [5, 24, 25, 120])
+def test_pairs_of_a_block_are_those_that_the_bounds_leave(n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    sets = []
+    for _ in range(n):
+        s = base.copy()
+        s[: rng.integers(0, 8)] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+        sets.append(np.unique(s[: rng.integers(20, 41)]))
+    points, sizes, parts = np.stack([nj.point_of(s) for s in sets]), np.array([len(s) for s in sets]), rng.integers(0, 4, n)
+    own = rng.integers(0, 2, n)
+    for left, right in ((own == 0, own == 0), (own == 0, own == 1)):
+        found = nj.bounded_pairs(points, sizes, left, right, 80, parts)
+        pairs = {(min(i, j), max(i, j)) for _, i, j in found.tolist()}
+        for i in range(n):
+            for j in range(n):
+                asked = (left[i] and right[j] or left[j] and right[i]) and i < j and parts[i] != parts[j]
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if asked and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                    assert (i, j) in pairs
+        for apart, i, j in found.tolist():
+            assert parts[i] != parts[j] and i != j
+            assert apart <= len(sets[i]) + len(sets[j]) - 2 * len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_forest_connects_what_its_pairs_do():
     pairs = np.array([[5, 0, 1], [1, 1, 2], [2, 0, 2], [3, 3, 4], [0, 2, 1]], np.int32)
     assert sorted(nj.forest(pairs, np.arange(5))) == [(0, 2), (2, 1), (3, 4)]
