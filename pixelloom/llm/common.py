@@ -16,6 +16,10 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch while a table is written.
+BATCH = 2500
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a session on one machine that has none gets a temporary folder."""
     context = spark.sparkContext
@@ -41,8 +45,14 @@ def pinned(df: DataFrame, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, shuffle_width(spark) // 4))
     path = f"{_shared_folder(spark)}/pixelloom-{uuid.uuid4().hex}"
-    # Small row groups: writers buffer one each.
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    # Small row groups and Arrow batches: tasks buffer one each. Batches of texts would take tens of MB.
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, min(int(before), BATCH) if int(before) > 0 else BATCH)
+    try:
+        df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

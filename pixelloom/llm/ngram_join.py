@@ -28,7 +28,7 @@ from .verify import linked, roles_of
 from .words import mixed, set_hash, slices, token_sets, words_of
 
 #: Coordinates of a point, members of a tree node, and members of a bucket's block.
-GROUPS, FANOUT, BLOCK = 64, 24, 4096
+GROUPS, FANOUT, BLOCK = 64, 64, 4096
 #: The largest count that a point holds.
 MOST = 0xFFFF
 #: Bits of a token's hash that choose its counter in the token order.
