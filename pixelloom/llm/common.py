@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows of an Arrow batch while a table is written.
-BATCH = 2500
+BATCH = 1000
 
 
 def _shared_folder(spark: SparkSession) -> str:
