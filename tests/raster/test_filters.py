@@ -97,3 +97,38 @@ def test_quality(spark, px):
 def test_no_window_holds_a_whole_image(px):
     plan = filters.sobel(filters.blur(px))._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "SinglePartition" not in plan
+
+
+def test_scaled_images_equal_numpy_and_the_ladder_its_sums(spark):
+    from pixelloom.operators import legacy
+
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 256, s) for s in ((5, 7), (20, 3))]
+    # A gap, a null value, places outside and a null image.
+    rows = [(i, int(y), int(x), int(v)) for i, p in enumerate(images) for (y, x), v in np.ndenumerate(p) if (i, y, x) != (0, 2, 3)]
+    rows = [(i, y, x, None if (i, y, x) == (1, 4, 1) else v) for i, y, x, v in rows] + [(0, -1, 0, 9), (1, 0, -2, 9), (None, 0, 0, 9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    value = {r[:3]: r[3] for r in rows}
+    for h, w in ((2, 3), (9, 16), (5, 7), (40, 2)):
+        want = []
+        for i, p in enumerate(images):
+            for y, x in np.ndindex(h, w):
+                source = (i, y * p.shape[0] // h, x * p.shape[1] // w)
+                if source in value:
+                    want.append((i, y, x, value[source]))
+        assert sorted(map(tuple, legacy.resize_nearest(df, h, w).collect()), key=str) == sorted(want, key=str)
+    whole = legacy.resize_ladder(df).groupBy("image_id", "height", "width")
+    sums = whole.agg({"v": "sum", "*": "count"}).withColumnsRenamed({"sum(v)": "sum_v", "count(1)": "n"})
+    got = legacy.ladder_sums(df)
+    assert sorted(got.select("image_id", "height", "width", "sum_v", "n").collect()) == sorted(sums.select("image_id", "height", "width", "sum_v", "n").collect())
+    places = legacy.resize_ladder(df).selectExpr("image_id", "height", "v * (y + 3 * x) as p").groupBy("image_id", "height").sum("p")
+    assert sorted(got.select("image_id", "height", "sum_places").collect()) == sorted(places.collect())
+
+
+def test_no_table_of_scaled_places_is_joined(spark, px):
+    """A planner takes a table of generated places for as small as the images' sizes, and sends it to all."""
+    from pixelloom.operators import legacy
+
+    for df in (legacy.resize_nearest(px, 9, 16), legacy.resize_ladder(px), legacy.ladder_sums(px)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan and "Generate" not in plan[plan.index("Join"):]
