@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import langid, mixing, ngram_join, packing, substring_dedup
-from pixelloom.llm.common import pinned
+from pixelloom.llm.common import heap_given_back, pinned
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,26 +13,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Written here, as is the dedup's result, so that whole rows pass the workers in small batches.
     """
+    heap_given_back(spark)
     return pinned(langid.recognised(docs))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: word 5-grams, Jaccard of 0.8 or more."""
+    heap_given_back(spark)
     return ngram_join.one_of_each(docs, words_each=5, percent=80)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that other documents hold as well stay in one of them."""
+    heap_given_back(spark)
     return pinned(substring_dedup.without_repeats(docs, least_words=substring_dedup.PASSAGE))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are dropped or repeated until each source has its share of words."""
+    heap_given_back(spark)
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the mix in sequences of at most 4096."""
+    heap_given_back(spark)
     return packing.best_fit_sequences(docs)
 
 

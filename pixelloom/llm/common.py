@@ -70,10 +70,21 @@ def bounded(df: DataFrame, values: Column | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL and (held or 0) <= SMALL_VALUES else df
 
 
-def only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``texts`` without rows that ``wanted`` (by row) doesn't name, if these are few enough to tell without moving texts."""
-    rows = wanted.select("row")
-    return texts.join(F.broadcast(rows), "row", "left_semi") if rows.count() <= SMALL_VALUES else texts
+def only(texts: DataFrame, wanted: DataFrame, by: str = "row") -> DataFrame:
+    """``texts`` without rows that ``wanted`` (by ``by``) doesn't name, if these are few enough to tell without moving texts."""
+    rows = wanted.select(by)
+    return texts.join(F.broadcast(rows), by, "left_semi") if rows.count() <= SMALL_VALUES else texts
+
+
+def heap_given_back(spark: SparkSession) -> None:
+    """Ask every executor for a full collection, by a task on each core.
+
+    A stage of the pipeline leaves a JVM's heap as large as it ever became, and the next stage's
+    Python workers and direct buffers come on top of it. A full collection shrinks the heap to
+    what is in use. Where an explicit collection is switched off, nothing happens.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, pinned, shuffle_width
@@ -95,6 +95,35 @@ def collisions(source: DataFrame, keys, items: list[str]) -> DataFrame:
     return pinned(dealt.sortWithinPartitions("key", meets, *items).mapInArrow(lean(meet, 20_000), out), narrow=True)
 
 
+def differing(shape: DataFrame, members: str = "_members") -> DataFrame:
+    """One row of ``shape`` (key, ``members``, other columns) for each set of members; buckets of the same members have the same pairs.
+
+    ``members`` is the column of ``set_mark``. Other columns have to follow from the members.
+    """
+    others = [c for c in shape.columns if c not in ("key", members)]
+    return shape.groupBy(members).agg(F.min("key").alias("key"), *(F.min(c).alias(c) for c in others)).drop(members)
+
+
+def set_mark(node: str) -> Column:
+    """An aggregate that tells sets of different nodes apart: their number and 128 bits of their hashes."""
+    return F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64(node)).alias("x"), F.bit_xor(F.xxhash64(node, F.lit(1))).alias("y"))
+
+
+def largest_buckets(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """key: buckets of ``sizes`` (key, n) that hold all pairs of ``members`` (key, node).
+
+    Of the largest buckets of a bucket's members the smallest is the one that may hold all of them.
+    A bucket that lies inside it is left out. That one stays: of its own members' largest buckets
+    none is smaller.
+    """
+    known = pinned(members.join(sizes.select("key", "n"), "key").select("key", "node", "n"), narrow=True)
+    widest = known.groupBy("node").agg(F.max(F.struct("n", "key")).alias("_widest"))
+    other = known.join(widest, "node").groupBy("key").agg(F.min("_widest")["key"].alias("_widest")).where("_widest <> key")
+    held = known.select(F.col("key").alias("_widest"), "node")
+    inside = known.join(other, "key").join(held, ["_widest", "node"]).groupBy("key", "n").agg(F.count("*").alias("_held")).where("_held = n")
+    return sizes.select("key").join(inside, "key", "left_anti")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
     """Tables of whole groups of equal values in ``column``, by which the rows are sorted; several groups at once."""
     held: list[pa.RecordBatch] = []

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, lean, only, pinned
-from .graph import collisions, components, sorted_groups
+from .graph import collisions, components, differing, largest_buckets, set_mark, sorted_groups
 from .verify import linked, roles_of
 from .words import mixed, set_hash, slices, token_sets, words_of
 
@@ -339,14 +339,22 @@ def bucket_pairs(members: DataFrame, points: DataFrame, percent: int, everything
     ``members`` has key, node, component. Buckets are cut into blocks of about ``BLOCK``
     members; each pair of blocks goes through a tree on its own, so no task holds a whole
     bucket. Unless ``everything`` is asked for, a block gives a spanning forest of its pairs:
-    if all of these hold, what the others would connect is connected.
+    if all of these hold, what the others would connect is connected. Near copies share many
+    of their first tokens; of their buckets one that holds the others is gone through.
     """
     shape = (
         members.groupBy("key")
-        .agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"), (F.min("component") != F.max("component")).alias("_apart"))
+        .agg(
+            F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"),
+            (F.min("component") != F.max("component")).alias("_apart"),
+            F.count("*").alias("n"),
+            set_mark("node").alias("_members"),
+        )
         .where("_apart")
-        .select("key", "_blocks")
+        .select("key", "_blocks", "n", "_members")
     )
+    shape = pinned(differing(shape), narrow=True)
+    shape = shape.join(largest_buckets(members, shape), "key").select("key", "_blocks")
     dealt = (
         members.join(shape, "key")
         .withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
@@ -423,7 +431,8 @@ def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> Da
     # pairs of the buckets in which one pair of the forest was refuted.
     tried = first
     for everything in (False, True):
-        found = pinned(bucket_pairs(with_component(sides, links), points, percent, everything), narrow=True)
+        members = pinned(with_component(sides, links), narrow=True)
+        found = pinned(bucket_pairs(members, points, percent, everything), narrow=True)
         pairs = pinned(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), narrow=True)
         links = pinned(links.unionByName(verified(pairs, docs, classes, words_each, percent)), narrow=True)
         tried = tried.unionByName(pairs)

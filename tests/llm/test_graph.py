@@ -55,3 +55,39 @@ def test_collisions_connect_all_items_of_a_key(spark, chunk, monkeypatch):
         if links:
             assert min(a for a, _ in links) == min(items)
     assert isinstance(found, list) and pa is not None
+
+
+def test_largest_buckets_hold_all_pairs_of_the_others(spark):
+    import random
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from pixelloom.llm.graph import differing, largest_buckets, set_mark
+
+    rng = random.Random(3)
+    families = [range(0, 9), range(9, 14), range(14, 40)]
+    buckets = [rng.sample(family, rng.randint(2, len(family))) for family in families for _ in range(40)]
+    buckets += [list(family) for family in families] * 2 + [rng.sample(range(40), 3) for _ in range(10)]
+    members = spark.createDataFrame([(k, n) for k, own in enumerate(buckets) for n in own], "key long, node long")
+    shape = differing(members.groupBy("key").agg(F.count("*").alias("n"), set_mark("node").alias("_members")))
+    kept = [r.key for r in largest_buckets(members, shape).collect()]
+    pairs = lambda keys: {p for k in keys for p in combinations(sorted(buckets[k]), 2)}
+    assert pairs(kept) == pairs(range(len(buckets))) and len(kept) < 30
+
+
+def test_each_pair_of_near_copies_is_given_for_few_of_their_buckets(spark):
+    """Families of which all members share hundreds of keys gave every pair once for each of these."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from pixelloom.llm.ngram_join import bucket_pairs, point_of
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(1, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base[:-2], rng.integers(1, 1 << 63, 2, dtype=np.uint64)])) for _ in range(6)]
+    points = spark.createDataFrame([(i, point_of(s).tobytes(), len(s)) for i, s in enumerate(sets)], "node long, counts binary, n long")
+    held = [range(6)] + [rng.choice(6, int(rng.integers(2, 6)), replace=False).tolist() for _ in range(199)]
+    members = spark.createDataFrame([(k, int(n), int(n)) for k, own in enumerate(held) for n in own], "key long, node long, component long")
+    found = bucket_pairs(members, points, 80, True)
+    assert found.count() == found.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count() == 15
