@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .common import bounded, lean, only, pinned
-from .graph import collisions, components, sorted_groups, whole_groups
+from .graph import collisions, components, differing, set_mark, sorted_groups, whole_groups
 from .verify import linked, roles_of
 from .words import Words, mixed, set_hash, slices, token_sets, words_of
 
@@ -273,10 +273,13 @@ def block_links(members: DataFrame, contents: DataFrame, similarity: float) -> D
         .agg(
             F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("_n") / BLOCK_WORDS)).cast("int").alias("_blocks"),
             (F.min("component") != F.max("component")).alias("_apart"),
+            set_mark("node").alias("_members"),
         )
         .where("_apart")
-        .select("key", F.greatest("_blocks", F.lit(1)).alias("_blocks"))
+        .select("key", F.greatest("_blocks", F.lit(1)).alias("_blocks"), "_members")
     )
+    # Bands of near copies are often buckets of the same members.
+    shape = differing(shape)
     group = ["key", "i", "j"]
     dealt = (
         members.join(shape, "key")
@@ -411,9 +414,10 @@ def edges_of_runs(windows: DataFrame) -> DataFrame:
     the run begins less than a span before this window. So all documents that hold such a
     window are asked for the words before it; at the end it is the same.
     """
-    edges = windows.where("sides <> 0").groupBy("key").agg(F.shiftright(F.bit_or("sides"), 2).alias("_asked"))
+    edges = pinned(windows.where("sides <> 0").groupBy("key").agg(F.shiftright(F.bit_or("sides"), 2).alias("_asked")), narrow=True)
+    windows = only(windows, edges, "key")
     start = F.shiftleft(F.shiftright("place", _PLACE), _PLACE)
-    return windows.join(bounded(pinned(edges, narrow=True)), "key").select("row", start.bitwiseOR(F.col("sides").bitwiseOR(F.col("_asked"))).alias("place"))
+    return windows.join(bounded(edges), "key").select("row", start.bitwiseOR(F.col("sides").bitwiseOR(F.col("_asked"))).alias("place"))
 
 
 class Neighbours:
