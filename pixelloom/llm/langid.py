@@ -215,11 +215,19 @@ def network_for(docs: DataFrame, per_language: int = 800, chars: int = 240, reje
     return trained([t.encode("utf-8", "replace") for t in texts], named)
 
 
-def least_score(docs: DataFrame, net: ByteNetwork, per_language: int = 200, chars: int = 240) -> float:
-    """Half the lowest score of a right answer among pieces of held-out documents: clean documents stay."""
-    rows = _sample(_known(docs, True), per_language, chars)
-    named, scores = Identifier(net).texts([r["piece"] for r in rows])
-    return min((s for r, n, s in zip(rows, named, scores) if n == r["lang"]), default=0.0) / 2
+def least_score(docs: DataFrame, net: ByteNetwork) -> float:
+    """Half the lowest score of a right answer among all held-out documents, read whole: clean documents stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = float("inf")
+        for batch, named, scores in _identified(batches, net, 1):
+            right = zip(batch.column(0).to_pylist(), named, scores)
+            least = min([least, *(s for lang, n, s in right if n == lang != "und")])
+        if least < float("inf"):
+            yield pa.RecordBatch.from_arrays([pa.array([least], pa.float64())], ["least"])
+
+    found = _known(docs, True).select("lang", "text").mapInArrow(lean(run), "least double")
+    return (found.agg(F.min("least")).first()[0] or 0.0) / 2
 
 
 def _identified(batches: Iterator[pa.RecordBatch], net: ByteNetwork | None, column: int):
@@ -257,11 +265,11 @@ def languages(docs: DataFrame, net: ByteNetwork | None = None, **sampling) -> Da
 def recognised(docs: DataFrame, **sampling) -> DataFrame:
     """The rows of ``docs`` in a language that was learned, unchanged.
 
-    Noise is a class of its own, and a score has to reach what held-out documents show. Where
-    nothing could be learned no row stays.
+    Noise is a class of its own, and a score has to reach half of what the held-out documents,
+    all of them, show at least. Where nothing could be learned no row stays.
     """
     net = network_for(docs, reject=True, **sampling)
-    return identified_only(docs, least_score(docs, net, **sampling) if net else 0.0, net)
+    return identified_only(docs, least_score(docs, net) if net else 0.0, net)
 
 
 def identified_only(docs: DataFrame, least: float = 0.0, net: ByteNetwork | None = None, **sampling) -> DataFrame:

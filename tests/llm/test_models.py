@@ -251,3 +251,18 @@ def test_quality_empty(spark):
     none = spark.createDataFrame([], LABELS)
     assert quality.quality_rules(spark.createDataFrame([], SCHEMA), none).count() == 0
     assert quality.quality_rules(spark.createDataFrame(awkward(), SCHEMA), none).count() == len(awkward())
+
+
+def test_least_score_reads_every_held_out_document_whole(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, lang, 150), lang) for i, lang in enumerate(["en", "fr"] * 150)]
+    # A held-out text whose beginning and end are of one kind, and the middle of another.
+    odd = next(i for i in range(1000, 2000) if held_out(i))
+    rows += [(odd, f"{prose(rng, 'en', 60)} {prose(rng, 'fr', 45)} {prose(rng, 'en', 60)}", "en"), (odd + 1, None, "en"), (None, "the", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    net = langid.network_for(docs)
+    held = [(t, lang) for i, t, lang in rows if t and lang and held_out(i)]
+    named, scores = langid.Identifier(net).texts([t for t, _ in held])
+    want = min(s for s, n, (_, lang) in zip(scores, named, held) if n == lang) / 2
+    assert langid.least_score(docs, net) == pytest.approx(want, rel=1e-5)
+    assert langid.least_score(docs.where("doc_id is null"), net) == 0.0
