@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import langid, mixing, ngram_join, packing, substring_dedup
-from pixelloom.llm.common import heap_given_back, pinned
+from pixelloom.llm.common import heap_given_back, passing, pinned
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name in ("ngram_jaccard_join", "mixing"):
-            # The next stage reads these more than once.
-            docs = pinned(docs)
-    return docs
+    # Stages read their input more than once, so it is written; each table goes when the next is there.
+    with passing(spark):
+        with passing(spark):
+            docs = join_near_copies(spark, identify_language(spark, docs, sf_dir), sf_dir)
+            docs = pinned(docs, lasting=True)
+        docs = mix_sources(spark, cut_repeated_passages(spark, docs, sf_dir), sf_dir)
+        docs = pinned(docs, lasting=True)
+    return pack_sequences(spark, docs, sf_dir)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,17 +36,42 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def pinned(df: DataFrame, narrow: bool = False) -> DataFrame:
+#: The open ``passing`` blocks of each thread, the innermost last: folders of the tables written there.
+_open: dict[int, list[list[str]]] = {}
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``pinned`` writes inside are deleted at the end, but for ``lasting`` ones, which belong to the block around.
+
+    What leaves the block may read lasting tables only.
+    """
+    blocks = _open.setdefault(threading.get_ident(), [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in blocks.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def pinned(df: DataFrame, narrow: bool = False, lasting: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: it is written as a Parquet table in the shared folder and read back.
 
     Columns are compressed there, and later plans read those that they need. Tables of a few
     narrow columns (``narrow``) are written by two tasks a core or by a quarter of the shuffle
     partitions, whichever is more: few tiny files where there are many partitions of little.
+    In a ``passing`` block the table goes at its end, or (``lasting``) at the end of the one around it.
     """
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, shuffle_width(spark) // 4))
     path = f"{_shared_folder(spark)}/pixelloom-{uuid.uuid4().hex}"
+    blocks = _open.get(threading.get_ident(), [])
+    if len(blocks) > lasting:
+        blocks[-1 - lasting].append(path)
     # Small row groups and Arrow batches: tasks buffer one each. Batches of texts would take tens of MB.
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)

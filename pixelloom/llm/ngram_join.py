@@ -3,8 +3,9 @@
 Tokens (word n-gram hashes) are hashed into groups. Two sets of Jaccard similarity t differ
 in at most (1 - t) / (1 + t) of their summed sizes, r tokens, so of r + 1 groups one has the
 same tokens in both: such a group's content is a bucket. The counts per group are points; an
-R-tree bounds the overlap of a point and a node by the summed minima of coordinates, and the
-pairs of a bucket that the bounds leave are verified on the sets.
+R-tree bounds the overlap of a point and a node by the summed minima of coordinates. Points of
+about a group a token bound what these leave more closely, as in 64 groups the differences of
+long texts hide one another, and what is left is verified on the sets.
 
 At lower similarities groups would hold too few tokens to tell texts apart. There buckets are
 the tokens of a prefix filter instead: in an order that puts frequent tokens last, two sets
@@ -14,7 +15,7 @@ only keep common passages out of the buckets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, floor
 
 import numpy as np
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, lean, only, pinned
+from .common import bounded, lean, only, passing, pinned
 from .graph import collisions, components, differing, largest_buckets, set_mark, sorted_groups
 from .verify import linked, roles_of
 from .words import mixed, set_hash, slices, token_sets, words_of
 
 #: Coordinates of a point, members of a tree node, and members of a bucket's block.
 GROUPS, FANOUT, BLOCK = 64, 24, 4096
+#: Groups of a fine point, as powers of two.
+FINE_BITS = 6, 11
 #: The largest count that a point holds.
 MOST = 0xFFFF
 #: Bits of a token's hash that choose its counter in the token order.
@@ -175,6 +178,39 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return counts.sum(-1) + 2 * other.sum(-1)
 
 
+def fine_point(tokens: np.ndarray) -> np.ndarray:
+    """As ``point_of``, with about a group a token: a byte of each group's count, then a byte of its content."""
+    least, most = FINE_BITS
+    n = 1 << min(most, max(least, (len(tokens) - 1).bit_length()))
+    group = (tokens % np.uint64(n)).astype(np.int64)
+    counts = np.bincount(group, minlength=n)
+    marks = np.bincount(group, weights=(mixed(tokens, 0x21) & np.uint64(0xFF)).astype(np.float64), minlength=n)
+    return np.concatenate([np.minimum(counts, 0xFF), marks.astype(np.uint64) & np.uint64(0xFF)]).astype(np.uint8)
+
+
+def fine_difference(points: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Tokens that the sets of the pairs (i, j) differ in at least, from their fine points.
+
+    The finer of two points is folded: its groups' sums are the groups of the other.
+    """
+    groups = np.array([len(p) // 2 for p in points])
+    common, apart = np.minimum(groups[i], groups[j]), np.zeros(len(i), np.int64)
+    for n in np.unique(common).tolist():
+        at = np.flatnonzero(common == n)
+        nodes, places = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        counts, marks = np.empty((len(nodes), n), np.uint8), np.empty((len(nodes), n), np.uint8)
+        for k, node in enumerate(nodes.tolist()):
+            whole = np.frombuffer(points[node], np.uint8).reshape(2, -1, n).sum(1, dtype=np.int32)
+            counts[k], marks[k] = np.minimum(whole[0], 0xFF), whole[1] & 0xFF
+        x, y, step = places[: len(at)], places[len(at) :], (1 << 22) // n
+        for a in range(0, len(at), step):
+            own, other = counts[x[a : a + step]], counts[y[a : a + step]]
+            exchanged = (own == other) & (own != 0xFF) & (marks[x[a : a + step]] != marks[y[a : a + step]])
+            differ = np.maximum(own, other) - np.minimum(own, other)
+            apart[at[a : a + step]] = differ.sum(1, dtype=np.int64) + 2 * np.count_nonzero(exchanged, axis=1)
+    return apart
+
+
 def _as_long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -333,14 +369,33 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words_each:
     return linked(dealt.select("_role.*", "text"), words_each, percent)
 
 
-def bucket_pairs(members: DataFrame, points: DataFrame, percent: int, everything: bool) -> DataFrame:
-    """key, a, b: pairs of buckets that aren't connected yet and that the R-tree's bounds leave.
+def fine_points(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words_each: int) -> DataFrame:
+    """node, fine (its fine point) of ``nodes``, whose texts are read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            fine = [fine_point(tokens).tobytes() for tokens in token_sets(words_of(batch.column(1)), words_each)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], ["node", "fine"])
+
+    wanted = pinned(classes.join(nodes, "node").select("row", "node"), narrow=True)
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = only(texts, wanted).join(bounded(wanted), "row").select("node", "text")
+    # Rows that repeat give their node's point again.
+    return pinned(dealt.mapInArrow(lean(run), "node long, fine binary").dropDuplicates(["node"]), narrow=True)
+
+
+def bucket_pairs(
+    members: DataFrame, points: DataFrame, percent: int, everything: bool, fine: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """key, a, b: pairs of buckets that aren't connected yet and that the bounds of points leave.
 
     ``members`` has key, node, component. Buckets are cut into blocks of about ``BLOCK``
     members; each pair of blocks goes through a tree on its own, so no task holds a whole
     bucket. Unless ``everything`` is asked for, a block gives a spanning forest of its pairs:
     if all of these hold, what the others would connect is connected. Near copies share many
-    of their first tokens; of their buckets one that holds the others is gone through.
+    of their first tokens; of their buckets one that holds the others is gone through. With
+    ``fine`` (nodes to the rows of ``fine_points``) the pairs that the R-tree leaves are bounded
+    once more where they are found, so texts that are alike but don't link give hardly any rows.
     """
     shape = (
         members.groupBy("key")
@@ -355,21 +410,31 @@ def bucket_pairs(members: DataFrame, points: DataFrame, percent: int, everything
     )
     shape = pinned(differing(shape), narrow=True)
     shape = shape.join(largest_buckets(members, shape), "key").select("key", "_blocks")
+    inside = members.join(shape, "key")
+    if fine is not None:
+        inside = pinned(inside, narrow=True)
+        points = points.join(fine(inside.select("node").distinct()), "node")
+    else:
+        points = points.withColumn("fine", F.lit(None).cast("binary"))
     dealt = (
-        members.join(shape, "key")
+        inside
         .withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "component")
         .join(points, "node")
-        .select("key", "i", "j", "_own", "node", "component", "counts", "n")
+        .select("key", "i", "j", "_own", "node", "component", "counts", "n", "fine")
     )
-    group = ["key", "i", "j"]
+    group, refined = ["key", "i", "j"], fine is not None
 
     def pairs_of(table: pa.Table) -> np.ndarray:
         nodes, parts, own, sizes = (table.column(c).to_numpy() for c in ("node", "component", "_own", "n"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         points_here = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").reshape(-1, 2 * GROUPS)
         found = bounded_pairs(points_here, sizes, own == i, own == j, percent, parts)
+        if refined and len(found):
+            found[:, 0] = fine_difference(table.column("fine").to_pylist(), found[:, 1], found[:, 2])
+            most = (100 - percent) * (sizes[found[:, 1]] + sizes[found[:, 2]])
+            found = found[(100 + percent) * found[:, 0].astype(np.int64) <= most]
         pairs = found[:, 1:] if everything else np.array(forest(found, parts), np.int64).reshape(-1, 2)
         return np.unique(np.sort(nodes[pairs], axis=1), axis=0) if len(pairs) else pairs
 
@@ -428,11 +493,15 @@ def ngram_classes(docs: DataFrame, words_each: int = 3, percent: int = 90) -> Da
         return df.join(known, "node", "left").withColumn("component", F.coalesce("_known", "node")).drop("_known")
 
     # Then forests over the pairs of each bucket that are not connected yet, and all such
-    # pairs of the buckets in which one pair of the forest was refuted.
+    # pairs of the buckets in which one pair of the forest was refuted, by fine points of their members.
     tried = first
+
+    def fine(nodes: DataFrame) -> DataFrame:
+        return fine_points(nodes, docs, classes, words_each)
+
     for everything in (False, True):
         members = pinned(with_component(sides, links), narrow=True)
-        found = pinned(bucket_pairs(members, points, percent, everything), narrow=True)
+        found = pinned(bucket_pairs(members, points, percent, everything, fine if everything else None), narrow=True)
         pairs = pinned(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), narrow=True)
         links = pinned(links.unionByName(verified(pairs, docs, classes, words_each, percent)), narrow=True)
         tried = tried.unionByName(pairs)
@@ -452,12 +521,13 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Of rows equal in id and text one stays too. Columns are unchanged.
     """
-    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
-    found = pinned(ngram_classes(docs, **options).select("row", "component", rank.alias("_rank")), narrow=True)
-    kept = found.groupBy("component").agg(F.min("_rank").alias("_rank")).select(F.col("_rank.row").alias("row"))
-    counted = found.groupBy("row").agg((F.count("*") > 1).alias("_again"))
-    gone = pinned(counted.join(kept, "row", "left_anti").select(F.col("row").alias("__ngram_row")), narrow=True)
-    again = pinned(counted.where("_again").join(gone, counted["row"] == gone["__ngram_row"], "left_anti").select(F.col("row").alias("__ngram_row")), narrow=True)
+    with passing(docs.sparkSession):
+        rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
+        found = pinned(ngram_classes(docs, **options).select("row", "component", rank.alias("_rank")), narrow=True)
+        kept = found.groupBy("component").agg(F.min("_rank").alias("_rank")).select(F.col("_rank.row").alias("row"))
+        counted = found.groupBy("row").agg((F.count("*") > 1).alias("_again"))
+        gone = pinned(counted.join(kept, "row", "left_anti").select(F.col("row").alias("__ngram_row")), narrow=True, lasting=True)
+        again = pinned(counted.where("_again").join(gone, counted["row"] == gone["__ngram_row"], "left_anti").select(F.col("row").alias("__ngram_row")), narrow=True, lasting=True)
     keyed = docs.withColumn("__ngram_row", F.xxhash64("doc_id", "text"))
     n_again = again.count()
     out = gone.select("__ngram_row").unionByName(again) if n_again else gone.select("__ngram_row")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import bounded, lean, only, pinned
+from .common import bounded, lean, only, passing, pinned
 from .graph import collisions, components, differing, set_mark, sorted_groups, whole_groups
 from .verify import linked, roles_of
 from .words import Words, mixed, set_hash, slices, token_sets, words_of
@@ -607,14 +607,16 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     as well. Rows equal in id and text are one document and lose the same. Very long texts
     are cut like others; columns of any name stay; an empty table gives no rows.
     """
-    spans = (
-        repeated_passages(docs, **options)
-        .where("removed")
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans"))
-        .withColumnRenamed("row", "__row")
-    )
-    side = bounded(pinned(spans, narrow=True), F.size("__spans"))
+    with passing(docs.sparkSession):
+        spans = (
+            repeated_passages(docs, **options)
+            .where("removed")
+            .groupBy("row")
+            .agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans"))
+            .withColumnRenamed("row", "__row")
+        )
+        gone = pinned(spans, narrow=True, lasting=True)
+    side = bounded(gone, F.size("__spans"))
     spanned = docs.withColumn("__row", _row(docs)).join(side, "__row", "left").select(*docs.columns, "__spans")
     names = docs.columns
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None

@@ -157,6 +157,49 @@ def test_pairs_of_a_block_are_those_that_the_bounds_leave(n):
             assert apart <= len(sets[i]) + len(sets[j]) - 2 * len(np.intersect1d(sets[i], sets[j]))
 
 
+def test_fine_points_bound_from_below_and_closely():
+    rng = np.random.default_rng(8)
+    sets = [np.empty(0, np.uint64)]
+    for size in (1, 3, 60, 64, 65, 130, 400, 1500, 5000, 700_000):
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for share in (0, 0.03, 0.2, 1):
+            changed = base.copy()
+            changed[rng.random(size) < share] = 0
+            new = rng.integers(1, 1 << 63, int((changed == 0).sum()) // 2, dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([changed[changed > 0], new])))
+    points = [nj.fine_point(s).tobytes() for s in sets]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    truth = np.array([len(sets[a]) + len(sets[b]) - 2 * len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)])
+    found = nj.fine_difference(points, i, j)
+    assert (found <= truth).all() and (found[i == j] == 0).all()
+    near = np.array([max(len(sets[a]), len(sets[b])) <= 1500 and t <= 0.3 * (len(sets[a]) + len(sets[b])) for a, b, t in zip(i, j, truth)])
+    assert near.sum() > 60 and (found[near] >= 0.85 * truth[near] - 2).all()
+
+
+def test_texts_that_nearly_link_give_few_pairs(spark, monkeypatch):
+    """Of texts of one template that differ by a little too much, all pairs of every bucket went on to be verified."""
+    rng = random.Random(21)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(400)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for at in rng.sample(range(3, 397), 7):
+            words[at] = "x%d" % rng.randrange(10**6)
+        texts.append(" ".join(words))
+    texts += [f"{t} {k}" for k, t in enumerate(texts[:5])]
+    rows = [(i, t, "en", "s", 0, "clash") for i, t in enumerate(texts)]
+    made, real = [], nj.bucket_pairs
+
+    def counted(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    monkeypatch.setattr(nj, "bucket_pairs", counted)
+    got = nj.ngram_classes(spark.createDataFrame(rows, SCHEMA), words_each=5, percent=80).collect()
+    assert sorted(((r.doc_id, r.n, r.component_id) for r in got), key=str) == brute(rows, 5, 80)
+    assert made[-1].count() <= 4 * len(rows)
+
+
 def test_forest_connects_what_its_pairs_do():
     pairs = np.array([[5, 0, 1], [1, 1, 2], [2, 0, 2], [3, 3, 4], [0, 2, 1]], np.int32)
     assert sorted(nj.forest(pairs, np.arange(5))) == [(0, 2), (2, 1), (3, 4)]

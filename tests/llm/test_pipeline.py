@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pixelloom.llm.common import passing, pinned
 
 from .test_mixing import brute_targets, words
 from .test_models import prose
@@ -108,6 +110,35 @@ def test_run_equals_the_stages(spark, stages):
     assert rows(corpus_pipeline.run(spark, stages[1]).collect()) == rows(stages[0][5])
 
 
+def test_tables_of_past_stages_are_deleted(spark, stages):
+    """Tables of all stages stayed, so the disk that a stage needed grew with the stages before it."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    found = corpus_pipeline.run(spark, stages[1])
+    left = [spark.read.parquet(f"{folder}/{t}").columns for t in set(os.listdir(folder)) - before]
+    assert [c for c in left if "text" in c] == [SCHEMA.replace(" long", "").replace(" string", "").split(", ")]
+    assert found.count() == len(stages[0][5])
+
+
+def test_lasting_tables_belong_to_the_block_around(spark):
+    read = lambda df: df.count() == 3
+    with passing(spark):
+        with passing(spark):
+            goes, stays = pinned(spark.range(3)), pinned(spark.range(3), lasting=True)
+            assert read(goes) and read(stays)
+        kept = pinned(stays, lasting=True)
+        with pytest.raises(Exception):
+            goes.count()
+        with pytest.raises(ZeroDivisionError), passing(spark):
+            lost = pinned(spark.range(3))
+            1 / 0
+        with pytest.raises(Exception):
+            lost.count()
+    with pytest.raises(Exception):
+        stays.count()
+    assert read(kept) and read(pinned(spark.range(3), lasting=True))
+
+
 WIDE = f"{SCHEMA}, row long, place string, key string, size string, node string"
 
 
